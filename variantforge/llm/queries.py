@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .exact_dedup import exact_dedup
+from .parity_join import parity_join
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,8 +18,13 @@ def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op5_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return parity_join(table(spark, sf_dir, "documents"), k=3, num=90, den=100).select("doc_id", "n_shingles", "component_id")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_exact_dedup": op4_exact_dedup,
+    "op5_ngram_jaccard_join": op5_ngram_jaccard_join,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -35,5 +41,35 @@ WITH d AS (
   FROM d
 )
 SELECT doc_id, keep_id, group_size, rk = 1 AS kept, sha256(norm) AS text_sha256 FROM r
+""",
+    "op5_ngram_jaccard_join": r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                            '[^\x20\x09-\x0D]+') AS ws
+  FROM documents
+), s AS (
+  SELECT doc_id,
+         CASE WHEN len(ws) >= 3
+              THEN list_distinct([ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2] FOR i IN range(1, len(ws) - 1)])
+              WHEN len(ws) > 0 THEN [array_to_string(ws, ' ')]
+              ELSE [] END AS sh
+  FROM w
+), u AS (
+  SELECT doc_id, len(sh) AS n, unnest(sh) AS g FROM s
+), p AS (
+  SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS shared, any_value(a.n) AS na, any_value(b.n) AS nb
+  FROM u a JOIN u b ON a.g = b.g AND a.doc_id <> b.doc_id AND a.n * 10 >= b.n * 9 AND b.n * 10 >= a.n * 9
+  GROUP BY 1, 2
+), l AS (
+  SELECT x, y FROM p WHERE 100 * shared >= 90 * (na + nb - shared)
+), r AS (
+  SELECT doc_id AS a, doc_id AS b FROM s
+  UNION
+  SELECT r.a, l.y FROM r JOIN l ON r.b = l.x
+), c AS (
+  SELECT a, min(b) AS component_id FROM r GROUP BY a
+)
+SELECT s.doc_id, len(s.sh)::BIGINT AS n_shingles, c.component_id FROM s JOIN c ON c.a = s.doc_id
 """,
 }
