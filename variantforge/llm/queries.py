@@ -4,16 +4,24 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from . import language_id, quality, url_filter
 from .exact_dedup import exact_dedup
 from .parity_join import parity_join
+from .scratch import Scratch
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def fold(key: str, parts: int) -> Column:
+    """crc32 of an integer key as text, modulo parts."""
+    return F.pmod(F.crc32(F.col(key).cast("string")), F.lit(parts))
+
+
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 
@@ -22,9 +30,35 @@ def op5_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parity_join(table(spark, sf_dir, "documents"), k=3, num=90, den=100).select("doc_id", "n_shingles", "component_id")
 
 
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    held_out = F.coalesce(fold("doc_id", 4) == 2, F.lit(False))
+    model = language_id.train(docs, held_out)
+    found = language_id.identify(docs.select("doc_id", "text", held_out.alias("held_out")), model)
+    return found.select("doc_id", "held_out", "lang_pred", "score", "ambiguous")
+
+
+def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = Scratch(spark, "quality").cut(quality.features(table(spark, sf_dir, "documents")), "features")
+    labels = table(spark, sf_dir, "labels").where(F.col("quality").isNotNull() & (fold("doc_id", 5) != 0)).select("doc_id", "quality")
+    model = quality.fit(rows.join(labels, "doc_id"), "quality")
+    scored = rows.select("doc_id", F.coalesce(fold("doc_id", 5) == 0, F.lit(False)).alias("held_out"), quality.score(rows, model).alias("score"))
+    return scored.withColumn("predicted", (F.col("score") >= 0.3).cast("int"))
+
+
+def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    host, _ = url_filter.url_parts(F.col("url"))
+    labelled = pages.where(fold("page_id", 5) != 0).select("url", url_filter.seed_label(host).alias("label"))
+    return url_filter.judge(pages, labelled).select("page_id", "host", "path", "rule", "verdict", "score")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_exact_dedup": op4_exact_dedup,
     "op5_ngram_jaccard_join": op5_ngram_jaccard_join,
+    "op6_language_id": op6_language_id,
+    "op8_quality_classifier": op8_quality_classifier,
+    "op10_url_filter": op10_url_filter,
 }
 
 ORACLE_SQL: dict[str, str] = {
