@@ -11,6 +11,7 @@ simply sent on, in a partition they go, complete, to another round through the s
 from __future__ import annotations
 
 import hashlib
+import zlib
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
@@ -133,9 +134,9 @@ def _shared(label: bytes, key: bytes, at: int) -> int:
 _NO_ID = 2**63 - 1
 _MAP = pa.schema(
     [("kind", pa.int32()), ("doc_id", pa.int64()), ("row", pa.int64()), ("part", pa.int64()), ("sha", pa.string())]
-    + [("klen", pa.int64()), ("khash", pa.int64()), ("key", pa.binary()), ("n", pa.int64()), ("points", pa.int64())]
+    + [("klen", pa.int64()), ("khash", pa.int64()), ("key", pa.binary()), ("n", pa.int64()), ("points", pa.int64()), ("crc", pa.int64())]
 )
-_MAP_SQL = "kind int, doc_id bigint, row bigint, part bigint, sha string, klen bigint, khash bigint, key binary, n bigint, points bigint"
+_MAP_SQL = "kind int, doc_id bigint, row bigint, part bigint, sha string, klen bigint, khash bigint, key binary, n bigint, points bigint, crc bigint"
 
 
 def _better(state: list, points: int, doc_id: int | None, row: int) -> None:
@@ -154,7 +155,7 @@ def _group_rows(entries: Iterable[tuple[bytes, list]]) -> Iterator[pa.RecordBatc
         return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, _MAP, strict=True)], schema=_MAP)
 
     for key, (n, points, doc_id, row, part, sha) in entries:
-        out.append((1, doc_id, row, part, sha, len(key), int.from_bytes(bytes.fromhex(sha[:16]), "big", signed=True), key, n, points))
+        out.append((1, doc_id, row, part, sha, len(key), int.from_bytes(bytes.fromhex(sha[:16]), "big", signed=True), key, n, points, None))
         size += len(key)
         if size > 8 << 20 or len(out) == 4096:
             yield batch()
@@ -169,7 +170,7 @@ def _local(trie_bytes: int):
         for batch in batches:
             ids, text = batch.column(0).to_pylist(), pc.fill_null(batch.column(1), "")
             points = pc.utf8_length(text).to_pylist()
-            rows, parts, shas = [], [], []
+            rows, parts, shas, crcs = [], [], [], []
             for i, raw in enumerate(text.cast(pa.binary() if text.type == pa.string() else pa.large_binary()).to_pylist()):
                 key, row = raw.translate(None, WHITE), base + seen
                 seen += 1
@@ -179,12 +180,13 @@ def _local(trie_bytes: int):
                 rows.append(row)
                 parts.append(state[4])
                 shas.append(state[5])
+                crcs.append(zlib.crc32(raw))
                 if trie.weight > trie_bytes:
                     yield from _group_rows(trie.remove_heaviest(stub=False))
             n = len(rows)
             none = pa.nulls(n, pa.int64())
             yield pa.RecordBatch.from_arrays(
-                [pa.array([0] * n, pa.int32()), batch.column(0).cast(pa.int64()), pa.array(rows, pa.int64()), pa.array(parts, pa.int64()), pa.array(shas, pa.string()), none, none, pa.nulls(n, pa.binary()), none, none],
+                [pa.array([0] * n, pa.int32()), batch.column(0).cast(pa.int64()), pa.array(rows, pa.int64()), pa.array(parts, pa.int64()), pa.array(shas, pa.string()), none, none, pa.nulls(n, pa.binary()), none, none, pa.array(crcs, pa.int64())],
                 schema=_MAP,
             )
         yield from _group_rows(trie.entries())
@@ -241,18 +243,18 @@ def _owners(trie_bytes: int):
 
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", trie_bytes: int = TRIE_BYTES) -> DataFrame:
-    """One row per row of docs: doc_id, keep_id, group_size, kept, text_sha256.
+    """One row per row of docs: doc_id, keep_id, group_size, kept, text_sha256, text_crc.
 
     A null text counts as empty, and all empty texts form one group. Of equal texts the row with the most
     code points in the original stays, then the smallest doc_id; a null doc_id sorts last. Of rows repeated
     with one doc_id, exactly one is kept. Other columns of docs are not read. An empty table gives no rows.
-    text_sha256 is of the normalised text in UTF-8.
+    text_sha256 is of the normalised text in UTF-8, text_crc (crc32) of the original.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "exact_dedup")
     pairs = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
     local = scratch.cut(pairs.mapInArrow(_local(trie_bytes), _MAP_SQL), "local")
-    groups = local.where("kind = 1").drop("kind")
+    groups = local.where("kind = 1").drop("kind", "crc")
     found = None
     for step in range(1 << 30):
         dealt = groups.repartition("klen", "khash")
@@ -262,5 +264,5 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         groups = out.where("owner IS NULL").drop("owner", "keep_id", "group_size")
         if groups.isEmpty():
             break
-    rows = local.where("kind = 0").select("doc_id", "row", "part", F.col("sha").alias("text_sha256"))
-    return rows.join(found, "part").select("doc_id", "keep_id", "group_size", (F.col("row") == F.col("owner")).alias("kept"), "text_sha256")
+    rows = local.where("kind = 0").select("doc_id", "row", "part", F.col("sha").alias("text_sha256"), F.col("crc").alias("text_crc"))
+    return rows.join(found, "part").select("doc_id", "keep_id", "group_size", (F.col("row") == F.col("owner")).alias("kept"), "text_sha256", "text_crc")

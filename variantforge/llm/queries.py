@@ -7,13 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language_id, pieces, quality, url_filter
+from . import language_id, licences, pieces, pseudonyms, quality, token_counts, url_filter
 from .decontaminate import find_leaks
 from .exact_dedup import exact_dedup
 from .parity_join import parity_join
 from .scratch import Scratch
 
 
+#: The key of the registered query; a deployment passes its own secret.
+PSEUDONYM_KEY = b"registered query"
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -27,6 +31,10 @@ def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op2_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pseudonyms.private(table(spark, sf_dir, "documents"), PSEUDONYM_KEY)
+
+
 def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Digest of the pieces and whether they decode to the text; null texts count as empty."""
     docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
@@ -35,7 +43,7 @@ def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return exact_dedup(table(spark, sf_dir, "documents"))
+    return exact_dedup(table(spark, sf_dir, "documents")).drop("text_crc")
 
 
 def op5_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -50,6 +58,10 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "held_out", "lang_pred", "score", "ambiguous")
 
 
+def op7_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licences.licences(table(spark, sf_dir, "documents"))
+
+
 def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = Scratch(spark, "quality").cut(quality.features(table(spark, sf_dir, "documents")), "features")
     labels = table(spark, sf_dir, "labels").where(F.col("quality").isNotNull() & (fold("doc_id", 5) != 0)).select("doc_id", "quality")
@@ -58,6 +70,11 @@ def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.withColumn("predicted", (F.col("score") >= 0.3).cast("int"))
 
 
+def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts before and after a title line is put first and runs of digits or symbols are masked."""
+    return token_counts.recount(token_counts.masking_edits(table(spark, sf_dir, "documents"), head="# Document\n"))
+
+
 def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
     host, _ = url_filter.url_parts(F.col("url"))
@@ -67,11 +84,14 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontamination": op1_decontamination,
+    "op2_pseudonyms": op2_pseudonyms,
     "op3_sentencepiece": op3_sentencepiece,
     "op4_exact_dedup": op4_exact_dedup,
     "op5_ngram_jaccard_join": op5_ngram_jaccard_join,
     "op6_language_id": op6_language_id,
+    "op7_licence_scan": op7_licence_scan,
     "op8_quality_classifier": op8_quality_classifier,
+    "op9_token_counts": op9_token_counts,
     "op10_url_filter": op10_url_filter,
 }
 

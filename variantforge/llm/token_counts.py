@@ -164,6 +164,23 @@ def apply_edits(counter: Counter, tree: Tree, text: str, edits: list[tuple[int,
     return after, anew
 
 
+def masking_edits(docs: DataFrame, pattern: str = "[0-9]{4,}|[*#$%&!]{2,}", mask: str = "0", head: str = "", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per row: doc_id, text and edits that put head before the text and mask for each match of pattern; a null text has no edits."""
+    import re
+
+    found = re.compile(pattern)
+    kind = pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64()), ("text", pa.string())]))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            first = [{"start": 0, "stop": 0, "text": head}] if head else []
+            edits = [None if not t.is_valid else first + [{"start": m.start(), "stop": m.end(), "text": mask} for m in found.finditer(t.as_py())] for t in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(edits, kind)], names=["doc_id", "text", "edits"])
+
+    chosen = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
+    return chosen.mapInArrow(run, "doc_id bigint, text string, edits array<struct<start: bigint, stop: bigint, text: string>>")
+
+
 @lru_cache(maxsize=2)
 def load(ranks: str) -> Counter:
     return Counter(ranks if ranks.startswith("/") else SparkFiles.get(ranks))
