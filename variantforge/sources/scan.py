@@ -41,7 +41,7 @@ def read_schema_files(spark: SparkSession, *inputs: str) -> DataFrame:
 def read_documents(spark: SparkSession, path: str, column: str = "doc") -> DataFrame:
     """One VARIANT document a line of JSON."""
     _require(spark, path)
-    return spark.read.json(path, singleVariantColumn=column)
+    return spark.read.option("singleVariantColumn", column).json(path)
 
 
 def read_document_text(spark: SparkSession, path: str) -> DataFrame:
