@@ -65,8 +65,8 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, pieces, their number and whether they decode to the text; a null text counts as empty."""
     texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    back = pieces.decode(pieces.encode(texts, keep_text=True))
-    return back.select("doc_id", "pieces", F.size("pieces").cast("bigint").alias("n_pieces"), (F.col("decoded") == F.col("text")).alias("lossless"))
+    found = pieces.encode(texts, check=True)
+    return found.select("doc_id", "pieces", F.size("pieces").cast("bigint").alias("n_pieces"), "lossless")
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .scratch import Scratch
+from .scratch import Scratch, bound_batches
 from .words import U64, mix, shingle_set, word_hashes
 
 MIN_BITS = 3
@@ -273,6 +273,7 @@ def parity_join(docs: DataFrame, k: int = 3, num: int = 9, den: int = 10, id_col
     component.  A null doc_id is left out of joins: its component_id is null.  Other columns are not read.
     """
     spark = docs.sparkSession
+    bound_batches(spark)
     scratch = Scratch(spark, "parity_join")
     pairs = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
     signed = scratch.cut(pairs.mapInArrow(_signatures(k, num, den), _SIGN), "signed")

@@ -22,6 +22,7 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .scratch import bound_batches
 from .words import U64, mix, mix1
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
@@ -29,7 +30,7 @@ DROPOUT, SEED, VARIANTS = 0.1, 17, 4
 #: Words of more characters go through a heap, one by one; shorter ones through arrays, many at once.
 ARRAY_CHARS = 48
 #: Characters of text whose words are worked out together.
-SPAN = 1 << 21
+SPAN = 1 << 20
 _NO_RANK = np.int32(2**31 - 1)
 _K = [U64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5)]
 
@@ -224,8 +225,8 @@ def _encode_words(pieces: Pieces, words: list[str], variant: np.ndarray, seed: i
     for high in (6, 10, 16, 28, ARRAY_CHARS):
         rows = np.flatnonzero((lengths > low) & (lengths <= high))
         low = high
-        for i in range(0, len(rows), 50_000):
-            some = rows[i : i + 50_000]
+        for i in range(0, len(rows), 16_384):
+            some = rows[i : i + 16_384]
             flat = np.frombuffer("".join([words[r] for r in some]).encode("utf-32-le", "surrogatepass"), "<u4")
             codes = np.zeros((len(some), high), np.uint32)
             codes[np.arange(high) < lengths[some][:, None]] = flat
@@ -295,26 +296,33 @@ def _path(model: str) -> str:
     return model if model.startswith("/") else SparkFiles.get(model)
 
 
-def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: str = MODEL, seed: int = SEED, rate: float = DROPOUT, variants: int = VARIANTS, keep_text: bool = False) -> DataFrame:
-    """One row per row: doc_id, pieces (array of int) and, if asked, text; the same seed gives the same pieces.
+def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: str = MODEL, seed: int = SEED, rate: float = DROPOUT, variants: int = VARIANTS, keep_text: bool = False, check: bool = False) -> DataFrame:
+    """One row per row: doc_id, pieces (array of int) and, if asked, text and lossless; the same seed gives the same pieces.
 
     A null text has null pieces, an empty one none. A null doc_id counts as 0 for the variants. model is a
     path that every executor has, or the name of a file that SparkContext.addFile has sent. Other columns
     are not read. Characters outside the vocabulary, the marker U+2581 among them, become their bytes, so
-    decoding gives every text back.
+    decoding gives every text back; lossless says whether it did (null for a null text).
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = load(_path(model))
         for batch in batches:
-            for i in range(0, batch.num_rows, 1000):
-                part = batch.slice(i, 1000)
+            for i in range(0, batch.num_rows, 500):
+                part = batch.slice(i, 500)
                 values, offsets = encode_texts(pieces, part.column(1).to_pylist(), part.column(0).to_pylist(), seed, rate, variants)
                 lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(values, pa.int32()), mask=pc.is_null(part.column(1)))
-                yield pa.RecordBatch.from_arrays([part.column(0), lists] + [part.column(1)] * keep_text, names=["doc_id", "pieces"] + ["text"] * keep_text)
-
+                columns, names = [part.column(0), lists], ["doc_id", "pieces"]
+                if keep_text:
+                    columns, names = [*columns, part.column(1)], [*names, "text"]
+                if check:
+                    same = [None if not t.is_valid else decode_ids(pieces, values[offsets[k] : offsets[k + 1]].tolist()) == t.as_py() for k, t in enumerate(part.column(1))]
+                    columns, names = [*columns, pa.array(same, pa.bool_())], [*names, "lossless"]
+                yield pa.RecordBatch.from_arrays(columns, names=names)
+
+    bound_batches(docs.sparkSession)
     chosen = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
-    return chosen.mapInArrow(run, "doc_id bigint, pieces array<int>" + ", text string" * keep_text)
+    return chosen.mapInArrow(run, "doc_id bigint, pieces array<int>" + ", text string" * keep_text + ", lossless boolean" * check)
 
 
 def decode(encoded: DataFrame, model: str = MODEL) -> DataFrame:
@@ -328,5 +336,6 @@ def decode(encoded: DataFrame, model: str = MODEL) -> DataFrame:
             texts = [None if not x.is_valid else decode_ids(pieces, x.values.to_numpy(zero_copy_only=False).tolist()) for x in lists]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], names=[*batch.schema.names, "decoded"])
 
+    bound_batches(encoded.sparkSession)
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in encoded.schema)
     return encoded.mapInArrow(run, f"{fields}, decoded string")

@@ -38,8 +38,8 @@ def op2_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Digest of the pieces and whether they decode to the text; null texts count as empty."""
     docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    back = pieces.decode(pieces.encode(docs, keep_text=True))
-    return back.select("doc_id", F.size("pieces").cast("bigint").alias("n_pieces"), F.xxhash64("pieces").alias("pieces_hash"), (F.col("decoded") == F.col("text")).alias("lossless"))
+    found = pieces.encode(docs, check=True)
+    return found.select("doc_id", F.size("pieces").cast("bigint").alias("n_pieces"), F.xxhash64("pieces").alias("pieces_hash"), "lossless")
 
 
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

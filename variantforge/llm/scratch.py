@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -17,6 +18,19 @@ def checkpoint_root(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
+#: Rows and bytes of an Arrow batch of whole texts: a worker holds a few batches at a time.
+BATCH_ROWS, BATCH_BYTES = 1000, 16 << 20
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Lowers the session's Arrow batch limits to BATCH_ROWS and BATCH_BYTES; lower ones stay."""
+    for name, most in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
+        key = f"spark.sql.execution.arrow.{name}"
+        now = re.match(r"\d+", spark.conf.get(key))
+        if not now or not 0 < int(now.group()) <= most:
+            spark.conf.set(key, str(most))
+
+
 class Scratch:
     """Tables of one run of one operator, each under a folder of its own.
 
