@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .scratch import Scratch
+from .scratch import Scratch, bound_batches
 
 WHITE = b"\x20\x09\x0a\x0b\x0c\x0d"
 #: Bytes of labels that a trie may hold before it gives up a subtree.
@@ -41,6 +41,7 @@ class PatriciaTrie:
 
     def __init__(self):
         self.root = _Node(b"")
+        self.size = 0
 
     @property
     def weight(self) -> int:
@@ -75,6 +76,7 @@ class PatriciaTrie:
             node = child
         if node.value is None:
             node.value = make()
+            self.size += 1
         return node.value
 
     @staticmethod
@@ -85,7 +87,8 @@ class PatriciaTrie:
     def remove_heaviest(self, stub: bool) -> Iterator[tuple[bytes, object]]:
         """Takes out a heavy subtree (not over half of the whole where that can be) and returns its entries.
 
-        With stub, later keys of that subtree are refused by ``insert``.
+        With stub, later keys of that subtree are refused by ``insert``.  The last entry never goes, so a
+        text larger than any budget is decided all the same and every round of spilling decides some text.
         """
         node, prefix, path = self.root, b"", [self.root]
         while True:
@@ -100,13 +103,17 @@ class PatriciaTrie:
         if top.weight * 2 > self.weight and len(live) > 1:
             live.remove(top)
             top = max(live, key=lambda c: c.weight)
+        gone = list(self.entries(top, prefix))
+        if len(gone) == self.size:
+            return iter(())
+        self.size -= len(gone)
         first = top.label[0]
         if stub:
             node.children[first] = _GONE
         else:
             del node.children[first]
         self._grow(path, -top.weight)
-        return self.entries(top, prefix)
+        return iter(gone)
 
     def entries(self, node: _Node | None = None, prefix: bytes = b"") -> Iterator[tuple[bytes, object]]:
         stack = [(node or self.root, prefix)]
@@ -251,6 +258,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     text_sha256 is of the normalised text in UTF-8, text_crc (crc32) of the original.
     """
     spark = docs.sparkSession
+    bound_batches(spark)
     scratch = Scratch(spark, "exact_dedup")
     pairs = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
     local = scratch.cut(pairs.mapInArrow(_local(trie_bytes), _MAP_SQL), "local")
