@@ -9,6 +9,7 @@ one falls on; the counts of all other pre-tokens stand, and the sums above the t
 from __future__ import annotations
 
 import base64
+from bisect import bisect_right
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -18,6 +19,8 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .scratch import bound_batches
+
 RANKS = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Fixed value: the pre-token pattern of the rank file's public tokenizer.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -36,14 +39,27 @@ class Counter:
             table = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         self.encoding = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=table, special_tokens={})
         self.pattern = regex.compile(PATTERN)
+        self.plain = regex.compile(r" \p{L}+")
         self.known: dict[str, int] = {}
+        self.bytes_of = np.zeros(max(table.values()) + 1, np.int64)
+        for raw, i in table.items():
+            self.bytes_of[i] = len(raw)
 
     def count(self, pre_tokens: list[str]) -> list[int]:
         known = self.known
         if len(known) > REMEMBERED:
             known.clear()
-        for t in [t for t in set(pre_tokens) if t not in known]:
-            known[t] = len(self.encoding.encode_ordinary(t))
+        new = [t for t in set(pre_tokens) if t not in known]
+        # Words that begin with a space stay apart when joined: one call encodes them, and bytes tell whose each token is.
+        words = [t for t in new if self.plain.fullmatch(t)]
+        if words:
+            ends = np.cumsum([len(t.encode()) for t in words])
+            stops = np.cumsum(self.bytes_of[self.encoding.encode_ordinary("".join(words))])
+            counts = np.diff(np.searchsorted(stops, ends, side="right"), prepend=0)
+            known.update(zip(words, counts.tolist(), strict=True))
+        for t in new:
+            if t not in known:
+                known[t] = len(self.encoding.encode_ordinary(t))
         return [known[t] for t in pre_tokens]
 
     def tree(self, text: str) -> Tree:
@@ -71,41 +87,40 @@ class Tree:
     def tokens(self) -> int:
         return int(self.sums[1, 2])
 
-    def find(self, at: int, what: int) -> tuple[int, np.ndarray]:
-        """(leaf, sums before it) of the leaf in which the running sum of `what` (0 pre-tokens, 1 characters) passes at; the last filled leaf at the end."""
-        node, before = 1, np.zeros(3, np.int64)
-        while node < self.size:
-            left = self.sums[2 * node]
-            if at < before[what] + left[what] or not self.sums[2 * node + 1, 0]:
-                node = 2 * node
+    def replace(self, changes: list[tuple[int, int, list[int], list[int]]]) -> None:
+        """Replaces pre-tokens first to stop by others, for all changes (in order, apart); only the touched leaves and the sums above them change."""
+        starts = np.concatenate([[0], np.cumsum(self.sums[self.size : self.size + len(self.leaves), 0])])
+        last = len(self.leaves) - 1
+        groups: list[list] = []
+        for change in changes:
+            a = min(int(np.searchsorted(starts, change[0], side="right")) - 1, last)
+            b = min(max(a, int(np.searchsorted(starts, max(change[0], change[1] - 1), side="right")) - 1), last)
+            if groups and a <= groups[-1][1]:
+                groups[-1][1] = max(b, groups[-1][1])
+                groups[-1][2].append(change)
             else:
-                before, node = before + left, 2 * node + 1
-        return node - self.size, before
-
-    def boundary(self, at: int) -> tuple[int, int, int]:
-        """(index, start, end) in characters of the pre-token that holds character at; at the end, past the last."""
-        leaf, before = self.find(at, 1)
-        lengths = self.leaves[leaf][0] if leaf < len(self.leaves) else np.zeros(0, np.int64)
-        ends = before[1] + np.cumsum(lengths)
-        i = int(np.searchsorted(ends, at, side="right"))
-        start = int(ends[i - 1]) if i else int(before[1])
-        return int(before[0]) + i, start, int(ends[i]) if i < len(ends) else start
-
-    def splice(self, first: int, stop: int, lengths: list[int], counts: list[int]) -> None:
-        """Replaces pre-tokens first to stop by others; only the touched leaves and the sums above them change."""
-        a, before = self.find(first, 0)
-        b, after = self.find(max(first, stop - 1), 0)
-        head, tail = first - int(before[0]), stop - int(after[0])
-        parts = [np.concatenate([self.leaves[a][k][:head], np.array(new, np.int64), self.leaves[b][k][tail:]]) for k, new in ((0, lengths), (1, counts))]
+                groups.append([a, b, [change]])
+        touched = set()
         none = np.zeros(0, np.int64)
-        for i in range(a, b + 1):
-            self.leaves[i] = (parts[0], parts[1]) if i == a else (none, none)
-            x, y = self.leaves[i]
-            node = self.size + i
-            self.sums[node] = (len(x), x.sum(), y.sum())
-            while node > 1:
-                node //= 2
-                self.sums[node] = self.sums[2 * node] + self.sums[2 * node + 1]
+        for a, b, own in groups:
+            base = int(starts[a])
+            for k in (0, 1):
+                old = np.concatenate([self.leaves[i][k] for i in range(a, b + 1)])
+                parts, at = [], 0
+                for first, stop, *new in own:
+                    parts += [old[at : first - base], np.array(new[k], np.int64)]
+                    at = stop - base
+                own_new = np.concatenate([*parts, old[at:]])
+                pair = (own_new,) if k == 0 else (*pair, own_new)  # noqa: F821
+            for i in range(a, b + 1):
+                self.leaves[i] = pair if i == a else (none, none)
+                x, y = self.leaves[i]
+                self.sums[self.size + i] = (len(x), x.sum(), y.sum())
+                touched.add(self.size + i)
+        while touched and touched != {1}:
+            touched = {i // 2 for i in touched if i > 1}
+            for i in touched:
+                self.sums[i] = self.sums[2 * i] + self.sums[2 * i + 1]
 
     def flat(self) -> tuple[np.ndarray, np.ndarray]:
         return tuple(np.concatenate([x[k] for x in self.leaves]) for k in (0, 1))
@@ -133,34 +148,35 @@ def apply_edits(counter: Counter, tree: Tree, text: str, edits: list[tuple[int,
         at = stop
     after = "".join([*parts, text[at:]])
     changes = []
+    ends = np.cumsum(tree.flat()[0]).tolist()  # where each old pre-token ends
+    total = len(ends)
+    match = counter.pattern.match
     k, anew = 0, 0
     while k < len(places):
         start, stop, new_start, new_stop = places[k]
-        first, old, _ = tree.boundary(max(0, start - CONTEXT))
-        pos = old + new_start - start
+        first = bisect_right(ends, max(0, start - CONTEXT))
+        pos = (ends[first - 1] if first else 0) + new_start - start
         found: list[str] = []
-        last = None
-        while last is None:
-            while k + 1 < len(places) and places[k + 1][0] - CONTEXT <= pos - new_stop + stop:
+        while True:
+            back = pos - new_stop + stop  # where this position was, if behind the edit
+            while k + 1 < len(places) and places[k + 1][0] - CONTEXT <= back:
                 k += 1
                 start, stop, new_start, new_stop = places[k]
-            back = pos - new_stop + stop  # where this position was, if behind the edit
+                back = pos - new_stop + stop
             if pos >= new_stop:
-                index, at_old, _ = tree.boundary(back)
-                if at_old == back:
-                    last = index
+                last = bisect_right(ends, back)
+                if back == 0 or last and ends[last - 1] == back:
                     break
-            m = counter.pattern.match(after, pos)
+            m = match(after, pos)
             if m is None:
-                last = int(tree.sums[1, 0])
+                last = total
                 break
             found.append(m.group())
             pos = m.end()
         changes.append((first, last, [len(x) for x in found], counter.count(found)))
         anew += len(found)
         k += 1
-    for change in reversed(changes):
-        tree.splice(*change)
+    tree.replace(changes)
     return after, anew
 
 
@@ -177,6 +193,7 @@ def masking_edits(docs: DataFrame, pattern: str = "[0-9]{4,}|[*#$%&!]{2,}", mask
             edits = [None if not t.is_valid else first + [{"start": m.start(), "stop": m.end(), "text": mask} for m in found.finditer(t.as_py())] for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(edits, kind)], names=["doc_id", "text", "edits"])
 
+    bound_batches(docs.sparkSession)
     chosen = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
     return chosen.mapInArrow(run, "doc_id bigint, text string, edits array<struct<start: bigint, stop: bigint, text: string>>")
 
@@ -209,6 +226,7 @@ def recount(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", edi
             arrays = [batch.column(0)] + [pa.array(c, pa.int64()) for c in cols[:5]] + [pa.array(cols[5], pa.string())] * keep_text
             yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "n_tokens", "n_edits", "n_tokens_after", "n_pre_tokens", "n_cut_anew"] + ["edited"] * keep_text)
 
+    bound_batches(docs.sparkSession)
     chosen = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"), F.col(edits_col).alias("edits"))
     fields = "doc_id bigint, n_tokens bigint, n_edits bigint, n_tokens_after bigint, n_pre_tokens bigint, n_cut_anew bigint"
     return chosen.mapInArrow(run, fields + ", edited string" * keep_text)
