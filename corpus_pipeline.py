@@ -19,6 +19,8 @@ from variantforge.llm.scratch import Scratch
 
 #: Documents whose best language has less than this probability are rejected, as are those without letters.
 LEAST_LANGUAGE_SCORE = 0.3
+#: Near copies share this much of their sets of shingles of so many words.
+NEAR_WORDS, NEAR_NUM, NEAR_DEN = 5, 8, 10
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -50,7 +52,7 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the document of least doc_id in each component of linked documents; rows without doc_id stay."""
-    least = parity_join(docs).where("component_id = doc_id").select("doc_id")
+    least = parity_join(docs, k=NEAR_WORDS, num=NEAR_NUM, den=NEAR_DEN).where("component_id = doc_id").select("doc_id")
     kept = docs.where("doc_id IS NOT NULL").join(least, "doc_id", "left_semi").select(docs.columns)
     if _repeated(docs):
         kept = kept.dropDuplicates(["doc_id"])

@@ -3,12 +3,13 @@
 A document's set holds the 64-bit hashes of its distinct word shingles.  A sketch gives every shingle one
 bit and XORs: two sketches differ in at most as many bits as their sets have elements apart, so the Hamming
 distance never exceeds the symmetric difference.  A pair at the threshold has at most
-D = (1 - t) / (1 + t) * (|A| + |B|) elements apart; cut into P > D parts of 64 bits, some part must agree.
+D = (1 - t) / (1 + t) * (|A| + |B|) elements apart; dealt by hash into P > D parts, some part must agree.
 
 Sizes fall into bands, each 1/t times the last, so that linked sets lie in one band or in neighbours.  A
-document keeps one 32-bit digest a part for its own band's scheme and for the next one's.  Parts of fewer
-than MIN_BITS set bits say little and would gather strangers: E spare parts a scheme let a document leave
-out up to E of them and still share a part with every partner; with more of them it leaves none out.
+document has parts for its own band's scheme and for the next one's and keys them by the elements in them.
+Parts of few elements say little and would gather strangers, so a set keeps only its D + 1 fullest parts, D
+for its largest partner.  In the common order (elements, key) at most D parts of either set come before the
+first that they share, so both keep that one.
 
 Documents of equal sets are one class.  Classes that share a part are joined, star by star, into families;
 inside a family, blocks of bounded bytes are compared with each other: by size, by Hamming distance, then
@@ -29,7 +30,6 @@ from .components import components
 from .scratch import Scratch, bound_batches
 from .words import U64, mix, shingle_set, word_hashes
 
-MIN_BITS = 3
 #: Bytes of sets in a block: two blocks meet in a task.
 BLOCK_BYTES = 4 << 20
 
@@ -50,15 +50,16 @@ class Bands:
         t = Fraction(self.num, self.den)
         return int((1 - t) / (1 + t) * total)
 
-    def parts(self, band: int) -> tuple[int, int]:
-        """(parts, spare parts) of the scheme that meets sets of this band with each other and the band below; no parts if only equal sets link."""
+    def parts(self, band: int) -> int:
+        """Parts of the scheme that meets sets of this band with each other and the band below: half more than needed, to choose from; none if only equal sets link."""
+        apart = self.most_apart(2 * self.high(band))
+        return (apart + 1) * 3 // 2 if apart else 0
+
+    def high(self, band: int) -> int:
+        """The largest size in a band."""
         while len(self.low) < band + 2:
             self.low.append(self.den * self.low[-1] // self.num + 1)
-        apart = self.most_apart(2 * (self.low[band + 1] - 1))
-        if apart == 0:
-            return 0, 0
-        spare = 1 + apart // 32
-        return apart + 1 + spare, spare
+        return self.low[band + 1] - 1
 
 
 def part_words(hashes: np.ndarray, parts: int) -> np.ndarray:
@@ -69,16 +70,19 @@ def part_words(hashes: np.ndarray, parts: int) -> np.ndarray:
 
 
 def digests(hashes: np.ndarray, bands: Bands) -> np.ndarray:
-    """64-bit keys of the parts of both schemes that a set takes part in; sets share a key iff a part agrees (or by a rare collision)."""
-    band, keys = bands.of(len(hashes)), []
+    """64-bit keys of the parts of both schemes that a set takes part in; sets share a key iff a part that both keep agrees (or by a rare collision)."""
+    n = len(hashes)
+    band, keys, at, what = bands.of(n), [], mix(hashes), mix(hashes ^ U64(0x3C3C3C3C3C3C3C3C))
     for scheme in (band, band + 1):
-        parts, spare = bands.parts(scheme)
+        parts = bands.parts(scheme)
         if not parts:
             continue
-        words = part_words(hashes, parts)
-        weak = np.bitwise_count(words) < MIN_BITS
-        key = mix(words + mix(np.arange(parts, dtype=np.uint64) + U64(scheme << 32)))
-        keys.append(key if weak.sum() > spare else key[~weak])
+        part = (at % U64(parts)).astype(np.int64)
+        held = np.zeros(parts, np.uint64)
+        np.add.at(held, part, what)
+        key = mix(held + mix(np.arange(parts, dtype=np.uint64) + U64(scheme << 32)))
+        most = bands.most_apart(n + min(n * bands.den // bands.num, bands.high(scheme))) + 1
+        keys.append(key[np.lexsort((key, -np.bincount(part, minlength=parts)))[:most]])
     return np.concatenate(keys) if keys else np.zeros(0, np.uint64)
 
 
