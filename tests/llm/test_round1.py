@@ -51,3 +51,11 @@ def test_near_copies_by_five_words(spark, docs):
     for k, num, den in ((2, 1, 2),):
         want = near_components(rows, k, num, den)
         assert {g["doc_id"]: g["component_id"] for g in parity_join(docs(rows), k, num, den).collect()} == want
+
+
+def test_copies_without_id_leave_the_keys_to_others(docs):
+    words = [f"w{i}" for i in range(60)]
+    text, near = " ".join(words), " ".join([*words[:-1], "end"])
+    rows = docs([(7, near), (None, text), (3, text)], parts=1).coalesce(1).sortWithinPartitions("doc_id")
+    got = {g["doc_id"]: g["component_id"] for g in parity_join(rows).collect()}
+    assert got == {None: None, 3: 3, 7: 3}

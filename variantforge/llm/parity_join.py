@@ -100,13 +100,14 @@ def _signatures(k: int, num: int, den: int):
         bands, seen = Bands(num, den), set()
         for batch in batches:
             n, h1, h2, keys = [], [], [], []
-            for _, words in word_hashes(batch.column(1)):
+            named = batch.column(0).is_valid().to_pylist()
+            for i, words in word_hashes(batch.column(1)):
                 s = shingle_set(words, k)
                 n.append(len(s))
                 one, two = signature(s)
                 h1.append(one)
                 h2.append(two)
-                if len(s) and (one, two) not in seen:  # a class leaves a task's keys once
+                if len(s) and named[i] and (one, two) not in seen:  # a class leaves a task's keys once, with a row that joins
                     if len(seen) < 100_000:
                         seen.add((one, two))
                     keys.append(digests(s, bands).astype("<u8").tobytes())
