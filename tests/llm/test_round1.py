@@ -4,6 +4,7 @@ import random
 
 import corpus_pipeline
 
+from variantforge.llm import pseudonyms
 from variantforge.llm.parity_join import parity_join
 
 from .test_texts import prose
@@ -59,3 +60,24 @@ def test_copies_without_id_leave_the_keys_to_others(docs):
     rows = docs([(7, near), (None, text), (3, text)], parts=1).coalesce(1).sortWithinPartitions("doc_id")
     got = {g["doc_id"]: g["component_id"] for g in parity_join(rows).collect()}
     assert got == {None: None, 3: 3, 7: 3}
+
+
+def test_cards_beside_other_numbers_and_dates_with_times():
+    key, r = b"test key", random.Random(6)
+    card = "4111 1111 1111 1111"
+    for text, kinds in (
+        (card + " 12/25", ["card"]),
+        ("7536784127813050 4845168114407329", ["card", "card"]),
+        ("12 " + card, ["card"]),
+        (card + " 1980-05-17 and 1980-05-17T00:00:00Z", ["card", "day", "day"]),
+        (card + " 12/31/1999", ["card", "day"]),
+        (card + " " + card, ["card", "card"]),
+    ):
+        new, found = pseudonyms.pseudonymise(text, key)
+        assert found == kinds and pseudonyms.pseudonymise(new, key, inverse=True) == (text, kinds), text
+        assert new[:19] != text[:19] and len(new) == len(text)
+    assert pseudonyms.pseudonymise("1980-05-17Tx", key)[1] == []
+    for _ in range(1000):  # whatever stands in a run, it can be undone
+        text = "".join(r.choice([card, "378282246310005", "555-0123", "123-45-6789", "2001-02-03", str(r.randrange(10 ** r.randrange(1, 9)))]) + r.choice("  -/") for _ in range(6))
+        new, kinds = pseudonyms.pseudonymise(text, key)
+        assert pseudonyms.pseudonymise(new, key, inverse=True) == (text, kinds), text

@@ -3,6 +3,10 @@
 A value is read as a number of its format's domain, permuted there under a key, and written back with the
 same separators, so equal values get equal pseudonyms in all documents and none leaves its format.  Values
 that fail validation (a card number without its check digit, a date that does not exist) stay as they are.
+
+In a long run of digit groups every card length is tried at every group, the longest valid one first.  The
+run's values are then permuted together until it reads as the same values again, so that it can be undone; a
+value that has to be permuted more than once for this has another pseudonym there.
 """
 
 from __future__ import annotations
@@ -159,13 +163,15 @@ def _secret(m: str, key: bytes, inverse: bool) -> str | None:
 
 _FORMS: tuple[tuple[str, str, Callable[[str, bytes, bool], str | None]], ...] = (
     ("iban", r"[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])", _iban),
-    ("day", r"(?:\d{4}-\d{2}-\d{2}|\d{2}\.\d{2}\.\d{4}|\d{2}/\d{2}/\d{4})(?![\w-])", _day),
+    ("day", r"\d{4}-\d{2}-\d{2}(?=[Tt]\d{2}:?\d{2}|(?![\w-]))|(?:\d{2}\.\d{2}\.\d{4}|\d{2}/\d{2}/\d{4})(?![\w-])", _day),
     ("ipv4", r"(?:\d{1,3}\.){3}\d{1,3}(?!\.?\d)", _address),
     ("ssn", r"\d{3}-\d{2}-\d{4}(?![\d-])", _ssn),
-    ("card", r"\d(?:[ -]?\d){12,18}(?![ -]?\d)", _card),
+    ("card", r"\d(?:[ -]?\d){12,}", _card),
     ("phone", r"(?:\+\d{1,3}[ .-]?)?(?:\(\d{3}\) ?|\d{3}[ .-])\d{3}[ .-]\d{4}(?![\d-])|\d{3}-\d{4}(?![\d-])", _phone),
 )
 _NUMBER = re.compile("(?<![\\w.@+-])(?:" + "|".join(f"(?P<{name}>{form})" for name, form, _ in _FORMS) + ")")
+_FIRST, _LAST = (re.compile("|".join(f"(?P<{name}>{form})" for name, form, _ in _FORMS if name in names)) for names in (("day", "ipv4", "ssn"), ("phone",)))
+_GROUP = re.compile(r"\d+")
 _MAIL = re.compile(r"[A-Za-z0-9._%+-]*[A-Za-z0-9_%+-]@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _SECRET = re.compile(r'\w(?:[\w-]{2,39})\s{0,3}[=:]\s{0,3}"[A-Za-z0-9_\-+/]{20,}=*"')
 _BY_NAME = {name: form for name, _, form in _FORMS}
@@ -178,6 +184,46 @@ def _one(name: str, found: str, key: bytes, inverse: bool) -> str | None:
     return form(found, key, inverse)
 
 
+def _in_run(text: str, start: int, stop: int, key: bytes) -> list[tuple[str, int, int]]:
+    """(kind, start, stop) of the values that begin in a run of digit groups; all but cards begin it or follow a space."""
+    groups = [m.span() for m in _GROUP.finditer(text, start, stop)]
+    out, at = [], start
+    for g, (a, _) in enumerate(groups):
+        if a < at:
+            continue
+        ends, n = [], 0
+        for b, c in groups[g : g + 19]:
+            n += c - b
+            if n > 19:
+                break
+            if n >= 13:
+                ends.insert(0, c)
+        tries = [("card", c) for c in ends]
+        if a == start or text[a - 1] == " ":
+            tries = [(m.lastgroup, m.end()) for m in [_FIRST.match(text, a)] if m] + tries + [(m.lastgroup, m.end()) for m in [_LAST.match(text, a)] if m]
+        for kind, end in tries:
+            if _one(kind, text[a:end], key, False) is not None:
+                out.append((kind, a, end))
+                at = end
+                break
+    return out
+
+
+def _put_run(text: str, start: int, stop: int, key: bytes, inverse: bool) -> tuple[str, int, list[str]]:
+    """(what replaces the run from start, its end in text, the kinds)."""
+    found = _in_run(text, start, stop, key)
+    end = max([stop, *(b for _, _, b in found)])
+    if not found:
+        return text[start:end], end, []
+    same, size = [(kind, a - start, b - start) for kind, a, b in found], end - start
+    new, rest = text[start:end], text[end : end + 40]
+    while True:
+        for kind, a, b in same:
+            new = new[:a] + _one(kind, new[a:b], key, inverse) + new[b:]
+        if len(new) == size and _in_run(new + rest, 0, stop - start, key) == same:
+            return new, end, [kind for kind, _, _ in found]
+
+
 def pseudonymise(text: str, key: bytes, inverse: bool = False) -> tuple[str, list[str]]:
     """(text with its private values replaced, their kinds in order of scanning). inverse undoes it under the same key."""
     kinds: list[str] = []
@@ -208,7 +254,16 @@ def pseudonymise(text: str, key: bytes, inverse: bool = False) -> tuple[str, lis
         return text, kinds
     if '"' in text:
         text = _SECRET.sub(put("secret"), text)
-    return _NUMBER.sub(put(""), text), kinds
+    parts, at = [], 0
+    while m := _NUMBER.search(text, at):
+        parts.append(text[at : m.start()])
+        if m.lastgroup == "card":
+            new, at, more = _put_run(text, m.start(), m.end(), key, inverse)
+            kinds += more
+        else:
+            new, at = put("")(m), m.end()
+        parts.append(new)
+    return "".join([*parts, text[at:]]), kinds
 
 
 def private(docs: DataFrame, key: bytes, id_col: str = "doc_id", text_col: str = "text", inverse: bool = False) -> DataFrame:
