@@ -4,7 +4,7 @@ import random
 
 import corpus_pipeline
 
-from variantforge.llm import pseudonyms
+from variantforge.llm import licences, pseudonyms
 from variantforge.llm.parity_join import parity_join
 
 from .test_texts import prose
@@ -81,3 +81,19 @@ def test_cards_beside_other_numbers_and_dates_with_times():
         text = "".join(r.choice([card, "378282246310005", "555-0123", "123-45-6789", "2001-02-03", str(r.randrange(10 ** r.randrange(1, 9)))]) + r.choice("  -/") for _ in range(6))
         new, kinds = pseudonyms.pseudonymise(text, key)
         assert pseudonyms.pseudonymise(new, key, inverse=True) == (text, kinds), text
+
+
+def test_shortened_and_widened_notices_in_long_texts():
+    r = random.Random(7)
+    index = licences.Templates(licences.TEMPLATES)
+    for _, text in licences.TEMPLATES:
+        for kind in range(2):
+            w = licences.normal(text).decode().split()
+            if len(w) < 10:
+                continue
+            w = w[: len(w) * 3 // 4 + 1] if kind == 0 else w[: len(w) // 2] + prose(r, len(w) // 5).split() + w[len(w) // 2 :]
+            (_, alone), (_, inside) = licences._words([" ".join(w), prose(r, 50) + " " + " ".join(w) + " " + prose(r, 50)])
+            best, held = (max((h[1] for h in licences.scan(index, x)), default=0) for x in (alone, inside))
+            assert held == best and best >= licences.THRESHOLD, text
+    (_, words), = licences._words([prose(r, 30) + " Licensed under the GNU General Public License, version 3. " + prose(r, 30)])
+    assert [(h[0], round(h[1], 3)) for h in licences.scan(index, words)] == [("GPL-3.0", 0.842)]

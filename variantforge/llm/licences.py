@@ -1,12 +1,14 @@
 """Licence scans: windows of a text against templates by the Dice coefficient over word bigrams.
 
-Words are the runs of letters and digits of the lower-cased text.  A window as long as the template slides
-over the text; it can reach the threshold t only if it shares at least t of the template's bigrams.  A text
-whose size or whose bigrams in common fall short of t / (2 - t) of the template's is never compared.
+Words are the runs of letters and digits of the lower-cased text.  Windows of all widths that can reach the
+threshold t, from t / (2 - t) of the template's to its inverse, are scored where they begin and end at bigrams
+of the template; others only lose by what sticks out.  A text whose size or whose bigrams in common fall short
+of t / (2 - t) of the template's is never compared.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -111,16 +113,6 @@ class Templates:
         self.table[(self.known >> U64(48)).astype(np.int64)] = True
 
 
-def dice(a: np.ndarray, template: Template) -> float:
-    """The Dice coefficient of two bags of bigrams."""
-    kinds, counts = np.unique(a, return_counts=True)
-    at = np.searchsorted(template.kinds, kinds)
-    at[at == len(template.kinds)] = 0
-    same = template.kinds[at] == kinds
-    shared = np.minimum(counts[same], template.counts[at[same]]).sum()
-    return float(2 * shared / (len(a) + len(template.grams)))
-
-
 def scan(templates: Templates, words: np.ndarray, threshold: float = THRESHOLD) -> list[tuple[str, float, int, int]]:
     """(licence, dice, first word, words) of windows at or over the threshold; of overlapping ones the best, then the longest, then the first stays."""
     if not len(words) or not templates.all:
@@ -139,15 +131,22 @@ def scan(templates: Templates, words: np.ndarray, threshold: float = THRESHOLD)
         own = near[np.isin(grams[near], t.kinds)]
         if len(own) < least * b:
             continue
-        width = min(b, len(grams))
-        # Windows need be tried only where they begin or end at one of the template's bigrams.
-        starts = np.unique(np.clip(np.concatenate([own, own - width + 1]), 0, len(grams) - width))
-        inside = np.searchsorted(own, starts + width) - np.searchsorted(own, starts)
-        starts = starts[2 * inside >= threshold * (width + b) - 1e-9]
-        for s in starts:
-            d = dice(grams[s : s + width], t)
-            if d >= threshold:
-                found.append((-d, -width, int(s), t.name))
+        # The best windows begin and end at one of the template's bigrams: those at own[i] and own[i + k].
+        some = np.zeros(len(own), bool)
+        for k in range(max(0, math.ceil(least * b - 1e-9) - 1), min(len(own), int(b / least + 1e-9))):
+            width = own[k:] - own[: len(own) - k] + 1
+            some[: len(own) - k] |= 2 * min(k + 1, b) >= threshold * (width + b) - 1e-9
+        kind = np.searchsorted(t.kinds, grams[own]) if some.any() else own
+        for i in np.flatnonzero(some):
+            stop = int(np.searchsorted(own, own[i] + int(b / least + 1e-9)))
+            part, width = kind[i:stop], own[i:stop] - own[i] + 1
+            order = np.argsort(part, kind="stable")
+            first = np.ones(len(part), bool)
+            first[1:] = part[order[1:]] != part[order[:-1]]
+            times = np.empty(len(part), np.int64)  # how often the bigram came before
+            times[order] = np.arange(len(part)) - np.flatnonzero(first)[np.cumsum(first) - 1]
+            d = 2 * np.cumsum(times < t.counts[part]) / (width + b)
+            found += [(-float(d[j]), -int(width[j]), int(own[i]), t.name) for j in np.flatnonzero(d >= threshold)]
     taken: list[tuple[int, int]] = []
     out = []
     for d, w, s, name in sorted(found):
