@@ -4,7 +4,7 @@ import random
 
 import corpus_pipeline
 
-from variantforge.llm import licences, pseudonyms
+from variantforge.llm import licences, pieces, pseudonyms
 from variantforge.llm.parity_join import parity_join
 
 from .test_texts import prose
@@ -97,3 +97,12 @@ def test_shortened_and_widened_notices_in_long_texts():
             assert held == best and best >= licences.THRESHOLD, text
     (_, words), = licences._words([prose(r, 30) + " Licensed under the GNU General Public License, version 3. " + prose(r, 30)])
     assert [(h[0], round(h[1], 3)) for h in licences.scan(index, words)] == [("GPL-3.0", 0.842)]
+
+
+def test_each_occurrence_of_a_word_is_decided_for_itself():
+    p, text = pieces.load(pieces.MODEL), "wonderful considerations " * 2000 + "x" * 60
+    key = pieces.mix1(5 ^ pieces.mix1(pieces.SEED + 1))
+    ids, offsets = pieces.encode_texts(p, [text], [5])
+    one_by_one = [pieces.encode_word(p, w, (key + i) % 2**64, pieces.SEED, pieces.DROPOUT) for i, w in enumerate(p.words.findall(" " + text))]
+    assert ids.tolist() == [x for found in one_by_one for x in found]
+    assert len({tuple(x) for x in one_by_one[:-1:2]}) > 8

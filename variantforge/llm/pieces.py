@@ -4,8 +4,9 @@ Pieces come from a public model file; nothing is trained.  As in the reference a
 adjacent pair whose concatenation is a piece is merged, leftmost first, until none is left.  With dropout,
 a candidate merge (its start, middle and end in a word) is skipped for good if a keyed hash of the seed, the
 word, a variant and the candidate falls under the rate, so a decision depends on no order of processing.
-The variant of a word's occurrence is its place in the document plus a keyed hash of the document's id,
-modulo VARIANTS: equal words are segmented in up to VARIANTS ways, and each way is worked out once a batch.
+The variant of a word's occurrence is a keyed hash of the document's id plus its place in the document, so
+each occurrence is decided for itself.  One that skips none of the merges made without dropout comes out as
+without it; only the others are worked out one by one.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ from .scratch import bound_batches
 from .words import U64, mix, mix1
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
-DROPOUT, SEED, VARIANTS = 0.1, 17, 4
+DROPOUT, SEED = 0.1, 17
 #: Words of more characters go through a heap, one by one; shorter ones through arrays, many at once.
 ARRAY_CHARS = 48
 #: Characters of text whose words are worked out together.
@@ -167,8 +168,8 @@ def encode_word(pieces: Pieces, word: str, variant: int, seed: int, rate: float)
     return out
 
 
-def _encode_rows(pieces: Pieces, codes: np.ndarray, lengths: np.ndarray, variant: np.ndarray, seed: int, rate: float) -> tuple[np.ndarray, np.ndarray]:
-    """(symbols, start of each) of many words at once, padded by -3; all rows advance by their best merge together."""
+def _encode_rows(pieces: Pieces, codes: np.ndarray, lengths: np.ndarray, variant: np.ndarray, seed: int, rate: float, trace: list | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(symbols, start of each) of many words at once, padded by -3; all rows advance by their best merge together. trace gathers (row, start, middle, end) of the merges."""
     n, width = codes.shape
     key = word_keys(codes, lengths, variant, seed) if rate else np.zeros(n, np.uint64)
     limit = _limit(rate)
@@ -199,6 +200,8 @@ def _encode_rows(pieces: Pieces, codes: np.ndarray, lengths: np.ndarray, variant
         live, best = live[some], best[some]
         if not len(live):
             break
+        if trace is not None:
+            trace.append((live, start[live, best], start[live, best + 1], start[live, best + 2]))
         made = pieces.merged(sym[live, best], sym[live, best + 1])
         take = np.minimum(at_all + (at_all > best[:, None]), width - 1)
         s = np.take_along_axis(sym[live], take, axis=1)
@@ -217,8 +220,8 @@ def _encode_rows(pieces: Pieces, codes: np.ndarray, lengths: np.ndarray, variant
     return sym, start
 
 
-def _encode_words(pieces: Pieces, words: list[str], variant: np.ndarray, seed: int, rate: float) -> tuple[np.ndarray, np.ndarray]:
-    """(all pieces, offsets) of many words."""
+def _encode_words(pieces: Pieces, words: list[str], variant: np.ndarray, seed: int, rate: float, trace: list | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(all pieces, offsets) of many words; trace gathers the merges of those up to ARRAY_CHARS."""
     lengths = np.fromiter(map(len, words), np.int64, len(words))
     parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []  # rows, counts, pieces
     low = 0
@@ -230,7 +233,10 @@ def _encode_words(pieces: Pieces, words: list[str], variant: np.ndarray, seed: i
             flat = np.frombuffer("".join([words[r] for r in some]).encode("utf-32-le", "surrogatepass"), "<u4")
             codes = np.zeros((len(some), high), np.uint32)
             codes[np.arange(high) < lengths[some][:, None]] = flat
-            sym, start = _encode_rows(pieces, codes, lengths[some], variant[some], seed, rate)
+            merges = None if trace is None else []
+            sym, start = _encode_rows(pieces, codes, lengths[some], variant[some], seed, rate, merges)
+            if merges:
+                trace += [(some[m[0]], *m[1:]) for m in merges]
             r, c = np.nonzero(sym >= -1)
             value = sym[r, c]
             times = np.ones(len(value), np.int64)
@@ -256,7 +262,35 @@ def _encode_words(pieces: Pieces, words: list[str], variant: np.ndarray, seed: i
     return out, offsets
 
 
-def encode_texts(pieces: Pieces, texts: list[str | None], keys: list[int | None], seed: int = SEED, rate: float = DROPOUT, variants: int = VARIANTS) -> tuple[np.ndarray, np.ndarray]:
+def _skips(names: list[str], which: np.ndarray, variant: np.ndarray, trace: list, seed: int, rate: float) -> np.ndarray:
+    """Whether each occurrence skips one of its word's merges without dropout, or has a word too long for a trace."""
+    long = np.fromiter((len(w) > ARRAY_CHARS for w in names), bool, len(names))
+    out = long[which]
+    if not trace:
+        return out
+    word, start, mid, end = (np.concatenate(x) for x in zip(*trace, strict=True))
+    order = np.argsort(word, kind="stable")
+    start, mid, end = (x[order].astype(np.uint64) for x in (start, mid, end))
+    count = np.bincount(word, minlength=len(names))
+    before = np.cumsum(count) - count
+    lengths = np.fromiter(map(len, names), np.int64, len(names))
+    by_length = np.argsort(lengths[which], kind="stable")
+    for i in range(0, len(by_length), 65_536):
+        some = by_length[i : i + 65_536]
+        some = some[~out[some]]
+        if not len(some):
+            continue
+        wide = lengths[which[some]]
+        codes = np.zeros((len(some), int(wide.max())), np.uint32)
+        codes[np.arange(codes.shape[1]) < wide[:, None]] = np.frombuffer("".join([names[k] for k in which[some]]).encode("utf-32-le", "surrogatepass"), "<u4")
+        key, n = word_keys(codes, wide, variant[some], seed), count[which[some]]
+        row = np.repeat(np.arange(len(some)), n)
+        at = np.repeat(before[which[some]] - (np.cumsum(n) - n), n) + np.arange(len(row))
+        out[some[row[_dropped(key[row], start[at], mid[at], end[at], _limit(rate))]]] = True
+    return out
+
+
+def encode_texts(pieces: Pieces, texts: list[str | None], keys: list[int | None], seed: int = SEED, rate: float = DROPOUT) -> tuple[np.ndarray, np.ndarray]:
     """(pieces of all texts, offsets). keys give each text's first variant; null and empty texts have no pieces."""
     out, sizes, i = [], [], 0
     while i < len(texts):
@@ -268,16 +302,21 @@ def encode_texts(pieces: Pieces, texts: list[str | None], keys: list[int | None]
             size += len(texts[i] or "") + 1
             uses += [index.setdefault(w, len(index)) for w in found]
             first = mix1((keys[i] or 0) ^ mix1(seed + 1)) if rate else 0
-            variant_of.append((np.arange(len(found), dtype=np.int64) + first % variants) % variants if rate else np.zeros(len(found), np.int64))
+            variant_of.append(np.arange(len(found), dtype=np.uint64) + U64(first))
             bounds.append(bounds[-1] + len(found))
             i += 1
         if not uses:
             sizes += [0] * (len(bounds) - 1)
             continue
-        pair = np.array(uses, np.int64) * variants + np.concatenate(variant_of)
-        kinds, which = np.unique(pair, return_inverse=True)
-        names = list(index)
-        value, offsets = _encode_words(pieces, [names[k] for k in kinds // variants], kinds % variants, seed, rate)
+        which, names = np.array(uses, np.int64), list(index)
+        trace = [] if rate else None
+        value, offsets = _encode_words(pieces, names, np.zeros(len(names), np.uint64), seed, 0.0, trace)
+        if rate:
+            variant = np.concatenate(variant_of)
+            own = np.flatnonzero(_skips(names, which, variant, trace, seed, rate))
+            more, ends = _encode_words(pieces, [names[k] for k in which[own]], variant[own], seed, rate)
+            value, offsets = np.concatenate([value, more]), np.concatenate([offsets, offsets[-1] + ends[1:]])
+            which[own] = len(names) + np.arange(len(own))
         count = np.diff(offsets)[which]
         at = np.repeat(offsets[which] - (np.cumsum(count) - count), count) + np.arange(int(count.sum()))
         out.append(value[at])
@@ -296,7 +335,7 @@ def _path(model: str) -> str:
     return model if model.startswith("/") else SparkFiles.get(model)
 
 
-def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: str = MODEL, seed: int = SEED, rate: float = DROPOUT, variants: int = VARIANTS, keep_text: bool = False, check: bool = False) -> DataFrame:
+def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: str = MODEL, seed: int = SEED, rate: float = DROPOUT, keep_text: bool = False, check: bool = False) -> DataFrame:
     """One row per row: doc_id, pieces (array of int) and, if asked, text and lossless; the same seed gives the same pieces.
 
     A null text has null pieces, an empty one none. A null doc_id counts as 0 for the variants. model is a
@@ -310,7 +349,7 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mode
         for batch in batches:
             for i in range(0, batch.num_rows, 500):
                 part = batch.slice(i, 500)
-                values, offsets = encode_texts(pieces, part.column(1).to_pylist(), part.column(0).to_pylist(), seed, rate, variants)
+                values, offsets = encode_texts(pieces, part.column(1).to_pylist(), part.column(0).to_pylist(), seed, rate)
                 lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(values, pa.int32()), mask=pc.is_null(part.column(1)))
                 columns, names = [part.column(0), lists], ["doc_id", "pieces"]
                 if keep_text:
