@@ -51,11 +51,18 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document of least doc_id in each component of linked documents; rows without doc_id stay."""
-    least = parity_join(docs, k=NEAR_WORDS, num=NEAR_NUM, den=NEAR_DEN).where("component_id = doc_id").select("doc_id")
-    kept = docs.where("doc_id IS NOT NULL").join(least, "doc_id", "left_semi").select(docs.columns)
+    """Keeps the document of least doc_id in each component of linked documents; rows without doc_id stay.
+
+    Where a doc_id occurs twice, different texts under it are judged by row numbers in order of doc_id.
+    """
+    named, key = docs.where("doc_id IS NOT NULL"), "doc_id"
     if _repeated(docs):
-        kept = kept.dropDuplicates(["doc_id"])
+        key = f"row__{len(docs.columns)}"
+        ordered = named.dropDuplicates(["doc_id", "text"]).orderBy("doc_id", "text")
+        named = Scratch(spark, "near_copies").cut(ordered.withColumn(key, F.monotonically_increasing_id()), "rows")
+    joined = parity_join(named, k=NEAR_WORDS, num=NEAR_NUM, den=NEAR_DEN, id_col=key)
+    least = joined.where("component_id = doc_id").select(F.col("doc_id").alias(key))
+    kept = named.join(least, key, "left_semi").select(docs.columns)
     return kept.unionByName(docs.where("doc_id IS NULL"))
 
 

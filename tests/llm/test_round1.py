@@ -106,3 +106,12 @@ def test_each_occurrence_of_a_word_is_decided_for_itself():
     one_by_one = [pieces.encode_word(p, w, (key + i) % 2**64, pieces.SEED, pieces.DROPOUT) for i, w in enumerate(p.words.findall(" " + text))]
     assert ids.tolist() == [x for found in one_by_one for x in found]
     assert len({tuple(x) for x in one_by_one[:-1:2]}) > 8
+
+
+def test_different_texts_under_one_id_are_both_judged(spark, docs):
+    r = random.Random(8)
+    one, two, three = (prose(r, 60) for _ in range(3))
+    rows = [(5, one), (5, two), (5, two), (3, three), (5, three + " tail"), (None, one)]
+    got = corpus_pipeline.drop_near_copies(spark, docs(rows), "")
+    assert sorted((str(g["doc_id"]), g["text"]) for g in got.collect()) == sorted([("5", one), ("5", two), ("3", three), ("None", one)])
+    assert got.columns == docs([]).columns
