@@ -170,7 +170,7 @@ _FORMS: tuple[tuple[str, str, Callable[[str, bytes, bool], str | None]], ...] =
     ("phone", r"(?:\+\d{1,3}[ .-]?)?(?:\(\d{3}\) ?|\d{3}[ .-])\d{3}[ .-]\d{4}(?![\d-])|\d{3}-\d{4}(?![\d-])", _phone),
 )
 _NUMBER = re.compile("(?<![\\w.@+-])(?:" + "|".join(f"(?P<{name}>{form})" for name, form, _ in _FORMS) + ")")
-_FIRST, _LAST = (re.compile("|".join(f"(?P<{name}>{form})" for name, form, _ in _FORMS if name in names)) for names in (("day", "ipv4", "ssn"), ("phone",)))
+_FIRST, _ADDRESS, _LAST = (re.compile("|".join(f"(?P<{name}>{form})" for name, form, _ in _FORMS if name in names)) for names in (("day", "ssn"), ("ipv4",), ("phone",)))
 _GROUP = re.compile(r"\d+")
 _MAIL = re.compile(r"[A-Za-z0-9._%+-]*[A-Za-z0-9_%+-]@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _SECRET = re.compile(r'\w(?:[\w-]{2,39})\s{0,3}[=:]\s{0,3}"[A-Za-z0-9_\-+/]{20,}=*"')
@@ -258,7 +258,10 @@ def pseudonymise(text: str, key: bytes, inverse: bool = False) -> tuple[str, lis
     while m := _NUMBER.search(text, at):
         parts.append(text[at : m.start()])
         if m.lastgroup == "card":
-            new, at, more = _put_run(text, m.start(), m.end(), key, inverse)
+            stop, last = m.end(), text.rfind(" ", m.start(), m.end())
+            if last > 0 and _ADDRESS.match(text, last + 1):  # changes its length, so it is no part of the run
+                stop = last
+            new, at, more = _put_run(text, m.start(), stop, key, inverse)
             kinds += more
         else:
             new, at = put("")(m), m.end()
