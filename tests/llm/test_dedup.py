@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import tracemalloc
 
 import numpy as np
 import pyarrow as pa
@@ -10,7 +11,7 @@ import pytest
 
 from variantforge.llm.components import components
 from variantforge.llm.exact_dedup import PatriciaTrie, exact_dedup
-from variantforge.llm.parity_join import Bands, digests, parity_join, part_words
+from variantforge.llm.parity_join import Bands, Chosen, Counts, digests, folded, parity_join, part_words, sketch_of
 from variantforge.llm.scratch import Scratch
 from variantforge.llm.words import shingle_set, word_hashes
 
@@ -60,6 +61,22 @@ def test_exact_dedup(docs, budget):
         assert g["kept"] == (g["doc_id"] == g["keep_id"])
 
 
+def test_tries_stay_in_their_budget():
+    """Texts with a long common start: a trie's weight covers what it takes, and giving up a subtree puts one key together at a time."""
+    r, start = random.Random(5), b"s" * 100_000
+    trie = PatriciaTrie()
+    tracemalloc.start()
+    for i in range(3000):
+        trie.insert(start + b"%d" % r.randrange(10**9), lambda: [0, -1, None, 2**63 - 1, i, hashlib.sha256(b"%d" % i).hexdigest(), i])  # noqa: B023
+    held, _ = tracemalloc.get_traced_memory()
+    assert 300_000 < held < 1.2 * trie.weight < 4 * held  # the keys themselves are 300 MB
+    tracemalloc.reset_peak()
+    gone = sum(len(key) > 100_000 for key, _ in trie.remove_heaviest(stub=True))
+    _, peak = tracemalloc.get_traced_memory()
+    tracemalloc.stop()
+    assert gone > 100 and peak - held < 2_000_000
+
+
 def test_exact_dedup_of_repeated_rows_and_none(docs):
     got = exact_dedup(docs([(1, "a"), (1, "a"), (1, "a"), (2, "b")])).collect()
     assert sorted((g["doc_id"], g["kept"], g["group_size"]) for g in got) == [(1, False, 3), (1, False, 3), (1, True, 3), (2, True, 1)]
@@ -100,39 +117,81 @@ def family(r, base, n, first):
     return out
 
 
-@pytest.mark.parametrize("block_bytes", [4 << 20, 3000])
-def test_parity_join(docs, block_bytes):
+@pytest.mark.parametrize(("block_bytes", "rounds"), [(2 << 20, 3), (3000, 1)])
+def test_parity_join(docs, block_bytes, rounds):
     r = random.Random(7)
     rows = [(1, None), (2, ""), (3, " \n"), (4, "One"), (5, "one"), (6, "a b"), (7, "A  b"), (8, "a b c"), (9, "x " * 50_000), (10, "x " * 60_000), (11, "É a b"), (12, "é a b")]
     for k, base in enumerate((12, 40, 90, 90, 200, 600)):
         rows += family(r, base, 25, 1000 * (k + 1))
     rows += [(50_000 + i, rows[20 + i % 9][1].upper()) for i in range(60)]
-    got = {g["doc_id"]: (g["n_shingles"], g["component_id"]) for g in parity_join(docs(rows), block_bytes=block_bytes).collect()}
+    got = {g["doc_id"]: (g["n_shingles"], g["component_id"]) for g in parity_join(docs(rows), 3, 9, 10, block_bytes=block_bytes, rounds=rounds).collect()}
     assert got == brute_join(rows)
 
 
 def test_parity_join_of_repeated_null_and_no_rows(docs):
     text = " ".join(f"w{i}" for i in range(40))
-    got = parity_join(docs([(3, text), (3, text), (7, text + " end"), (None, text), (9, "")])).collect()
+    got = parity_join(docs([(3, text), (3, text), (7, text + " end"), (None, text), (9, "")]), 3, 9, 10).collect()
     assert sorted((str(g["doc_id"]), str(g["component_id"])) for g in got) == [("3", "3"), ("3", "3"), ("7", "3"), ("9", "9"), ("None", "None")]
     assert parity_join(docs([])).count() == 0
 
 
-def test_sketch_bounds_and_shared_parts():
+def test_sketch_bounds_and_shared_words():
     r = np.random.Generator(np.random.PCG64(3))
     bands = Bands(9, 10)
     for n in (9, 10, 20, 57, 300, 2000):
         for _ in range(30):
             pool = r.integers(0, 2**63, 2 * n, dtype=np.uint64)
-            a = pool[:n]
+            a = np.sort(pool[:n])
             drop = r.integers(0, n // 12 + 1)
-            b = np.concatenate([a[drop:], pool[n : n + r.integers(0, n // 12 + 1)]])
+            b = np.sort(np.concatenate([pool[drop:n], pool[n : n + r.integers(0, n // 12 + 1)]]))
             apart, both = len(np.setxor1d(a, b)), len(np.intersect1d(a, b))
             for parts in (1, 7, 40):
                 assert np.bitwise_count(part_words(a, parts) ^ part_words(b, parts)).sum() <= apart
+            assert (folded(part_words(a, 16), 4) == part_words(a, 4)).all()
+            words = min(len(sketch_of(a)), len(sketch_of(b)))
+            assert np.bitwise_count(folded(sketch_of(a), words) ^ folded(sketch_of(b), words)).sum() <= apart
             if 10 * both >= 9 * (len(a) + len(b) - both) and apart:
                 assert apart <= bands.most_apart(len(a) + len(b))
-                assert len(np.intersect1d(digests(np.sort(a), bands), digests(np.sort(b), bands)))
+                keys = [digests(x, bands) for x in (a, b)]
+                common = np.intersect1d(*keys)
+                for frequent in (np.zeros(0, np.uint64), common[:-1], common[::-1], common):  # whatever counts as frequent, a shared key stays
+                    chosen = Chosen(9, 10, frequent)
+                    mine, theirs = (chosen.of([1], [len(x)], [y.tobytes()])[0] for x, y in zip((a, b), keys, strict=True))
+                    assert len(np.intersect1d(mine, theirs))
+
+
+def test_counts():
+    counts = Counts(kinds=50, gather=1000)
+    r = np.random.Generator(np.random.PCG64(4))
+    for _ in range(100):
+        counts.add(np.concatenate([np.arange(20, dtype=np.uint64), r.integers(100, 2**60, 80, dtype=np.uint64)]))
+    counts.flush()
+    assert len(counts.keys) <= 50 and dict(zip(counts.keys.tolist(), counts.times.tolist(), strict=True)).items() >= {(i, 100) for i in range(20)}
+
+
+def test_strangers_with_common_passages_meet_no_one(spark, docs):
+    """Candidate pairs of random texts that share passages stay few, and the join stays exact."""
+    r = random.Random(12)
+    passages = [[f"p{i}_{j}" for j in range(50)] for i in range(3)]
+    rows = []
+    for i in range(1500):
+        own = [f"w{r.randrange(10**6)}" for _ in range(150)]
+        at = r.randrange(150)
+        rows.append((i, " ".join(own[:at] + passages[i % 3] + own[at:])))
+    rows += [(9000 + i, rows[i][1] + " tail") for i in range(30)]
+    got = {g["doc_id"]: g["component_id"] for g in parity_join(docs(rows)).collect()}
+    assert got == {i: i - 9000 if i >= 9000 else i for i, _ in rows}
+    bands, keys, node = Bands(8, 10), [], []
+    for i, (_, text) in enumerate(rows[:1500]):
+        own = digests(shingle_set(dict(word_hashes(pa.array([text])))[0], 5), bands)
+        keys.append(own)
+        node.append(i)
+    kinds, times = np.unique(np.concatenate(keys), return_counts=True)
+    pick = Chosen(8, 10, kinds[np.argsort(times, kind="stable")][np.sort(times) >= 32])
+    size = len(shingle_set(dict(word_hashes(pa.array([rows[0][1]])))[0], 5))
+    key, _ = pick.of(node, [size] * len(node), [k.tobytes() for k in keys])
+    _, met = np.unique(key, return_counts=True)
+    assert (met * (met - 1) // 2).sum() < 100  # about 190,000 pairs share a passage
 
 
 def test_words():

@@ -16,7 +16,6 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .scratch import bound_batches
 
 U64 = np.uint64
 Q = 8
@@ -247,7 +246,6 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
     have min(m * budget, m // 8 - 1) edits; items of under 8 match nothing.  Null and empty texts and items
     match nothing; rows repeated give rows repeated; an empty table on either side gives no rows.
     """
-    bound_batches(docs.sparkSession)
     found = None
     for block in item_blocks(benchmark):
         part = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(_find(docs.sparkSession.sparkContext.broadcast(build_index(block, budget))), _HITS)
@@ -270,7 +268,6 @@ def _find(index):
 
 def drop_leaks(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", budget: float = BUDGET) -> DataFrame:
     """docs, all columns, without the rows in which ``find_leaks`` finds an item."""
-    bound_batches(docs.sparkSession)
     for block in item_blocks(benchmark):
         docs = docs.mapInArrow(_drop(docs.sparkSession.sparkContext.broadcast(build_index(block, budget)), docs.columns.index(text_col)), docs.schema)
     return docs

@@ -20,33 +20,43 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .scratch import Scratch, bound_batches
+from .scratch import Scratch
 
 WHITE = b"\x20\x09\x0a\x0b\x0c\x0d"
-#: Bytes of labels that a trie may hold before it gives up a subtree.
+#: Bytes that a trie may take before it gives up a subtree.
 TRIE_BYTES = 64 << 20
 _GONE = object()
 
 
+#: Bytes that a node, and the value of a terminal one, take besides their label.
+NODE_BYTES, VALUE_BYTES = 240, 420
+
+
 class _Node:
-    __slots__ = ("children", "label", "value", "weight")
+    __slots__ = ("children", "count", "label", "value", "weight")
 
     def __init__(self, label: bytes, value=None):
-        self.label, self.value, self.weight = label, value, len(label) + 64
+        self.label, self.value, self.weight, self.count = label, value, len(label) + NODE_BYTES, 0
         self.children: dict[int, object] = {}
 
 
 class PatriciaTrie:
-    """A compressed radix trie over whole byte strings; values sit on terminal nodes."""
+    """A compressed radix trie over whole byte strings; values sit on terminal nodes.
+
+    Each node knows the bytes of its subtree (labels, nodes and values) and how many terminal nodes it has.
+    """
 
     def __init__(self):
         self.root = _Node(b"")
-        self.size = 0
 
     @property
     def weight(self) -> int:
         return self.root.weight
 
+    @property
+    def size(self) -> int:
+        return self.root.count
+
     def insert(self, key: bytes, make):
         """The value stored for key, made by make() if new; None if the key falls into a removed subtree."""
         node, at, path = self.root, 0, [self.root]
@@ -59,6 +69,7 @@ class PatriciaTrie:
                 node.children[key[at]] = child
                 self._grow(path, child.weight)
                 node, at = child, len(key)
+                path.append(child)
                 break
             label = child.label
             if not key.startswith(label, at):
@@ -67,25 +78,27 @@ class PatriciaTrie:
                 child.label = label[same:]
                 child.weight -= same
                 upper.weight += child.weight
+                upper.count = child.count
                 upper.children[child.label[0]] = child
                 node.children[key[at]] = upper
-                self._grow(path, 64)
+                self._grow(path, NODE_BYTES)
                 child = upper
             at += len(child.label)
             path.append(child)
             node = child
         if node.value is None:
             node.value = make()
-            self.size += 1
+            self._grow(path, VALUE_BYTES, 1)
         return node.value
 
     @staticmethod
-    def _grow(path: list[_Node], by: int) -> None:
+    def _grow(path: list[_Node], weight: int, count: int = 0) -> None:
         for x in path:
-            x.weight += by
+            x.weight += weight
+            x.count += count
 
     def remove_heaviest(self, stub: bool) -> Iterator[tuple[bytes, object]]:
-        """Takes out a heavy subtree (not over half of the whole where that can be) and returns its entries.
+        """Takes out a heavy subtree (not over half of the whole where that can be) and yields its entries, one key at a time.
 
         With stub, later keys of that subtree are refused by ``insert``.  The last entry never goes, so a
         text larger than any budget is decided all the same and every round of spilling decides some text.
@@ -103,26 +116,25 @@ class PatriciaTrie:
         if top.weight * 2 > self.weight and len(live) > 1:
             live.remove(top)
             top = max(live, key=lambda c: c.weight)
-        gone = list(self.entries(top, prefix))
-        if len(gone) == self.size:
+        if top.count == self.size:
             return iter(())
-        self.size -= len(gone)
-        first = top.label[0]
         if stub:
-            node.children[first] = _GONE
+            node.children[top.label[0]] = _GONE
         else:
-            del node.children[first]
-        self._grow(path, -top.weight)
-        return iter(gone)
+            del node.children[top.label[0]]
+        self._grow(path, -top.weight, -top.count)
+        return self.entries(top, prefix)
 
     def entries(self, node: _Node | None = None, prefix: bytes = b"") -> Iterator[tuple[bytes, object]]:
-        stack = [(node or self.root, prefix)]
+        """(key, value) of all terminal nodes; one key is put together at a time."""
+        key, stack = bytearray(prefix), [(node or self.root, len(prefix))]
         while stack:
-            node, prefix = stack.pop()
-            key = prefix + node.label
+            node, depth = stack.pop()
+            del key[depth:]
+            key += node.label
             if node.value is not None:
-                yield key, node.value
-            stack.extend((c, key) for c in node.children.values() if c is not _GONE)
+                yield bytes(key), node.value
+            stack.extend((c, len(key)) for c in node.children.values() if c is not _GONE)
 
 
 def _shared(label: bytes, key: bytes, at: int) -> int:
@@ -201,50 +213,60 @@ def _local(trie_bytes: int):
     return run
 
 
-_OWN = pa.schema([("part", pa.int64()), ("owner", pa.int64()), ("keep_id", pa.int64()), ("group_size", pa.int64()), *[_MAP.field(i) for i in (1, 2, 4, 5, 6, 7, 8, 9)]])
-_OWN_SQL = "part bigint, owner bigint, keep_id bigint, group_size bigint, doc_id bigint, row bigint, sha string, klen bigint, khash bigint, key binary, n bigint, points bigint"
+_OWN = pa.schema([("kind", pa.int32()), ("part", pa.int64()), ("text_no", pa.int64()), ("owner", pa.int64()), ("keep_id", pa.int64()), ("group_size", pa.int64()), *[_MAP.field(i) for i in (1, 2, 4, 5, 6, 7, 8, 9)]])
+_OWN_SQL = "kind int, part bigint, text_no bigint, owner bigint, keep_id bigint, group_size bigint, doc_id bigint, row bigint, sha string, klen bigint, khash bigint, key binary, n bigint, points bigint"
+#: Kinds of rows: which text a part belongs to; a decided text; a text (or a part of one) for the next round.
+_LINK, _DECIDED, _LATE = range(3)
+
+
+def _own_batch(rows: list[dict]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_pydict({f.name: [r.get(f.name) for r in rows] for f in _OWN}, schema=_OWN)
 
 
 def _owners(trie_bytes: int):
-    """Rows (part, owner, keep_id, group_size) of decided texts; with owner null, rows of subtrees given up, as they came."""
+    """Links (part, text_no) of all rows, then the owners of decided texts; texts of subtrees given up leave as one row each, under their text_no.
+
+    Links leave at once, so a text holds no more in memory when more parts of it arrive.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        trie = PatriciaTrie()
+        trie, base, texts = PatriciaTrie(), TaskContext.get().partitionId() << 33, 0
 
-        def late(rows):
-            cols = {f.name: [] for f in _OWN}
+        def late(rows: Iterable[dict]) -> Iterator[pa.RecordBatch]:
+            out, size = [], 0
             for r in rows:
-                for name in cols:
-                    cols[name].append(r.get(name))
-            return pa.RecordBatch.from_pydict(cols, schema=_OWN)
+                out.append(r)
+                size += len(r.get("key") or b"")
+                if size > 8 << 20 or len(out) == 4096:
+                    yield _own_batch(out)
+                    out, size = [], 0
+            if out:
+                yield _own_batch(out)
+
+        def given_up(entries: Iterable[tuple[bytes, list]]) -> Iterator[dict]:
+            for key, (n, points, doc_id, row, text_no, sha, khash) in entries:
+                yield {"kind": _LATE, "part": text_no, "n": n, "points": points, "doc_id": doc_id, "row": row, "sha": sha, "khash": khash, "klen": len(key), "key": key}
 
         for batch in batches:
-            refused = []
+            links = []
             for r in batch.to_pylist():
-                state = trie.insert(r["key"], lambda: [0, -1, None, 2**63 - 1, []])
+                state = trie.insert(r["key"], lambda: [0, -1, None, 2**63 - 1, base + texts, r["sha"], r["khash"]])  # noqa: B023
                 if state is None:
-                    refused.append(r)
+                    links += [{"kind": _LINK, "part": r["part"], "text_no": base + texts}, {**r, "kind": _LATE, "part": base + texts}]
+                    texts += 1
                     continue
+                if not state[0]:
+                    texts += 1
                 state[0] += r["n"]
                 _better(state, r["points"], r["doc_id"], r["row"])
-                state[4].append((r["part"], r["n"], r["points"], r["doc_id"], r["row"], r["sha"], r["khash"]))
-            while trie.weight > trie_bytes:
-                given_up = 0
-                for key, (_, _, _, _, parts) in trie.remove_heaviest(stub=True):
-                    given_up += 1
-                    refused += [{"part": p, "n": n, "points": c, "doc_id": d, "row": w, "sha": s, "khash": h, "klen": len(key), "key": key} for p, n, c, d, w, s, h in parts]
-                if not given_up:
-                    break
-            if refused:
-                yield late(refused)
-        out = []
-        for _, (n, _, doc_id, row, parts) in trie.entries():
-            out += [{"part": p[0], "owner": row, "keep_id": doc_id, "group_size": n} for p in parts]
-            if len(out) > 10_000:
-                yield late(out)
-                out = []
-        if out:
-            yield late(out)
+                links.append({"kind": _LINK, "part": r["part"], "text_no": state[4]})
+                while trie.weight > trie_bytes and trie.size > 1:
+                    before = trie.size
+                    yield from late(given_up(trie.remove_heaviest(stub=True)))
+                    if trie.size == before:
+                        break
+            yield from late(links)
+        yield from late({"kind": _DECIDED, "text_no": state[4], "owner": state[3], "keep_id": state[2], "group_size": state[0]} for _, state in trie.entries())
 
     return run
 
@@ -258,19 +280,22 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     text_sha256 is of the normalised text in UTF-8, text_crc (crc32) of the original.
     """
     spark = docs.sparkSession
-    bound_batches(spark)
     scratch = Scratch(spark, "exact_dedup")
     pairs = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
     local = scratch.cut(pairs.mapInArrow(_local(trie_bytes), _MAP_SQL), "local")
     groups = local.where("kind = 1").drop("kind", "crc")
-    found = None
-    for step in range(1 << 30):
+    rounds = []
+    while True:
         dealt = groups.repartition("klen", "khash")
-        out = scratch.cut(dealt.mapInArrow(_owners(trie_bytes), _OWN_SQL), f"owners{step}")
-        decided = out.where("owner IS NOT NULL").select("part", "owner", "keep_id", "group_size")
-        found = decided if found is None else found.unionByName(decided)
-        groups = out.where("owner IS NULL").drop("owner", "keep_id", "group_size")
+        rounds.append(scratch.cut(dealt.mapInArrow(_owners(trie_bytes), _OWN_SQL), f"owners{len(rounds)}"))
+        groups = rounds[-1].where(F.col("kind") == _LATE).drop("kind", "text_no", "owner", "keep_id", "group_size")
         if groups.isEmpty():
             break
+    found = None  # (part, owner, keep_id, group_size), from the last round back to the first
+    for out in reversed(rounds):
+        decided = out.where(F.col("kind") == _DECIDED).select("text_no", "owner", "keep_id", "group_size")
+        if found is not None:
+            decided = decided.unionByName(found.withColumnRenamed("part", "text_no"))
+        found = out.where(F.col("kind") == _LINK).select("part", "text_no").join(decided, "text_no").drop("text_no")
     rows = local.where("kind = 0").select("doc_id", "row", "part", F.col("sha").alias("text_sha256"), F.col("crc").alias("text_crc"))
     return rows.join(found, "part").select("doc_id", "keep_id", "group_size", (F.col("row") == F.col("owner")).alias("kept"), "text_sha256", "text_crc")

@@ -17,7 +17,6 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .scratch import bound_batches
 
 #: Hashed n-gram features, n-gram sizes, and characters that are counted at once.
 DIMS, SIZES, SPAN = 4096, (1, 2, 3), 1 << 18
@@ -129,7 +128,6 @@ def train(docs: DataFrame, held_out, id_col: str = "doc_id", text_col: str = "te
 
     About per_language rows of each language are read, chosen by hash of the id.
     """
-    bound_batches(docs.sparkSession)
     labelled = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & ~F.coalesce(held_out, F.lit(False)))
     share = {r[0]: min(1.0, per_language / r[1]) for r in labelled.groupBy(lang_col).count().collect()}
     if not share:
@@ -158,7 +156,6 @@ def identify(docs: DataFrame, model: EcocModel | None, text_col: str = "text", b
 
     A text that is null or has no letter gets `und`, score 0, ambiguous; so does every text without a model.
     """
-    bound_batches(docs.sparkSession)
     keep = [c for c in docs.columns if c not in ("lang_pred", "score", "ambiguous")]
     plain = docs.select(*keep)
     at = keep.index(text_col)

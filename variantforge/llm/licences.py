@@ -18,7 +18,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .decontaminate import normal
-from .scratch import bound_batches
 from .words import U64, mix, word_hashes
 
 THRESHOLD = 0.8
@@ -175,6 +174,5 @@ def licences(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", te
             kinds = (pa.int64(), pa.string(), pa.float64(), pa.int64(), pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["doc_id", "licence", "dice", "first_word", "n_words"])
 
-    bound_batches(docs.sparkSession)
     chosen = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
     return chosen.mapInArrow(run, "doc_id bigint, licence string, dice double, first_word bigint, n_words bigint")

@@ -1,19 +1,20 @@
 """Exact n-gram Jaccard join through parity sketches.
 
-A document's set holds the 64-bit hashes of its distinct word shingles.  A sketch gives every shingle one
-bit and XORs: two sketches differ in at most as many bits as their sets have elements apart, so the Hamming
-distance never exceeds the symmetric difference.  A pair at the threshold has at most
-D = (1 - t) / (1 + t) * (|A| + |B|) elements apart; dealt by hash into P > D parts, some part must agree.
+A document's set holds the 64-bit hashes of its distinct word shingles.  A parity sketch XORs a hash of every
+shingle into one of its words.  A pair at the threshold has at most D = (1 - t) / (1 + t) * (|A| + |B|)
+elements apart; dealt by hash into P > D words, some word must agree (the pigeonhole key), and the Hamming
+distance of sketches of one bit a shingle never exceeds the number of elements apart (the filter).
 
 Sizes fall into bands, each 1/t times the last, so that linked sets lie in one band or in neighbours.  A
-document has parts for its own band's scheme and for the next one's and keys them by the elements in them.
-Parts of few elements say little and would gather strangers, so a set keeps only its D + 1 fullest parts, D
-for its largest partner.  In the common order (elements, key) at most D parts of either set come before the
-first that they share, so both keep that one.
-
-Documents of equal sets are one class.  Classes that share a part are joined, star by star, into families;
-inside a family, blocks of bounded bytes are compared with each other: by size, by Hamming distance, then
-by the exact intersection.  Only a spanning forest of links leaves a block.
+document has words for its own band's scheme and for the next one's.  In any order of keys that all sets
+share, at most D words of either set come before the first that both hold, so the first D + 1, D for its
+largest partner, are enough.  The order puts frequent keys last (a passage that many documents hold fills
+words of its own) and words of few elements after fuller ones: strangers seldom meet.  Which keys count as
+frequent changes only the work, never the links.
+
+Documents of equal sets are one class.  Classes that hold a key are compared pair by pair, never through
+others: first each with one head of the key's bucket; then buckets whose members are not yet in one
+component get other heads; what is left is compared in full, in blocks of bounded size.
 """
 
 from __future__ import annotations
@@ -27,11 +28,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .scratch import Scratch, bound_batches
+from .scratch import Scratch
 from .words import U64, mix, shingle_set, word_hashes
 
-#: Bytes of sets in a block: two blocks meet in a task.
-BLOCK_BYTES = 4 << 20
+#: Bytes of sets, and sets, that are held in a task at once, about: a block. Two blocks meet in a task.
+BLOCK_BYTES, BLOCK_SETS = 2 << 20, 500
+#: Keys in the list of frequent ones (8 bytes each, sent to all tasks), and the least count that makes a key frequent.
+FREQUENT, FREQUENT_FROM = 1 << 17, 32
+#: Rounds in which a bucket's members meet one head each, before the rest meet each other.
+ROUNDS = 3
 
 
 class Bands:
@@ -63,26 +68,40 @@ class Bands:
 
 
 def part_words(hashes: np.ndarray, parts: int) -> np.ndarray:
-    """The parity sketch: `parts` words of 64 bits."""
+    """The bit sketch: `parts` words of 64 bits, each element's bit flipped."""
     at = mix(hashes) % U64(parts * 64)
     odd = np.bincount(at.astype(np.int64), minlength=parts * 64).astype(np.uint8) & 1
     return np.packbits(odd, bitorder="little").view(np.uint64)
 
 
+def sketch_of(hashes: np.ndarray) -> np.ndarray:
+    """A bit sketch of about 8 bits a shingle; the number of words is a power of 2."""
+    return part_words(hashes, 1 << max(0, (len(hashes) // 8).bit_length() - 1))
+
+
+def folded(sketch: np.ndarray, words: int) -> np.ndarray:
+    """The sketch of fewer words (both powers of 2) of the same set."""
+    while len(sketch) > words:
+        sketch = sketch[: len(sketch) // 2] ^ sketch[len(sketch) // 2 :]
+    return sketch
+
+
+def schemes(n: int, bands: Bands) -> list[tuple[int, int, int]]:
+    """(scheme, words, words that a set of n must be known by) of the schemes that it takes part in."""
+    band = bands.of(n)
+    found = ((scheme, bands.parts(scheme)) for scheme in (band, band + 1))
+    return [(scheme, parts, bands.most_apart(n + min(n * bands.den // bands.num, bands.high(scheme))) + 1) for scheme, parts in found if parts]
+
+
 def digests(hashes: np.ndarray, bands: Bands) -> np.ndarray:
-    """64-bit keys of the parts of both schemes that a set takes part in; sets share a key iff a part that both keep agrees (or by a rare collision)."""
-    n = len(hashes)
-    band, keys, at, what = bands.of(n), [], mix(hashes), mix(hashes ^ U64(0x3C3C3C3C3C3C3C3C))
-    for scheme in (band, band + 1):
-        parts = bands.parts(scheme)
-        if not parts:
-            continue
+    """64-bit keys of all words of both schemes, scheme by scheme, fuller words first; sets share a key iff a word agrees (or by a rare collision)."""
+    keys, at, what = [], mix(hashes), mix(hashes ^ U64(0x3C3C3C3C3C3C3C3C))
+    for scheme, parts, _ in schemes(len(hashes), bands):
         part = (at % U64(parts)).astype(np.int64)
         held = np.zeros(parts, np.uint64)
-        np.add.at(held, part, what)
+        np.bitwise_xor.at(held, part, what)
         key = mix(held + mix(np.arange(parts, dtype=np.uint64) + U64(scheme << 32)))
-        most = bands.most_apart(n + min(n * bands.den // bands.num, bands.high(scheme))) + 1
-        keys.append(key[np.lexsort((key, -np.bincount(part, minlength=parts)))[:most]])
+        keys.append(key[np.lexsort((key, -np.bincount(part, minlength=parts)))])
     return np.concatenate(keys) if keys else np.zeros(0, np.uint64)
 
 
@@ -92,12 +111,44 @@ def signature(hashes: np.ndarray) -> tuple[int, int]:
     return one - (one >> 63 << 64), two - (two >> 63 << 64)
 
 
-_SIGN = "doc_id bigint, n bigint, h1 bigint, h2 bigint, keys binary"
+class Counts:
+    """The most frequent of many keys: exact counts while there are few kinds, else a lower bound."""
+
+    def __init__(self, kinds: int = 1 << 15, gather: int = 1 << 20):
+        self.kinds, self.gather, self.held = kinds, gather, 0
+        self.new: list[np.ndarray] = []
+        self.keys, self.times = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+
+    def add(self, keys: np.ndarray) -> None:
+        self.new.append(keys)
+        self.held += len(keys)
+        if self.held >= self.gather:
+            self.flush()
+
+    def flush(self) -> None:
+        if not self.held:
+            return
+        found, times = np.unique(np.concatenate(self.new), return_counts=True)
+        found, times = found[times > 1], times[times > 1]
+        keys, where = np.unique(np.concatenate([self.keys, found]), return_inverse=True)
+        times = np.bincount(where, np.concatenate([self.times, times]), len(keys)).astype(np.int64)
+        if len(keys) > self.kinds:
+            best = np.sort(np.argpartition(-times, self.kinds)[: self.kinds])
+            keys, times = keys[best], times[best]
+        self.keys, self.times, self.new, self.held = keys, times, [], 0
+
+
+#: Rows of documents (frequent false), and of frequent keys (n their count, h1 the key).
+_SIGN = "doc_id bigint, n bigint, h1 bigint, h2 bigint, keys binary, frequent boolean"
+
+
+def _sign_batch(ids, n, h1, h2, keys, frequent: bool) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([ids, pa.array(n, pa.int64()), pa.array(h1, pa.int64()), pa.array(h2, pa.int64()), pa.array(keys, pa.binary()), pa.array([frequent] * len(n), pa.bool_())], names=["doc_id", "n", "h1", "h2", "keys", "frequent"])
 
 
 def _signatures(k: int, num: int, den: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bands, seen = Bands(num, den), set()
+        bands, seen, counts = Bands(num, den), set(), Counts()
         for batch in batches:
             n, h1, h2, keys = [], [], [], []
             named = batch.column(0).is_valid().to_pylist()
@@ -110,19 +161,54 @@ def _signatures(k: int, num: int, den: int):
                 if len(s) and named[i] and (one, two) not in seen:  # a class leaves a task's keys once, with a row that joins
                     if len(seen) < 100_000:
                         seen.add((one, two))
-                    keys.append(digests(s, bands).astype("<u8").tobytes())
+                    own = digests(s, bands)
+                    counts.add(own)
+                    keys.append(own.astype("<u8").tobytes())
                 else:
                     keys.append(None)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0).cast(pa.int64()), pa.array(n, pa.int64()), pa.array(h1, pa.int64()), pa.array(h2, pa.int64()), pa.array(keys, pa.binary())],
-                names=["doc_id", "n", "h1", "h2", "keys"],
-            )
+            yield _sign_batch(batch.column(0).cast(pa.int64()), n, h1, h2, keys, False)
+        counts.flush()
+        m = len(counts.keys)
+        yield _sign_batch(pa.nulls(m, pa.int64()), counts.times, counts.keys.view(np.int64), np.zeros(m, np.int64), [None] * m, True)
 
     return run
 
 
-def _out(a: np.ndarray, b: np.ndarray, pair: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(pair)], names=["key", "node", "linked"])
+class Chosen:
+    """The keys by which sets are known: of each scheme the first that are enough, frequent keys last."""
+
+    def __init__(self, num: int, den: int, frequent: np.ndarray):
+        """frequent: keys, the least frequent first."""
+        self.bands = Bands(num, den)
+        order = np.argsort(frequent)
+        self.known, self.rank = frequent[order], order + 1
+
+    def of(self, nodes: list[int], sizes: list[int], raws: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
+        """(key, node) rows."""
+        keys = np.frombuffer(b"".join([r for r in raws if r]), "<u8").astype(np.uint64)
+        node, enough, lengths = [], [], []
+        for x, n, raw in zip(nodes, sizes, raws, strict=True):
+            if raw:
+                for _, parts, most in schemes(n, self.bands):
+                    node.append(x)
+                    lengths.append(parts)
+                    enough.append(most)
+        if not node:
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        lengths = np.array(lengths, np.int64)
+        segment = np.repeat(np.arange(len(node)), lengths)
+        place = np.arange(len(keys)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+        rank = np.zeros(len(keys), np.int64)
+        if len(self.known):
+            at = np.searchsorted(self.known, keys)
+            at[at == len(self.known)] = 0
+            hit = self.known[at] == keys
+            rank[hit] = self.rank[at[hit]]
+            if hit.any():
+                order = np.lexsort((place, rank, segment))
+                keys = keys[order]
+        keep = place < np.array(enough, np.int64)[segment]
+        return keys[keep].view(np.int64), np.array(node, np.int64)[segment[keep]]
 
 
 def _stars(key: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -140,34 +226,53 @@ def _stars(key: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
 COMBINE_ROWS = 1 << 20
 
 
-def _explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (key, node, -1) of keys to be dealt out and (random, node, least) of stars found here already."""
+def _explode(num: int, den: int, frequent):
+    """Rows (key, node, -1) of keys to be dealt out and (random, node, least) of those that met here already."""
 
-    def flush():
-        key, node = np.concatenate(keys), np.concatenate(nodes)
-        kept, a, b = _stars(key, node)
-        yield _out(key[kept], node[kept], np.full(len(kept), -1, np.int64))
-        if len(a):
-            pair = np.unique(np.stack([a, b], axis=1), axis=0)
-            yield _out(mix(pair[:, 0].astype(np.uint64)).view(np.int64), pair[:, 0], pair[:, 1])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        chosen = Chosen(num, den, frequent.value)
+        keys, nodes, held = [], [], 0
 
-    keys, nodes, held = [], [], 0
-    for batch in batches:
-        for node, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            if raw:
-                key = np.frombuffer(raw, dtype="<i8").astype(np.int64)
-                keys.append(key)
-                nodes.append(np.full(len(key), node, np.int64))
-                held += len(key)
-                if held >= COMBINE_ROWS:
-                    yield from flush()
-                    keys, nodes, held = [], [], 0
-    if held:
-        yield from flush()
+        def out(a: np.ndarray, b: np.ndarray, linked: np.ndarray) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(linked)], names=["key", "node", "linked"])
+
+        def flush():
+            key, node = np.concatenate(keys), np.concatenate(nodes)
+            kept, a, b = _stars(key, node)
+            yield out(key[kept], node[kept], np.full(len(kept), -1, np.int64))
+            if len(a):
+                pair = np.unique(np.stack([a, b], axis=1), axis=0)
+                yield out(mix(pair[:, 0].astype(np.uint64)).view(np.int64), pair[:, 0], pair[:, 1])
+
+        for batch in batches:
+            key, node = chosen.of(*(batch.column(i).to_pylist() for i in range(3)))
+            keys.append(key)
+            nodes.append(node)
+            held += len(key)
+            if held >= COMBINE_ROWS:
+                yield from flush()
+                keys, nodes, held = [], [], 0
+        if held:
+            yield from flush()
+
+    return run
+
+
+def _members(num: int, den: int, frequent):
+    """Rows (key, node, root) of (node, n, keys, root)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        chosen = Chosen(num, den, frequent.value)
+        for batch in batches:
+            nodes = batch.column(0).to_pylist()
+            key, at = chosen.of(list(range(len(nodes))), *(batch.column(i).to_pylist() for i in (1, 2)))
+            yield pa.RecordBatch.from_arrays([pa.array(key), batch.column(0).take(pa.array(at)), batch.column(3).take(pa.array(at))], names=["key", "node", "root"])
+
+    return run
 
 
 def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Star links (a, b) of the keys that met in this partition, with those found before; runs of a key may span flushes of the sorted input."""
+    """Pairs (a, b) of each key's nodes with its least one, with those found before; runs of a key may span batches of the sorted input."""
     held_key, held_node = None, None
     for batch in batches:
         key, node, linked = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(3))
@@ -181,93 +286,153 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if held_key == key[0]:
                 head[: int(np.flatnonzero(first)[1]) if first.sum() > 1 else len(head)] = held_node
             held_key, held_node = key[-1], head[-1]
-            a.append(node[head != node])
-            b.append(head[head != node])
+            a.append(head[head != node])
+            b.append(node[head != node])
         a, b = np.concatenate(a), np.concatenate(b)
         if len(a):
-            pair = np.unique(np.stack([a, b], axis=1), axis=0)
+            pair = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1), axis=0)
             yield pa.RecordBatch.from_arrays([pa.array(pair[:, 0]), pa.array(pair[:, 1])], names=["a", "b"])
 
 
+_SET = "node bigint, n bigint, sketch binary, set binary"
+
+
 def _sets(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows, held = {name: [] for name in ("family", "bi", "bj", "node", "n", "set")}, 0
-            family, blocks, block, node, _, h1, h2 = (None if i == 4 else batch.column(i).to_pylist() for i in range(7))
-            for i, words in word_hashes(batch.column(4)):
+            node, h1, h2 = (batch.column(i).to_pylist() for i in (0, 2, 3))
+            rows, held = [], 0
+            for i, words in word_hashes(batch.column(1)):
                 s = shingle_set(words, k)
                 if (h1[i], h2[i]) != signature(s):  # another text under the same doc_id
                     continue
-                raw = s.astype("<u8").tobytes()
-                for other in range(blocks[i]):
-                    low, high = min(block[i], other), max(block[i], other)
-                    for name, v in (("family", family[i]), ("bi", low), ("bj", high), ("node", node[i]), ("n", len(s)), ("set", raw)):
-                        rows[name].append(v)
-                    held += len(raw)
-                if held > 16 << 20:
+                rows.append((node[i], len(s), sketch_of(s).astype("<u8").tobytes(), s.astype("<u8").tobytes()))
+                held += len(s) * 9
+                if held > 8 << 20:
                     yield _set_batch(rows)
-                    rows, held = {name: [] for name in rows}, 0
+                    rows, held = [], 0
             yield _set_batch(rows)
 
     return run
 
 
-def _set_batch(rows: dict) -> pa.RecordBatch:
-    kinds = {"set": pa.binary()}
-    return pa.RecordBatch.from_arrays([pa.array(v, kinds.get(name, pa.int64())) for name, v in rows.items()], names=list(rows))
+def _set_batch(rows: list[tuple]) -> pa.RecordBatch:
+    cols = list(zip(*rows, strict=True)) if rows else [[]] * 4
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.binary(), pa.binary()), strict=True)], names=["node", "n", "sketch", "set"])
+
+
+def _linked(a: np.ndarray, b: np.ndarray, num: int, den: int) -> bool:
+    """Whether two sorted sets reach the threshold."""
+    if len(a) < len(b):
+        a, b = b, a
+    at = np.searchsorted(a, b)
+    at[at == len(a)] = 0
+    both = int(np.count_nonzero(a[at] == b))
+    return den * both >= num * (len(a) + len(b) - both)
+
+
+def _words(raw: bytes) -> np.ndarray:
+    return np.frombuffer(raw, "<u8")
+
+
+def _pairs(found: list[tuple[int, int]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([x[0] for x in found], pa.int64()), pa.array([x[1] for x in found], pa.int64())], names=["a", "b"])
 
 
-def _block_links(num: int, den: int):
-    """Spanning links among the sets of each (family, bi, bj); the input is sorted by these, so one block pair is held at a time."""
-    def links(node: list[int], sets: list[np.ndarray]) -> list[tuple[int, int]]:
-        order = sorted(range(len(node)), key=lambda i: (len(sets[i]), node[i]))
-        node, sets = [node[i] for i in order], [sets[i] for i in order]
-        sizes = np.array([len(s) for s in sets])
-        sketch = np.stack([part_words(s, max(1, len(sets[-1]) // 8)) for s in sets])
-        comp = np.arange(len(node))
+def _with_head(num: int, den: int):
+    """Links of heads with their members; of each (head, salt) the head's rows come first."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, heads = None, []
+        for batch in batches:
+            head, salt, member, node, n, sketch, sets = (batch.column(i) if i > 4 else batch.column(i).to_pylist() for i in range(7))
+            found = []
+            for i, now in enumerate(zip(head, salt, strict=True)):
+                if now != key:
+                    key, heads = now, []
+                mine = _words(sketch[i].as_py())
+                if not member[i]:
+                    heads.append((n[i], mine, _words(sets[i].as_py())))
+                    continue
+                for size, other, whole in heads:
+                    total, words = size + n[i], min(len(mine), len(other))
+                    if den * min(size, n[i]) < num * max(size, n[i]) or int(np.bitwise_count(folded(mine, words) ^ folded(other, words)).sum()) * (den + num) > (den - num) * total:
+                        continue
+                    if _linked(whole, _words(sets[i].as_py()), num, den):
+                        found.append((head[i], node[i]))
+                        break
+            if found:
+                yield _pairs(found)
+
+    return run
+
+
+def _verified(pairs: DataFrame, sets: DataFrame, num: int, den: int, block_bytes: int) -> DataFrame:
+    """Those pairs (a, b) whose sets link. A head a with many members is dealt to several tasks, each with its set."""
+    counted = pairs.groupBy("a").agg(F.count("*").alias("members")).join(sets.groupBy(F.col("node").alias("a")).agg(F.max("n").alias("size")), "a")
+    salts = F.ceil(F.greatest(F.col("members") * F.col("size") * 9 / F.lit(block_bytes), F.col("members") / F.lit(BLOCK_SETS))).cast("int")
+    heads = counted.select("a", F.greatest(salts, F.lit(1)).alias("salts"))
+    members = pairs.join(heads, "a").select(F.col("a").alias("head"), F.pmod(F.xxhash64("b"), F.col("salts")).cast("int").alias("salt"), F.lit(True).alias("member"), F.col("b").alias("node"))
+    firsts = heads.select(F.col("a").alias("head"), F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(False).alias("member"), F.col("a").alias("node"))
+    full = members.unionByName(firsts).join(sets, "node").select("head", "salt", "member", "node", "n", "sketch", "set")
+    return full.repartition("head", "salt").sortWithinPartitions("head", "salt", "member").mapInArrow(_with_head(num, den), "a bigint, b bigint")
+
+
+def _between_blocks(num: int, den: int):
+    """Links among the sets of a block, or between two, that join what no link has joined; the input is sorted by (head, bi, bj), so one unit is held at a time."""
+
+    def links(key: tuple, rows: list[tuple]) -> list[tuple[int, int]]:
+        rows.sort(key=lambda r: (r[3], r[1]))  # block, node, root, n, sketch, set
+        sizes = np.array([r[3] for r in rows])
+        block, node = np.array([r[0] for r in rows]), [r[1] for r in rows]
+        _, comp = np.unique([r[2] for r in rows], return_inverse=True)
+        sets = [_words(r[5]) for r in rows]
+        words = min(len(r[4]) // 8 for r in rows)
+        sketch = np.stack([folded(_words(r[4]), words) for r in rows])
         out = []
-        for i in range(len(node) - 1):
-            stop = int(np.searchsorted(sizes, sizes[i] * den // num, side="right"))
-            j = np.arange(i + 1, stop)
-            j = j[comp[j] != comp[i]]
+        for i in range(len(rows) - 1):
+            j = np.arange(i + 1, int(np.searchsorted(sizes, sizes[i] * den // num, side="right")))
+            j = j[(comp[j] != comp[i]) & ((block[j] != block[i]) | (key[1] == key[2]))]
             if not len(j):
                 continue
-            total = sizes[i] + sizes[j]
-            near = j[np.bitwise_count(sketch[j] ^ sketch[i]).sum(axis=1) * (den + num) <= (den - num) * total]
+            near = j[np.bitwise_count(sketch[j] ^ sketch[i]).sum(axis=1) * (den + num) <= (den - num) * (sizes[i] + sizes[j])]
             for x in near:
-                if comp[x] == comp[i]:
-                    continue
-                both = len(np.intersect1d(sets[i], sets[x], assume_unique=True))
-                if den * both >= num * (len(sets[i]) + len(sets[x]) - both):
+                if comp[x] != comp[i] and _linked(sets[i], sets[x], num, den):
                     comp[comp == comp[x]] = comp[i]
                     out.append((node[i], node[x]))
         return out
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, node, sets = None, [], []
-
-        def batch(found):
-            return pa.RecordBatch.from_arrays([pa.array([x[0] for x in found], pa.int64()), pa.array([x[1] for x in found], pa.int64())], names=["a", "b"])
-
+        key, rows = None, []
         for b in batches:
             keys = list(zip(*(b.column(i).to_pylist() for i in range(3)), strict=True))
-            nodes, raws, done = b.column(3).to_pylist(), b.column(5), []
-            for i, key in enumerate(keys):
-                if key != held:
-                    if len(node) > 1:
-                        done += links(node, sets)
-                    held, node, sets = key, [], []
-                node.append(nodes[i])
-                sets.append(np.frombuffer(raws[i].as_py(), dtype="<u8"))
+            columns, done = [b.column(i).to_pylist() for i in range(3, 9)], []
+            for i, now in enumerate(keys):
+                if now != key:
+                    done += links(key, rows) if rows else []
+                    key, rows = now, []
+                rows.append(tuple(c[i] for c in columns))
             if done:
-                yield batch(done)
-        if len(node) > 1:
-            yield batch(links(node, sets))
+                yield _pairs(done)
+        if rows:
+            yield _pairs(links(key, rows))
 
     return run
 
 
-def parity_join(docs: DataFrame, k: int = 3, num: int = 9, den: int = 10, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def _in_full(mixed: DataFrame, sets: DataFrame, num: int, den: int, block_bytes: int) -> DataFrame:
+    """Links among all members of the buckets (key, node, root); buckets of one least node are compared together, so that a pair seldom meets twice."""
+    head = mixed.groupBy("key").agg(F.min("node").alias("head"))
+    group = mixed.join(head, "key").select("head", "node", "root").distinct()
+    sized = group.join(sets.groupBy("node").agg(F.max("n").alias("size")), "node")
+    blocks = F.ceil(F.greatest(F.sum(F.col("size") * 9) / F.lit(block_bytes), F.count("*") / F.lit(BLOCK_SETS))).cast("int")
+    spread = group.join(sized.groupBy("head").agg(blocks.alias("blocks")), "head").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    units = spread.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("head", F.least("block", "other").alias("bi"), F.greatest("block", "other").alias("bj"), "block", "node", "root")
+    full = units.join(sets, "node").select("head", "bi", "bj", "block", "node", "root", "n", "sketch", "set")
+    return full.repartition("head", "bi", "bj").sortWithinPartitions("head", "bi", "bj").mapInArrow(_between_blocks(num, den), "a bigint, b bigint")
+
+
+def parity_join(docs: DataFrame, k: int = 5, num: int = 8, den: int = 10, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES, rounds: int = ROUNDS) -> DataFrame:
     """One row per row of docs: doc_id, n_shingles, component_id, class_size.
 
     Words are ``[^\\x20\\x09-\\x0D]+`` after lower-casing A-Z; a set holds the distinct k-word shingles, with
@@ -278,31 +443,51 @@ def parity_join(docs: DataFrame, k: int = 3, num: int = 9, den: int = 10, id_col
     component.  A null doc_id is left out of joins: its component_id is null.  Other columns are not read.
     """
     spark = docs.sparkSession
-    bound_batches(spark)
     scratch = Scratch(spark, "parity_join")
     pairs = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
     signed = scratch.cut(pairs.mapInArrow(_signatures(k, num, den), _SIGN), "signed")
-    full = signed.where("n > 0 AND doc_id IS NOT NULL")
+    often = signed.where("frequent").groupBy("h1").agg(F.sum("n").alias("n")).where(F.col("n") >= FREQUENT_FROM).orderBy(F.desc("n"), "h1").limit(FREQUENT).orderBy("n", "h1").select("h1").toArrow()
+    frequent = spark.sparkContext.broadcast(often.column(0).to_numpy().astype(np.int64).view(np.uint64))
+    full = signed.where("NOT frequent AND n > 0 AND doc_id IS NOT NULL")
     classes = scratch.cut(full.groupBy("h1", "h2").agg(F.min("doc_id").alias("node"), F.count("*").alias("class_size"), F.first("n").alias("n")), "classes")
-    keyed = full.where("keys IS NOT NULL").select("h1", "h2", "keys").join(classes.select("h1", "h2", "node"), ["h1", "h2"]).select("node", "keys")
-    rows = keyed.mapInArrow(_explode, "key bigint, node bigint, linked bigint")
+    keyed = full.where("keys IS NOT NULL").select("h1", "h2", "n", "keys")
+    rows = keyed.join(classes.select("h1", "h2", "node"), ["h1", "h2"]).select("node", "n", "keys").mapInArrow(_explode(num, den, frequent), "key bigint, node bigint, linked bigint")
     met = rows.repartition("key").sortWithinPartitions("key", "node").mapInArrow(_meet, "a bigint, b bigint")
-    family = scratch.cut(components(met, scratch, "family"), "family")
-    scratch.drop("family_links")
-
-    sized = family.join(classes.select("node", "n", "h1", "h2"), "node")
-    totals = sized.groupBy("root").agg(F.sum(F.col("n") * 8).alias("bytes"), F.count("*").alias("members"))
-    blocks = F.ceil(F.col("bytes") / F.lit(block_bytes)).cast("int")
-    spread = sized.join(totals.where("members > 1").select("root", blocks.alias("blocks")), "root")
-    spread = spread.select("root", "blocks", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("block"), F.col("node").alias("doc_id"), "h1", "h2")
-    sets = spread.join(pairs, "doc_id").select("root", "blocks", "block", "doc_id", "text", "h1", "h2").mapInArrow(_sets(k), "family bigint, bi bigint, bj bigint, node bigint, n bigint, set binary")
-    dealt = sets.repartition("family", "bi", "bj").sortWithinPartitions("family", "bi", "bj")
-    found = dealt.mapInArrow(_block_links(num, den), "a bigint, b bigint")
-    roots = components(found, scratch, "linked")
+    stars = scratch.cut(met.distinct(), "stars")
+    involved = scratch.cut(stars.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(classes, "node").select("node", "h1", "h2"), "involved")
+    texts = involved.join(pairs.withColumnRenamed("doc_id", "node"), "node").select("node", "text", "h1", "h2")
+    sets = scratch.cut(texts.mapInArrow(_sets(k), _SET).dropDuplicates(["node", "set"]), "sets")
+    links = [scratch.cut(_verified(stars, sets, num, den, block_bytes), "links0")]
+    mixed = None
+    for step in range(1, rounds + 1):
+        joined = links[0]
+        for more in links[1:]:
+            joined = joined.unionByName(more)
+        roots = components(joined, scratch, f"joined{step}").withColumnRenamed("root", "up")
+        if mixed is None:
+            known = involved.join(roots, "node", "left").select("h1", "h2", "node", F.coalesce("up", "node").alias("root"))
+            members = keyed.join(known, ["h1", "h2"]).select("node", "n", "keys", "root").mapInArrow(_members(num, den, frequent), "key bigint, node bigint, root bigint")
+        else:
+            members = mixed.join(roots, "node", "left").select("key", "node", F.coalesce("up", "root").alias("root"))
+        apart = members.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.min(F.struct(F.xxhash64("node", F.lit(step)).alias("h"), F.col("node").alias("a"), F.col("root").alias("head_root"))).alias("head")).where("low < high")
+        mixed = scratch.cut(members.join(apart.select("key", "head.a", "head.head_root"), "key"), f"mixed{step}")
+        if mixed.isEmpty():
+            break
+        if step == rounds:
+            links.append(scratch.cut(_in_full(mixed.select("key", "node", "root"), sets, num, den, block_bytes), f"links{step}"))
+        else:
+            meet = mixed.where("root <> head_root").select("a", F.col("node").alias("b")).distinct()
+            links.append(scratch.cut(_verified(meet, sets, num, den, block_bytes), f"links{step}"))
+            mixed = mixed.select("key", "node", "root")
+    joined = links[0]
+    for more in links[1:]:
+        joined = joined.unionByName(more)
+    roots = components(joined, scratch, "linked")
     least = classes.join(roots, "node", "left").select("h1", "h2", "node", "class_size", F.coalesce("root", "node").alias("root"))
     least = scratch.cut(least, "rooted")
     names = least.groupBy("root").agg(F.min("node").alias("component_id"))
     final = least.join(names, "root").select("h1", "h2", "component_id", "class_size")
     members = full.select("doc_id", F.col("n").alias("n_shingles"), "h1", "h2").join(final, ["h1", "h2"])
-    rest = signed.where("NOT (n > 0 AND doc_id IS NOT NULL)").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), F.lit(1).cast("bigint").alias("class_size"))
+    rest = signed.where("NOT frequent AND NOT (n > 0 AND doc_id IS NOT NULL)").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), F.lit(1).cast("bigint").alias("class_size"))
+    scratch.drop("stars", "involved", "sets", "classes", *[f"{x}{i}" for i in range(rounds + 1) for x in ("links", "mixed")])
     return members.select("doc_id", "n_shingles", "component_id", "class_size").unionByName(rest)

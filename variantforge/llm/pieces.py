@@ -23,7 +23,6 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .scratch import bound_batches
 from .words import U64, mix, mix1
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
@@ -359,7 +358,6 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mode
                     columns, names = [*columns, pa.array(same, pa.bool_())], [*names, "lossless"]
                 yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    bound_batches(docs.sparkSession)
     chosen = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
     return chosen.mapInArrow(run, "doc_id bigint, pieces array<int>" + ", text string" * keep_text + ", lossless boolean" * check)
 
@@ -375,6 +373,5 @@ def decode(encoded: DataFrame, model: str = MODEL) -> DataFrame:
             texts = [None if not x.is_valid else decode_ids(pieces, x.values.to_numpy(zero_copy_only=False).tolist()) for x in lists]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], names=[*batch.schema.names, "decoded"])
 
-    bound_batches(encoded.sparkSession)
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in encoded.schema)
     return encoded.mapInArrow(run, f"{fields}, decoded string")

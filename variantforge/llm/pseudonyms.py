@@ -22,7 +22,6 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .scratch import bound_batches
 
 ROUNDS = 8
 #: Dates from the first to the last of these are permuted among themselves.
@@ -287,6 +286,5 @@ def private(docs: DataFrame, key: bytes, id_col: str = "doc_id", text_col: str =
             counts = pa.array([len(k) for k in kinds], pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string()), counts, pa.array(kinds, pa.list_(pa.string()))], names=["doc_id", "text", "n_private", "kinds"])
 
-    bound_batches(docs.sparkSession)
     chosen = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
     return chosen.mapInArrow(run, "doc_id bigint, text string, n_private bigint, kinds array<string>")

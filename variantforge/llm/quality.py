@@ -11,7 +11,6 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .scratch import bound_batches
 from .words import shingle_set, word_hashes
 
 #: The statistics, each transformed to be near to normal.
@@ -84,7 +83,6 @@ def features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
             cols = list(zip(*rows, strict=True)) if rows else [[] for _ in FEATURES]
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, pa.float64()) for c in cols)], names=["doc_id", *FEATURES])
 
-    bound_batches(docs.sparkSession)
     fields = ", ".join(f"{name} double" for name in FEATURES)
     return docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col)).mapInArrow(run, f"doc_id bigint, {fields}")
 

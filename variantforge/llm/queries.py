@@ -11,7 +11,7 @@ from . import language_id, licences, pieces, pseudonyms, quality, token_counts,
 from .decontaminate import find_leaks
 from .exact_dedup import exact_dedup
 from .parity_join import parity_join
-from .scratch import Scratch
+from .scratch import Scratch, bounded
 
 
 #: The key of the registered query; a deployment passes its own secret.
@@ -83,16 +83,19 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "op1_decontamination": op1_decontamination,
-    "op2_pseudonyms": op2_pseudonyms,
-    "op3_sentencepiece": op3_sentencepiece,
-    "op4_exact_dedup": op4_exact_dedup,
-    "op5_ngram_jaccard_join": op5_ngram_jaccard_join,
-    "op6_language_id": op6_language_id,
-    "op7_licence_scan": op7_licence_scan,
-    "op8_quality_classifier": op8_quality_classifier,
-    "op9_token_counts": op9_token_counts,
-    "op10_url_filter": op10_url_filter,
+    f.__name__: bounded(f)
+    for f in (
+        op1_decontamination,
+        op2_pseudonyms,
+        op3_sentencepiece,
+        op4_exact_dedup,
+        op5_ngram_jaccard_join,
+        op6_language_id,
+        op7_licence_scan,
+        op8_quality_classifier,
+        op9_token_counts,
+        op10_url_filter,
+    )
 }
 
 ORACLE_SQL: dict[str, str] = {

@@ -19,7 +19,6 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .scratch import bound_batches
 
 RANKS = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Fixed value: the pre-token pattern of the rank file's public tokenizer.
@@ -193,7 +192,6 @@ def masking_edits(docs: DataFrame, pattern: str = "[0-9]{4,}|[*#$%&!]{2,}", mask
             edits = [None if not t.is_valid else first + [{"start": m.start(), "stop": m.end(), "text": mask} for m in found.finditer(t.as_py())] for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(edits, kind)], names=["doc_id", "text", "edits"])
 
-    bound_batches(docs.sparkSession)
     chosen = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
     return chosen.mapInArrow(run, "doc_id bigint, text string, edits array<struct<start: bigint, stop: bigint, text: string>>")
 
@@ -226,7 +224,6 @@ def recount(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", edi
             arrays = [batch.column(0)] + [pa.array(c, pa.int64()) for c in cols[:5]] + [pa.array(cols[5], pa.string())] * keep_text
             yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "n_tokens", "n_edits", "n_tokens_after", "n_pre_tokens", "n_cut_anew"] + ["edited"] * keep_text)
 
-    bound_batches(docs.sparkSession)
     chosen = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"), F.col(edits_col).alias("edits"))
     fields = "doc_id bigint, n_tokens bigint, n_edits bigint, n_tokens_after bigint, n_pre_tokens bigint, n_cut_anew bigint"
     return chosen.mapInArrow(run, fields + ", edited string" * keep_text)
