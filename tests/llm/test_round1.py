@@ -67,7 +67,7 @@ def test_cards_beside_other_numbers_and_dates_with_times():
     card = "4111 1111 1111 1111"
     for text, kinds in (
         (card + " 12/25", ["card"]),
-        ("7536784127813050 4845168114407329", ["card", "card"]),
+        ("6011000990139424 4845168114407329", ["card", "card"]),
         ("12 " + card, ["card"]),
         (card + " 1980-05-17 and 1980-05-17T00:00:00Z", ["card", "day", "day"]),
         (card + " 12/31/1999", ["card", "day"]),
@@ -79,7 +79,7 @@ def test_cards_beside_other_numbers_and_dates_with_times():
         assert new[:19] != text[:19]
     assert pseudonyms.pseudonymise("1980-05-17Tx", key)[1] == []
     for _ in range(1000):  # whatever stands in a run, it can be undone
-        text = "".join(r.choice([card, "378282246310005", "555-0123", "123-45-6789", "2001-02-03", "10.0.0.1", str(r.randrange(10 ** r.randrange(1, 9)))]) + r.choice("  -/") for _ in range(6))
+        text = "".join(r.choice([card, "378282246310005", "call 555-0123", "123-45-6789", "2001-02-03", "10.0.0.1", str(r.randrange(10 ** r.randrange(1, 9)))]) + r.choice("  -/") for _ in range(6))
         new, kinds = pseudonyms.pseudonymise(text, key)
         assert pseudonyms.pseudonymise(new, key, inverse=True) == (text, kinds), text
 

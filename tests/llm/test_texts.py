@@ -67,11 +67,22 @@ def test_leaks_against_brute_force(spark, docs):
     assert decontaminate.drop_leaks(docs(rows), bench.where("false")).count() == len(rows)
 
 
-def test_items_in_blocks(spark):
+def test_many_items_meet_by_value(spark, docs):
+    """Items over the limit are not sent; the same rows come out, items without id and repeated rows among them."""
     r = random.Random(9)
-    items = spark.createDataFrame([(i, prose(r, 20)) for i in range(30)], "item_id int, text string")
-    blocks = list(decontaminate.item_blocks(items, block=600))
-    assert len(blocks) > 3 and sorted(i for b in blocks for i, _ in b) == list(range(30))
+    items = [(i, prose(r, r.choice([2, 8, 25]))) for i in range(40)] + [(None, prose(r, 12)), (3, "again and again and again"), (3, "again and again and again"), (60, None), (61, "")]
+    rows = [(1, None), (2, ""), (3, "again " * 400), (4, prose(r, 150)), (5, "x " + items[40][1] + " y"), (5, "x " + items[40][1] + " y"), (None, max((x[1] for x in items[:40]), key=len))]
+    for i in range(60):
+        item = items[r.randrange(40)][1]
+        rows.append((10 + i, prose(r, 30) + " " + edited(r, item, r.randrange(0, len(item) // 8 + 1)) + " " + prose(r, 30)))
+    rows.append((90, prose(r, 200_000) + " " + max((x for x in items[:40]), key=lambda x: len(x[1]))[1] + " " + prose(r, 9000)))
+    bench = spark.createDataFrame(items, "item_id int, text string")
+    sent, met = (sorted(decontaminate.find_leaks(docs(rows), bench, most=most).collect(), key=str) for most in (1 << 20, 100))
+    assert sent == met and len(sent) > 30 and {g["item_id"] for g in sent} >= {None, 3} and {g["doc_id"] for g in sent} >= {None, 5, 90}
+    assert sum(g["doc_id"] == 5 and g["item_id"] is None for g in sent) == 2 and sum(g["doc_id"] == 3 and g["item_id"] == 3 for g in sent) == 2
+    kept = [sorted((str(x["doc_id"]), x["text"] or "") for x in decontaminate.drop_leaks(docs(rows), bench, most=most).collect()) for most in (1 << 20, 100)]
+    assert kept[0] == kept[1] and len(kept[0]) == len(rows) - len({g["doc_id"] for g in sent}) - 1
+    assert decontaminate.find_leaks(docs([]), bench, most=100).count() == 0 and decontaminate.find_leaks(docs(rows), bench.where("false"), most=-1).count() == 0
 
 
 TEXTS = ["", " ", "  two  spaces ", "a\n\nb ", "日本語 é \t ﬁ 😀", "x" * 100 + " " + "ab" * 60, "tab\tx\r\n", " \n \n", "marker ▁ inside▁", "Hello world, hello World!"]
@@ -147,12 +158,43 @@ def test_recounts_equal_full_counts(spark, docs):
     _, anew = token_counts.apply_edits(counter, tree, long, [(9000, 9003, "xyz")])
     assert anew < 10
     rows = [(1, "id 12345 ***"), (2, None), (3, ""), (1, "id 12345 ***")]
-    got = {g["doc_id"]: g for g in token_counts.recount(token_counts.masking_edits(docs(rows), head="# T\n"), keep_text=True).collect()}
-    assert got[1]["edited"] == "# T\nid 0 0" and got[1]["n_edits"] == 3 and got[1]["n_tokens_after"] == len(counter.encoding.encode_ordinary("# T\nid 0 0"))
-    assert (got[2]["n_tokens"], got[2]["n_edits"], got[3]["n_tokens_after"]) == (0, 0, len(counter.encoding.encode_ordinary("# T\n")))
+    edits = token_counts.masking_edits(docs(rows), head="# T\n")
+    assert edits.columns == [*docs([]).columns, "edits"]
+    built = token_counts.update(token_counts.build(edits)).drop("lang")
+    got = {g["doc_id"]: g for g in built.collect()}
+    assert got[1]["text"] == "# T\nid 0 0" and got[1]["n_edits"] == 3 and got[1]["n_tokens_after"] == len(counter.encoding.encode_ordinary("# T\nid 0 0"))
+    assert (got[2]["n_tokens"], got[2]["n_edits"], got[3]["n_tokens_after"]) == (0, 0, len(counter.encoding.encode_ordinary("# T\n"))) and got[2]["text"] is None
+    assert token_counts.recount(edits).count() == 4 and token_counts.recount(token_counts.masking_edits(docs([]))).count() == 0
     assert token_counts.clean_edits([(0, 2, "a"), (1, 3, "b"), (5, 99, None), (None, 1, "x")], 6) == [(0, 2, "a"), (5, 6, "")]
 
 
+def test_trees_are_kept_and_untouched_text_is_never_encoded(spark, docs, tmp_path):
+    """Trees outlive the run that built them; an update cuts, counts and encodes only what lies at its edits."""
+    r = random.Random(4)
+    texts = {i: prose(r, 30_000) if i == 2 else prose(r, 3000) for i in range(4)} | {4: "", 5: "x" * 300_000}
+    token_counts.build(docs(list(texts.items()))).write.parquet(f"{tmp_path}/trees")
+    edits = {i: [(max(0, len(t) // 2 - 5), len(t) // 2, "new words 12")] for i, t in texts.items()}
+    for _ in range(2):  # update what an update gave
+        kept = spark.read.parquet(f"{tmp_path}/trees").collect()
+        counter = token_counts.Counter(token_counts.RANKS)
+        seen: list[str] = []
+        encode = counter.encoding.encode_ordinary
+        counter.learn = lambda lists, learn=counter.learn, seen=seen: (seen.extend(x for f in lists for x in f), learn(lists))  # noqa: B023
+        for row in kept:
+            before = len(seen)
+            tree = token_counts.Tree.load(*row["tree"])
+            after, anew = token_counts.apply_edits(counter, tree, row["text"], edits[row["doc_id"]])
+            touched = sum(map(len, seen[before:]))
+            assert tree.tokens == len(encode(after)) and tree.sums[1].tolist() == [len(tree.lengths), len(after), int(tree.counts.sum())]
+            assert anew < 12 and (row["doc_id"] == 5 or touched < 120), (row["doc_id"], anew, touched)
+        rows = [(g["doc_id"], g["text"], g["tree"], [dict(zip(("start", "stop", "text"), e, strict=True)) for e in edits[g["doc_id"]]]) for g in kept]
+        df = spark.createDataFrame(rows, "doc_id bigint, text string, tree " + token_counts.TREE + ", edits array<struct<start: bigint, stop: bigint, text: string>>")
+        token_counts.update(df).drop("edits").write.mode("overwrite").parquet(f"{tmp_path}/next")
+        for g in spark.read.parquet(f"{tmp_path}/next").collect():
+            assert g["n_tokens_after"] == len(encode(g["text"]))
+        spark.read.parquet(f"{tmp_path}/next").select("doc_id", "text", "tree").write.mode("overwrite").parquet(f"{tmp_path}/trees")
+
+
 KEY = b"test key"
 
 
@@ -166,22 +208,83 @@ def test_permutation(size):
 
 
 def test_pseudonyms(docs):
-    text = 'mail a.b-12@x.example.com, 4111 1111 1111 1111 and 4111-1111-1111-1111; +1 (017) 555-7713 or 555-0123; 10.0.0.255 on 2024-02-29, 12/31/1999, 31.12.1999; 123-45-6789; DE89 3704 0044 0532 0130 00; token = "04dbebab91ab85687d33eeaaf9ac699e1188f962" end'
+    text = 'mail a.b-12@x.example.com, 4111 1111 1111 1111 and 4111-1111-1111-1111; +1 (017) 555-7713 or call 555-0123; 10.0.0.255 on 2024-02-29, 12/31/1999, 31.12.1999; 123-45-6789; DE89 3704 0044 0532 0130 00; token = "04dbebab91ab85687d33eeaaf9ac699e1188f962" end'
     new, kinds = pseudonyms.pseudonymise(text, KEY)
     assert sorted(set(kinds)) == ["card", "day", "iban", "ipv4", "mail", "phone", "secret", "ssn"] and len(kinds) == 12
     assert pseudonyms.pseudonymise(new, KEY, inverse=True)[0] == text and pseudonyms.pseudonymise(text, KEY)[0] == new and pseudonyms.pseudonymise(text, b"other")[0] != new
-    assert "".join("9" if c.isdigit() else c for c in new[27:47]) == "9999 9999 9999 9999 "
+    assert "".join("9" if c.isdigit() else c for c in new[27:47]) == "9999 9999 9999 9999 " and new[5:25].endswith(".com") and "example" not in new
     cards = [new[27:46], new[51:70]]
     assert cards[0].replace(" ", "") == cards[1].replace("-", "") and pseudonyms.luhn(cards[0].replace(" ", "")[:-1]) == int(cards[0][-1])
-    for clean in ("4111 1111 1111 1112", "999.1.1.1", "2023-02-29", "000-12-3456", "version 1.2", "plain text", "a @ b", "0000 0000 0000 0000", 'say = "words without any number"'):
+    for clean in ("4111 1111 1111 1112", "9656005089711094", "999.1.1.1", "2023-02-29", "000-12-3456", "version 1.2", "plain text", "a @ b", "0000 0000 0000 0000", 'say = "words without any number"', "item 123-4567", "part 123-456-7890", "see https://example.com/a1b2c3d4e5f6a7b8c9d0e1f2", "time: 12345678901234567890 x", "ask-me-anything-about-the-year-2001"):
         assert pseudonyms.pseudonymise(clean, KEY) == (clean, [])
-    rows = [(1, text), (2, None), (3, ""), (4, "clean"), (1, text)]
+    rows = [(1, text), (2, None), (3, ""), (4, "clean"), (1, text), (5, "x" * 500_000 + " 4111111111111111")]
     got = pseudonyms.private(docs(rows), KEY).collect()
-    assert sorted((g["doc_id"], g["n_private"]) for g in got) == [(1, 12), (1, 12), (2, 0), (3, 0), (4, 0)]
-    assert {g["text"] for g in got if g["doc_id"] == 1} == {new} and {g["doc_id"]: g["text"] for g in got if g["doc_id"] > 1} == {2: None, 3: "", 4: "clean"}
+    assert sorted((g["doc_id"], g["n_private"]) for g in got) == [(1, 12), (1, 12), (2, 0), (3, 0), (4, 0), (5, 1)]
+    assert {g["text"] for g in got if g["doc_id"] == 1} == {new} and {g["doc_id"]: g["text"] for g in got if 1 < g["doc_id"] < 5} == {2: None, 3: "", 4: "clean"}
     assert pseudonyms.private(docs([]), KEY).count() == 0
 
 
+def naive_private(text):
+    """(start, end) of private values in texts of words and values parted by spaces, found one word at a time by plain rules."""
+
+    def luhn_ok(d):
+        return sum(x if i % 2 == 0 else sum(divmod(2 * x, 10)) for i, x in enumerate(map(int, reversed(d)))) % 10 == 0
+
+    out, at, last = [], 0, ""
+    for word in text.split(" "):
+        parts, digits = word.split("."), word.replace("-", "")
+        if word.isdigit() and len(word) == 16 and luhn_ok(word) and (word[0] in "4" or 51 <= int(word[:2]) <= 55 or 2221 <= int(word[:4]) <= 2720 or word[0] == "6" or word[:2] in ("56", "57", "58", "59", "50", "36", "38", "39") or 3000 <= int(word[:4]) <= 3059 or 3528 <= int(word[:4]) <= 3589):
+            out.append((at, at + len(word)))
+        elif len(parts) == 4 and all(p.isdigit() and int(p) < 256 for p in parts):
+            out.append((at, at + len(word)))
+        elif [len(p) for p in word.split("-")] == [3, 2, 4] and digits.isdigit():
+            if 0 < int(digits[:3]) < 900 and digits[:3] != "666" and digits[3:5] != "00" and digits[5:] != "0000":
+                out.append((at, at + len(word)))
+        elif [len(p) for p in word.split("-")] in ([3, 3, 4], [3, 4]) and digits.isdigit():
+            fits = len(digits) == 10 and digits[0] > "1" and digits[3] > "1" and digits[1:3] != "11" and digits[4:6] != "11"
+            if fits or last in ("call", "tel:", "Phone"):
+                out.append((at, at + len(word)))
+        elif word.count("@") == 1 and "." in word.split("@")[1]:
+            out.append((at, at + len(word)))
+        elif word.startswith(("AKIA", "sk-", "token=")) and any(c.isdigit() for c in word) and len(word) >= 26:
+            out.append((at, at + len(word)))
+        at, last = at + len(word) + 1, word
+    return out
+
+
+def test_pseudonyms_against_a_naive_scan():
+    r = random.Random(11)
+    digits = lambda n: "".join(r.choice("0123456789") for _ in range(n))
+    blob = lambda n, c: "".join(r.choice(c) for _ in range(n))
+    makers = [
+        lambda: "4" + digits(15),
+        lambda: digits(16),
+        lambda: ".".join(str(r.randrange(300)) for _ in range(4)),
+        lambda: f"{digits(3)}-{digits(2)}-{digits(4)}",
+        lambda: f"{digits(3)}-{digits(3)}-{digits(4)}",
+        lambda: f"{digits(3)}-{digits(4)}",
+        lambda: r.choice(["call ", "tel: ", "Phone "]) + f"{digits(3)}-{digits(4)}",
+        lambda: blob(5, LETTERS) + "." + digits(2) + "@mail" + digits(1) + ".example.org",
+        lambda: "AKIA" + blob(22, "ABCDEFGH234567"),
+        lambda: "sk-" + blob(24, LETTERS + "0123456789"),
+        lambda: "token=" + blob(24, LETTERS + "0123456789"),
+        lambda: blob(30, LETTERS),
+        lambda: digits(r.randrange(1, 9)),
+    ]
+    hit = 0
+    for _ in range(1500):
+        text = " w ".join(r.choice(makers)() for _ in range(8)) + " w"
+        new, kinds = pseudonyms.pseudonymise(text, KEY)
+        found = naive_private(text)
+        assert len(kinds) == len(found), (text, kinds, found)
+        old, now = text.split(" "), new.split(" ")
+        starts = [sum(len(w) + 1 for w in old[:i]) for i in range(len(old))]
+        assert len(old) == len(now) and all((a == b) == (s not in {x for x, _ in found}) or (a == b and s in {x for x, _ in found} and r is None) for a, b, s in zip(old, now, starts, strict=True)), (text, new)
+        assert pseudonyms.pseudonymise(new, KEY, inverse=True)[0] == text
+        hit += len(found)
+    assert hit > 4000
+
+
 def brute_dice(a, b):
     from collections import Counter
 

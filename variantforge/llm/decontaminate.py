@@ -4,6 +4,11 @@ An item of m characters that lies in a text with at most k edits shares at least
 q-grams with it, on diagonals (text position less item position) that differ by at most 2k.  Every text
 q-gram is looked up in an index of the items; hits are counted in diagonal bands that overlap by half, so
 some band holds all hits of a true match; bands that meet the bound are verified by banded alignment.
+
+Items up to a checked number of bytes are sent to all tasks as one index, and texts are scanned once.  Beyond
+it, texts are scanned once as well: those q-grams that a filter of fixed size lets through are joined by value
+with the items' disjoint q-grams (of an item's m // q, all but k must be there), and only the texts and items
+that meet so are brought together, to be counted in bands and aligned as above.
 """
 
 from __future__ import annotations
@@ -16,14 +21,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .scratch import Scratch, named
 
 U64 = np.uint64
 Q = 8
 #: Edits allowed, as a share of an item's characters.
 BUDGET = 0.1
-#: Bytes of text scanned at once, and bytes of items in a block: each block of items is one broadcast and one pass.
+#: Bytes of text scanned at once, and the most bytes of items that are sent to all tasks.
 SPAN, BLOCK = 1 << 20, 4 << 20
-_TABLE_BITS = 22
+#: Bits of the filter of q-grams when the items are not sent (8 MB).
+FILTER_BITS = 26
 _MULTIPLIER = U64(0x9E3779B97F4A7C15)
 
 
@@ -70,7 +77,7 @@ def grams(a: np.ndarray) -> np.ndarray:
 class Index:
     """Items with their edit budgets, least hits and band shifts; q-grams in order with their places (item, position)."""
 
-    ids: list[int]
+    ids: list[int | None]
     items: list[bytes]
     edits: np.ndarray
     least: np.ndarray
@@ -80,6 +87,7 @@ class Index:
     item: np.ndarray
     place: np.ndarray
     table: np.ndarray
+    lift: np.uint64
 
     @property
     def reach(self) -> int:
@@ -87,21 +95,28 @@ class Index:
         return max((len(x) + int(k) for x, k in zip(self.items, self.edits, strict=True)), default=0)
 
 
-def build_index(rows: list[tuple[int, str | None]], budget: float = BUDGET) -> Index:
+def allowed(m: int, budget: float) -> int:
+    """Edits allowed in an item of m bytes: always fewer than its disjoint q-grams."""
+    return min(int(m * budget), m // Q - 1)
+
+
+def build_index(rows: list[tuple[int | None, str | None]], budget: float = BUDGET) -> Index:
     """An index of (id, text). Items of under Q normalised characters match nothing and are left out."""
-    kept = [(i, t) for i, t in sorted((i, normal(t)) for i, t in rows) if len(t) >= Q]
+    kept = [(i, t) for i, t in ((i, normal(t)) for i, t in rows) if len(t) >= Q]
+    kept.sort(key=lambda x: (x[0] is None, x[0] or 0, x[1]))
     m = np.array([len(t) for _, t in kept], np.int64)
-    edits = np.minimum((m * budget).astype(np.int64), m // Q - 1)
+    edits = np.array([allowed(len(t), budget) for _, t in kept], np.int64)
     words = [grams(np.frombuffer(t, np.uint8)) for _, t in kept]
     code = np.concatenate(words) if words else np.zeros(0, np.uint64)
-    item = np.repeat(np.arange(len(kept)), [len(w) for w in words])
-    place = np.concatenate([np.arange(len(w)) for w in words]) if words else np.zeros(0, np.int64)
+    item = np.repeat(np.arange(len(kept), dtype=np.int32), [len(w) for w in words])
+    place = np.concatenate([np.arange(len(w), dtype=np.int32) for w in words]) if words else np.zeros(0, np.int32)
     order = np.argsort(code, kind="stable")
     codes, starts = np.unique(code[order], return_index=True)
-    table = np.zeros(1 << _TABLE_BITS, bool)
-    table[(codes * _MULTIPLIER >> U64(64 - _TABLE_BITS)).astype(np.int64)] = True
+    bits = min(22, max(10, (len(codes) * 16).bit_length()))
+    table, lift = np.zeros(1 << bits, bool), U64(64 - bits)
+    table[(codes * _MULTIPLIER >> lift).astype(np.int64)] = True
     shift = np.array([max(4, int(4 * k + 1).bit_length()) for k in edits], np.int64)
-    return Index([i for i, _ in kept], [t for _, t in kept], edits, m + 1 - Q * (edits + 1), shift, codes, np.append(starts, len(code)), item[order], place[order], table)
+    return Index([i for i, _ in kept], [t for _, t in kept], edits, m + 1 - Q * (edits + 1), shift, codes, np.append(starts, len(code)), item[order], place[order], table, lift)
 
 
 def banded(item: bytes, text: bytes, low: int, high: int, most: int) -> tuple[int, int] | None:
@@ -135,7 +150,7 @@ def banded(item: bytes, text: bytes, low: int, high: int, most: int) -> tuple[in
 def _bands(index: Index, piece: np.ndarray, starts: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
     """(document, item, lowest and highest diagonal) of the bands that meet the bound; piece joins documents that begin at starts."""
     words = grams(piece)
-    at = np.flatnonzero(index.table[(words * _MULTIPLIER >> U64(64 - _TABLE_BITS)).astype(np.int64)])
+    at = np.flatnonzero(index.table[(words * _MULTIPLIER >> index.lift).astype(np.int64)])
     if not len(at):
         return
     slot = np.searchsorted(index.codes, words[at])
@@ -226,31 +241,37 @@ def leaks(index: Index, texts: list[str | None]) -> dict[tuple[int, int], tuple[
     return found
 
 
-def item_blocks(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text", block: int = BLOCK) -> Iterator[list[tuple[int, str | None]]]:
-    """The items in blocks of about `block` bytes, chosen by hash of their id; the driver holds one block at a time."""
-    rows = benchmark.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"))
-    total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    blocks = -(-total // block) or 1
-    for b in range(blocks):
-        yield [(r[0], r[1]) for r in rows.where(F.pmod(F.xxhash64("id"), F.lit(blocks)) == b).collect()]
+_HITS = "doc_id bigint, item_id bigint, edits int, end_at bigint, item_length int"
 
 
-_HITS = "doc_id bigint, item_id bigint, edits int, end_at bigint, item_length int"
+def _texts_of(benchmark: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id, text) of the items that have a text; an item may lack an id."""
+    return benchmark.where(named(text_col).isNotNull()).select(named(id_col).cast("bigint").alias("id"), named(text_col).alias("text"))
 
 
-def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", budget: float = BUDGET) -> DataFrame:
+def sent_index(items: DataFrame, budget: float, most: int):
+    """The broadcast index of all items (id, text), or None if they have over `most` bytes."""
+    if (items.agg(F.sum(F.octet_length("text"))).first()[0] or 0) > most:
+        return None
+    return items.sparkSession.sparkContext.broadcast(build_index([(r[0], r[1]) for r in items.collect()], budget))
+
+
+def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", budget: float = BUDGET, most: int = BLOCK) -> DataFrame:
     """One row per row of docs and benchmark item within its edit budget: doc_id, item_id, edits, end_at, item_length.
 
     Texts and items are lower-cased, and each run of ASCII other than letters and digits becomes a space;
     edits and end_at (where the best match ends) count UTF-8 bytes of that form.  An item of m bytes may
     have min(m * budget, m // 8 - 1) edits; items of under 8 match nothing.  Null and empty texts and items
-    match nothing; rows repeated give rows repeated; an empty table on either side gives no rows.
+    match nothing; an item without an id counts, with a null item_id.  Rows repeated on either side give rows
+    repeated; an empty table on either side gives no rows.
     """
-    found = None
-    for block in item_blocks(benchmark):
-        part = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(_find(docs.sparkSession.sparkContext.broadcast(build_index(block, budget))), _HITS)
-        found = part if found is None else found.unionByName(part)
-    return found
+    items = _texts_of(benchmark, item_col, item_text)
+    plain = docs.select(named(id_col).cast("bigint").alias("doc_id"), named(text_col).alias("text"))
+    index = sent_index(items, budget, most)
+    if index is not None:
+        return plain.mapInArrow(_find(index), _HITS)
+    leaked = _met(plain.select("text"), items, budget)
+    return plain.select("doc_id", F.sha2("text", 256).alias("sha")).join(leaked, "sha").select("doc_id", "item_id", "edits", "end_at", "item_length")
 
 
 def _find(index):
@@ -266,11 +287,14 @@ def _find(index):
     return run
 
 
-def drop_leaks(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", budget: float = BUDGET) -> DataFrame:
+def drop_leaks(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text: str = "text", budget: float = BUDGET, most: int = BLOCK) -> DataFrame:
     """docs, all columns, without the rows in which ``find_leaks`` finds an item."""
-    for block in item_blocks(benchmark):
-        docs = docs.mapInArrow(_drop(docs.sparkSession.sparkContext.broadcast(build_index(block, budget)), docs.columns.index(text_col)), docs.schema)
-    return docs
+    items = _texts_of(benchmark, item_col, item_text)
+    index = sent_index(items, budget, most)
+    if index is not None:
+        return docs.mapInArrow(_drop(index, docs.columns.index(text_col)), docs.schema)
+    leaked = _met(docs.select(named(text_col).alias("text")), items, budget).select(F.col("sha").alias("leaked_sha")).distinct()
+    return docs.join(leaked, F.sha2(docs[f"`{text_col}`"], 256) == leaked["leaked_sha"], "left_anti")
 
 
 def _drop(index, at: int):
@@ -280,3 +304,88 @@ def _drop(index, at: int):
             yield batch.take(pa.array([i for i in range(batch.num_rows) if i not in bad], pa.int64())) if bad else batch
 
     return run
+
+
+def _seeds(budget: float):
+    """Of items (item, id, text): rows (item, code, times, least) of their disjoint q-grams; a text within the budget holds `least` of them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for item, text in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                form = np.frombuffer(normal(text), np.uint8)
+                if len(form) >= Q:
+                    codes, times = np.unique(grams(form)[::Q], return_counts=True)
+                    least = len(form) // Q - allowed(len(form), budget)
+                    rows += [(item, c, t, least) for c, t in zip(codes.view(np.int64).tolist(), times.tolist(), strict=True)]
+            cols = list(zip(*rows, strict=True)) if rows else [[]] * 4
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["item", "code", "times", "least"])
+
+    return run
+
+
+def _slot(codes: np.ndarray) -> np.ndarray:
+    return (codes * _MULTIPLIER >> U64(64 - FILTER_BITS)).astype(np.int64)
+
+
+def _slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(word, bits) of the filter for codes."""
+    for batch in batches:
+        slot = _slot(batch.column(0).to_numpy().view(np.uint64))
+        word, at = np.unique(slot >> 5, return_inverse=True)
+        bits = np.zeros(len(word), np.int64)
+        np.bitwise_or.at(bits, at, 1 << (slot & 31))
+        yield pa.RecordBatch.from_arrays([pa.array(word), pa.array(bits)], names=["word", "bits"])
+
+
+def _codes(passed):
+    """(sha, code) of the q-grams of texts that the filter lets through, each once a text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            shas = batch.column(0).to_pylist()
+            for sha, text in zip(shas, batch.column(1).to_pylist(), strict=True):
+                form, kept = plain(_lower(text)), []
+                for i in range(0, len(form), SPAN):
+                    words = grams(form[i : i + SPAN + Q - 1])
+                    slot = _slot(words)
+                    kept.append(words[(passed.value[slot >> 5] >> (slot & 31) & 1).astype(bool)])
+                codes = np.unique(np.concatenate(kept)) if kept else np.zeros(0, np.uint64)
+                if len(codes):
+                    yield pa.RecordBatch.from_arrays([pa.array([sha] * len(codes), pa.string()), pa.array(codes.view(np.int64))], names=["sha", "code"])
+
+    return run
+
+
+def _align(budget: float):
+    """Rows (sha, item_id, edits, end_at, item_length) of (sha, text, id, item_text) within the budget."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for sha, text, i, item in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
+                index = build_index([(i, item)], budget)
+                rows += [(sha, i, edits, end, len(index.items[0])) for edits, end in leaks(index, [text]).values()]
+            cols = list(zip(*rows, strict=True)) if rows else [[]] * 5
+            kinds = (pa.string(), pa.int64(), pa.int32(), pa.int64(), pa.int32())
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["sha", "item_id", "edits", "end_at", "item_length"])
+
+    return run
+
+
+def _met(texts: DataFrame, items: DataFrame, budget: float) -> DataFrame:
+    """(sha, item_id, edits, end_at, item_length) of distinct texts and items within the budget; nothing that grows is sent to all tasks."""
+    spark = texts.sparkSession
+    scratch = Scratch(spark, "decontaminate")
+    items = scratch.cut(items.withColumn("item", F.monotonically_increasing_id()).select("item", "id", "text"), "items")
+    seeds = scratch.cut(items.mapInArrow(_seeds(budget), "item bigint, code bigint, times bigint, least bigint"), "seeds")
+    found = seeds.select("code").mapInArrow(_slots, "word bigint, bits bigint").groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()
+    bits = np.zeros(1 << (FILTER_BITS - 5), np.uint32)
+    bits[found.column("word").to_numpy()] = found.column("bits").to_numpy().astype(np.uint32)
+    keyed = texts.where("text IS NOT NULL").select(F.sha2("text", 256).alias("sha"), "text")
+    codes = keyed.mapInArrow(_codes(spark.sparkContext.broadcast(bits)), "sha string, code bigint").distinct()
+    met = codes.join(seeds, "code").groupBy("sha", "item").agg(F.sum("times").alias("times"), F.first("least").alias("least")).where("times >= least").select("sha", "item")
+    met = scratch.cut(met, "met")
+    once = keyed.join(met.select("sha").distinct(), "sha", "left_semi").dropDuplicates(["sha"])
+    both = met.join(items.select("item", "id", F.col("text").alias("item_text")), "item").join(once, "sha").select("sha", "text", "id", "item_text")
+    return scratch.cut(both.mapInArrow(_align(budget), "sha string, item_id bigint, edits int, end_at bigint, item_length int"), "leaked")

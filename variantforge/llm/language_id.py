@@ -17,11 +17,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .scratch import named, with_fields
 
 #: Hashed n-gram features, n-gram sizes, and characters that are counted at once.
 DIMS, SIZES, SPAN = 4096, (1, 2, 3), 1 << 18
-#: Documents of one language that training reads, about: its documented sample bound.
-PER_LANGUAGE = 1500
+#: Documents that training reads, about: its documented sample bounds, of one language and of all together
+#: (with over TOTAL / PER_LANGUAGE languages each has its share of TOTAL, so the driver's matrix never grows).
+PER_LANGUAGE, TOTAL = 1500, 12_000
 #: A text is ambiguous if the two best codewords' mean losses differ by less than this.
 AMBIGUOUS = 0.05
 _LETTER: list[np.ndarray] = []
@@ -123,25 +125,28 @@ def fit_bits(x: np.ndarray, y: np.ndarray, languages: tuple[str, ...], steps: in
     return EcocModel(languages, code, w, b, trust)
 
 
-def train(docs: DataFrame, held_out, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = PER_LANGUAGE) -> EcocModel | None:
+def train(docs: DataFrame, held_out, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = PER_LANGUAGE, total: int = TOTAL) -> EcocModel | None:
     """A model from rows with text and lang for which the Column held_out is not true; None without any.
 
-    About per_language rows of each language are read, chosen by hash of the id.
+    About per_language rows of each language are read, chosen by a hash of id and text; rows alike in id, text
+    and language count as one there.  Null ids are hashed as such.
     """
-    labelled = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & ~F.coalesce(held_out, F.lit(False)))
-    share = {r[0]: min(1.0, per_language / r[1]) for r in labelled.groupBy(lang_col).count().collect()}
-    if not share:
+    labelled = docs.where(named(lang_col).isNotNull() & named(text_col).isNotNull() & ~F.coalesce(held_out, F.lit(False)))
+    rows_of = {r[0]: r[1] for r in labelled.groupBy(named(lang_col)).count().collect()}
+    if not rows_of:
         return None
-    names = sorted(share)
-    limits = F.create_map(*[F.lit(v) for name in names for v in (name, int(share[name] * 10_000_000))])
-    chosen = labelled.where(F.pmod(F.xxhash64(F.col(id_col), F.lit("sample")), F.lit(10_000_000)) < limits[F.col(lang_col)])
+    most = min(per_language, max(1, total // len(rows_of)))
+    top = (1 << 63) - 1
+    limits = F.create_map(*[F.lit(v) for name in sorted(rows_of) for v in (name, min(top, most * (1 << 63) // rows_of[name]))])
+    hashed = labelled.select(named(text_col).alias("text"), named(lang_col).alias("lang"), F.xxhash64(named(id_col), named(text_col), F.lit("sample")).bitwiseAND(F.lit(top)).alias("h"))
+    chosen = hashed.where(F.col("h") <= limits[F.col("lang")]).dropDuplicates(["h", "lang"])
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = [(lang, v.astype(np.float16).tobytes()) for text, lang in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) if (v := ngram_vector(text)) is not None]
             yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.binary())], names=["lang", "v"])
 
-    rows = chosen.select(F.col(text_col), F.col(lang_col)).mapInArrow(vectors, "lang string, v binary").toArrow()
+    rows = chosen.select("text", "lang").mapInArrow(vectors, "lang string, v binary").toArrow()
     if not rows.num_rows:
         return None
     langs = rows.column("lang").to_pylist()
@@ -157,7 +162,7 @@ def identify(docs: DataFrame, model: EcocModel | None, text_col: str = "text", b
     A text that is null or has no letter gets `und`, score 0, ambiguous; so does every text without a model.
     """
     keep = [c for c in docs.columns if c not in ("lang_pred", "score", "ambiguous")]
-    plain = docs.select(*keep)
+    plain = docs.select(*[named(c) for c in keep])
     at = keep.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -172,5 +177,4 @@ def identify(docs: DataFrame, model: EcocModel | None, text_col: str = "text", b
                         lang[j], score[j], unsure[j] = model.languages[k], float(p), bool(q)
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(lang), pa.array(score), pa.array(unsure)], names=[*part.schema.names, "lang_pred", "score", "ambiguous"])
 
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in plain.schema)
-    return plain.mapInArrow(run, f"{fields}, lang_pred string, score double, ambiguous boolean")
+    return plain.mapInArrow(run, with_fields(plain.schema, "lang_pred string, score double, ambiguous boolean"))

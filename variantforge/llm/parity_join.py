@@ -20,7 +20,6 @@ component get other heads; what is left is compared in full, in blocks of bounde
 from __future__ import annotations
 
 from collections.abc import Iterator
-from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
@@ -44,16 +43,23 @@ class Bands:
 
     def __init__(self, num: int, den: int):
         self.num, self.den, self.low = num, den, [1]
+        self.schemes: dict[int, list[tuple[int, int, int]]] = {}
+        self.salts: dict[int, np.ndarray] = {}
 
     def of(self, n: int) -> int:
         while self.low[-1] <= n:
             self.low.append(self.den * self.low[-1] // self.num + 1)
         return int(np.searchsorted(self.low, n, side="right")) - 1
 
+    def salt(self, scheme: int, words: int) -> np.ndarray:
+        """A hash of each word's place in the scheme."""
+        if scheme not in self.salts:
+            self.salts[scheme] = mix(mix(np.arange(words, dtype=np.uint64)) + U64(scheme))
+        return self.salts[scheme].copy()
+
     def most_apart(self, total: int) -> int:
         """Largest symmetric difference of a linked pair with |A| + |B| = total."""
-        t = Fraction(self.num, self.den)
-        return int((1 - t) / (1 + t) * total)
+        return (self.den - self.num) * total // (self.den + self.num)
 
     def parts(self, band: int) -> int:
         """Parts of the scheme that meets sets of this band with each other and the band below: half more than needed, to choose from; none if only equal sets link."""
@@ -88,26 +94,31 @@ def folded(sketch: np.ndarray, words: int) -> np.ndarray:
 
 def schemes(n: int, bands: Bands) -> list[tuple[int, int, int]]:
     """(scheme, words, words that a set of n must be known by) of the schemes that it takes part in."""
-    band = bands.of(n)
-    found = ((scheme, bands.parts(scheme)) for scheme in (band, band + 1))
-    return [(scheme, parts, bands.most_apart(n + min(n * bands.den // bands.num, bands.high(scheme))) + 1) for scheme, parts in found if parts]
+    if n not in bands.schemes:
+        band = bands.of(n)
+        found = ((scheme, bands.parts(scheme)) for scheme in (band, band + 1))
+        bands.schemes[n] = [(scheme, parts, bands.most_apart(n + min(n * bands.den // bands.num, bands.high(scheme))) + 1) for scheme, parts in found if parts]
+    return bands.schemes[n]
 
 
-def digests(hashes: np.ndarray, bands: Bands) -> np.ndarray:
-    """64-bit keys of all words of both schemes, scheme by scheme, fuller words first; sets share a key iff a word agrees (or by a rare collision)."""
-    keys, at, what = [], mix(hashes), mix(hashes ^ U64(0x3C3C3C3C3C3C3C3C))
+def digests(hashes: np.ndarray, bands: Bands, at: np.ndarray | None = None) -> np.ndarray:
+    """64-bit keys of all words of both schemes, scheme by scheme, fuller words first; sets share a key iff a word agrees (or by a rare collision). at: mix(hashes), if known."""
+    keys, at = [], mix(hashes) if at is None else at
     for scheme, parts, _ in schemes(len(hashes), bands):
-        part = (at % U64(parts)).astype(np.int64)
-        held = np.zeros(parts, np.uint64)
-        np.bitwise_xor.at(held, part, what)
-        key = mix(held + mix(np.arange(parts, dtype=np.uint64) + U64(scheme << 32)))
-        keys.append(key[np.lexsort((key, -np.bincount(part, minlength=parts)))])
+        part = (at >> U64(32)) * U64(parts) >> U64(32)
+        part = part.astype(np.uint16 if parts <= 1 << 16 else np.int64)  # short numbers are sorted by radix
+        count = np.bincount(part, minlength=parts)
+        some = np.flatnonzero(count)
+        held = bands.salt(scheme, parts)
+        held[some] ^= np.bitwise_xor.reduceat(hashes[np.argsort(part, kind="stable")], (np.cumsum(count) - count)[some])
+        key = mix(held)
+        keys.append(key[np.lexsort((key, -count))])
     return np.concatenate(keys) if keys else np.zeros(0, np.uint64)
 
 
-def signature(hashes: np.ndarray) -> tuple[int, int]:
+def signature(hashes: np.ndarray, at: np.ndarray | None = None) -> tuple[int, int]:
     """128 bits of a set, as two signed integers."""
-    one, two = int(mix(hashes).sum(dtype=np.uint64)), int(mix(hashes ^ U64(0xA5A5A5A5A5A5A5A5)).sum(dtype=np.uint64))
+    one, two = int((mix(hashes) if at is None else at).sum(dtype=np.uint64)), int(hashes.sum(dtype=np.uint64))
     return one - (one >> 63 << 64), two - (two >> 63 << 64)
 
 
@@ -155,13 +166,14 @@ def _signatures(k: int, num: int, den: int):
             for i, words in word_hashes(batch.column(1)):
                 s = shingle_set(words, k)
                 n.append(len(s))
-                one, two = signature(s)
+                at = mix(s)
+                one, two = signature(s, at)
                 h1.append(one)
                 h2.append(two)
                 if len(s) and named[i] and (one, two) not in seen:  # a class leaves a task's keys once, with a row that joins
                     if len(seen) < 100_000:
                         seen.add((one, two))
-                    own = digests(s, bands)
+                    own = digests(s, bands, at)
                     counts.add(own)
                     keys.append(own.astype("<u8").tobytes())
                 else:
@@ -185,7 +197,7 @@ class Chosen:
 
     def of(self, nodes: list[int], sizes: list[int], raws: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
         """(key, node) rows."""
-        keys = np.frombuffer(b"".join([r for r in raws if r]), "<u8").astype(np.uint64)
+        keys = np.frombuffer(b"".join([r for r in raws if r]), "<u8")
         node, enough, lengths = [], [], []
         for x, n, raw in zip(nodes, sizes, raws, strict=True):
             if raw:
@@ -204,9 +216,11 @@ class Chosen:
             at[at == len(self.known)] = 0
             hit = self.known[at] == keys
             rank[hit] = self.rank[at[hit]]
-            if hit.any():
-                order = np.lexsort((place, rank, segment))
-                keys = keys[order]
+            moved = np.zeros(len(node), bool)
+            moved[segment[hit]] = True
+            if len(some := np.flatnonzero(moved[segment])):
+                keys = keys.copy()
+                keys[some] = keys[some[np.lexsort((place[some], rank[some], segment[some]))]]
         keep = place < np.array(enough, np.int64)[segment]
         return keys[keep].view(np.int64), np.array(node, np.int64)[segment[keep]]
 

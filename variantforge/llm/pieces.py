@@ -23,7 +23,8 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .words import U64, mix, mix1
+from .scratch import with_fields
+from .words import U64, mix, mix1, mix_int
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 DROPOUT, SEED = 0.1, 17
@@ -53,6 +54,7 @@ class Pieces:
         order = sorted(self.id.values(), key=lambda i: (-sp.get_score(i), i))
         self.rank = np.full(n, _NO_RANK, np.int32)
         self.rank[order] = np.arange(len(order), dtype=np.int32)
+        self.rank_list = self.rank.tolist()
         self.char = {(" " if p == "▁" else p): i for p, i in self.id.items() if len(p) == 1}
         self.lut = np.full(0x110000, -1, np.int32)
         for c, i in self.char.items():
@@ -128,30 +130,32 @@ def _limit(rate: float) -> np.uint64:
 
 
 def encode_word(pieces: Pieces, word: str, variant: int, seed: int, rate: float) -> list[int]:
-    """The pieces of one word by agenda: a heap of candidates, best score first, then leftmost."""
+    """The pieces of one word by agenda: a heap of candidates, best score first, then leftmost; its hashes are those of the arrays, in Python integers."""
     n = len(word)
-    codes = np.array([[ord(c) for c in word]], np.uint32).reshape(1, n)
-    key = word_keys(codes, np.array([n]), np.array([variant]), seed)[0]
-    limit = _limit(rate)
-    sym = [int(pieces.lut[c]) for c in codes[0]]
+    codes = [ord(c) for c in word]
+    key, limit = mix_int(int(variant) + mix1(seed)), int(_limit(rate))
+    for c in codes if rate else ():
+        key = mix_int(key ^ (c + 1))
+    one, two, three = (int(x) for x in _K[1:])
+    lut = pieces.lut
+    sym = [int(lut[c]) for c in codes]
     after, before, end = list(range(1, n + 1)), list(range(-1, n - 1)), list(range(1, n + 1))
     heap: list[tuple[int, int, int, int, int]] = []
+    rank, pairs = pieces.rank_list, pieces.pairs
 
     def offer(a: int) -> None:
         b = after[a]
         if b >= n or sym[a] < 0 or sym[b] < 0:
             return
-        made = pieces.pairs.get(sym[a] << 32 | sym[b])
-        if made is not None:
-            heapq.heappush(heap, (int(pieces.rank[made]), a, b, end[b], made))
+        made = pairs.get(sym[a] << 32 | sym[b])
+        if made is not None and not (rate and mix_int(key + a * one + b * two + end[b] * three) < limit):
+            heapq.heappush(heap, (rank[made], a, b, end[b], made))
 
     for i in range(n - 1):
         offer(i)
     while heap:
         _, a, b, stop, made = heapq.heappop(heap)
-        if sym[a] == -2 or sym[b] == -2 or after[a] != b or end[b] != stop or pieces.pairs.get(sym[a] << 32 | sym[b]) != made:
-            continue
-        if rate and _dropped(key, np.array([a], np.uint64), np.array([b], np.uint64), np.array([stop], np.uint64), limit)[0]:
+        if sym[a] == -2 or sym[b] == -2 or after[a] != b or end[b] != stop or pairs.get(sym[a] << 32 | sym[b]) != made:
             continue
         sym[a], sym[b], end[a], after[a] = made, -2, stop, after[b]
         if after[b] < n:
@@ -373,5 +377,4 @@ def decode(encoded: DataFrame, model: str = MODEL) -> DataFrame:
             texts = [None if not x.is_valid else decode_ids(pieces, x.values.to_numpy(zero_copy_only=False).tolist()) for x in lists]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], names=[*batch.schema.names, "decoded"])
 
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in encoded.schema)
-    return encoded.mapInArrow(run, f"{fields}, decoded string")
+    return encoded.mapInArrow(run, with_fields(encoded.schema, "decoded string"))

@@ -1,8 +1,10 @@
-"""Format-preserving pseudonyms of private numbers, dates and addresses by a keyed Feistel permutation.
+"""Format-preserving pseudonyms of private numbers, dates, addresses and secrets by a keyed Feistel permutation.
 
 A value is read as a number of its format's domain, permuted there under a key, and written back with the
 same separators, so equal values get equal pseudonyms in all documents and none leaves its format.  Values
-that fail validation (a card number without its check digit, a date that does not exist) stay as they are.
+that fail validation (a card number without its check digit or of no issuer, a date that does not exist, a
+phone number of no numbering plan that nothing announces) stay as they are.  What tells a value apart (its
+length, its kinds of characters, its prefix, its validity) holds for its pseudonym too, so the same scan undoes it.
 
 In a long run of digit groups every card length is tried at every group, the longest valid one first.  The
 run's values are then permuted together until it reads as the same values again, so that it can be undone; a
@@ -64,12 +66,34 @@ def _refill(text: str, new: str, keep: str) -> str:
     return "".join(next(it) if c in keep else c for c in text)
 
 
+#: Card issuers' ranges of first digits (six of them) with the lengths of their numbers.
+ISSUERS = (
+    (222100, 272099, (16,)),
+    (300000, 305999, (14, 16, 19)),
+    (340000, 349999, (15,)),
+    (352800, 358999, (16, 17, 18, 19)),
+    (360000, 369999, (14, 16, 19)),
+    (370000, 379999, (15,)),
+    (380000, 399999, (14, 16, 19)),
+    (400000, 499999, (13, 16, 19)),
+    (500000, 509999, (13, 14, 15, 16, 17, 18, 19)),
+    (510000, 559999, (16,)),
+    (560000, 699999, (13, 14, 15, 16, 17, 18, 19)),
+)
+
+
+def _issued(digits: str, n: int) -> bool:
+    """Whether a card number of n digits begins like one that is given out."""
+    first = int(digits[:6])
+    return any(low <= first <= high and n in lengths for low, high, lengths in ISSUERS)
+
+
 def _card(m: str, key: bytes, inverse: bool) -> str | None:
     d = re.sub(r"\D", "", m)
-    if luhn(d[:-1]) != int(d[-1]) or len(set(d)) == 1:
+    if luhn(d[:-1]) != int(d[-1]) or not _issued(d, len(d)):
         return None
     n = len(d) - 1
-    valid = lambda x: len(set(f"{x:0{n}d}{luhn(f'{x:0{n}d}')}")) > 1
+    valid = lambda x: _issued(f"{x:0{n}d}", n + 1)
     new = f"{permute(int(d[:-1]), 10**n, key, f'card{n}', inverse, valid):0{n}d}"
     return _refill(m, new + str(luhn(new)), string.digits)
 
@@ -106,12 +130,26 @@ def _address(m: str, key: bytes, inverse: bool) -> str | None:
     return ".".join(map(str, x.to_bytes(4, "big")))
 
 
-def _phone(m: str, key: bytes, inverse: bool) -> str | None:
-    """The last ten digits are permuted, or all seven of a local number; a country code stays."""
+def _planned(x: int) -> bool:
+    """Whether ten digits fit the North American plan: area and exchange begin with 2 to 9, neither is a service code."""
+    area, exchange = x // 10**7, x // 10**4 % 1000
+    return area >= 200 and exchange >= 200 and area % 100 != 11 and exchange % 100 != 11
+
+
+def _phone(m: str, key: bytes, inverse: bool, told: bool = False) -> str | None:
+    """The last ten digits are permuted, or all seven of a local number; a country code stays.
+
+    Numbers without a country code must fit the plan, local ones cannot; others count only if a word before announces them (told).
+    """
     d = re.sub(r"\D", "", m)
     n = 10 if len(d) >= 10 else 7
-    new = f"{permute(int(d[-n:]), 10**n, key, f'phone{n}', inverse):0{n}d}"
-    return _refill(m, d[:-n] + new, string.digits)
+    x, valid = int(d[-n:]), lambda _: True
+    if "+" not in m and n == 10:
+        fits = _planned(x)
+        valid = lambda y: _planned(y) == fits
+    if not told and "+" not in m and (n == 7 or not fits):
+        return None
+    return _refill(m, d[:-n] + f"{permute(x, 10**n, key, f'phone{n}', inverse, valid):0{n}d}", string.digits)
 
 
 def _day(m: str, key: bytes, inverse: bool) -> str | None:
@@ -151,13 +189,21 @@ def _runs(text: str, key: bytes, label: str, inverse: bool) -> str:
 
 
 def _mail(m: str, key: bytes, inverse: bool) -> str | None:
+    """The local part, and the domain but for its last label, each by itself: equal domains stay equal."""
     local, _, domain = m.partition("@")
-    return f"{_runs(local, key, 'mail', inverse)}@{domain}"
+    host, _, top = domain.rpartition(".")
+    return f"{_runs(local, key, 'mail', inverse)}@{_runs(host, key, 'host', inverse)}.{top}"
 
 
 def _secret(m: str, key: bytes, inverse: bool) -> str | None:
-    head, quoted = m[: m.index('"') + 1], m[m.index('"') + 1 : -1]
-    return f'{head}{_runs(quoted, key, "secret", inverse)}"' if re.search(r"\d", quoted) else None
+    """The value after a name and a sign, or after a known prefix, if it has a digit."""
+    found = _SECRET.fullmatch(m)
+    at = found.start("quoted") if found["quoted"] else found.start("plain") if found["plain"] else found.start("body")
+    end = len(m) - 1 if found["quoted"] else len(m)
+    value = m[at:end]
+    if not re.search(r"\d", value):
+        return None
+    return m[:at] + _runs(value, key, "secret", inverse) + m[end:]
 
 
 _FORMS: tuple[tuple[str, str, Callable[[str, bytes, bool], str | None]], ...] = (
@@ -168,21 +214,36 @@ _FORMS: tuple[tuple[str, str, Callable[[str, bytes, bool], str | None]], ...] =
     ("card", r"\d(?:[ -]?\d){12,}", _card),
     ("phone", r"(?:\+\d{1,3}[ .-]?)?(?:\(\d{3}\) ?|\d{3}[ .-])\d{3}[ .-]\d{4}(?![\d-])|\d{3}-\d{4}(?![\d-])", _phone),
 )
+#: Words that announce a phone number.
+_TOLD = re.compile(r"(?i)(?<!\w)(?:phone|telephone|tel|call|fax|mobile|cell|ph|telefon|fon|handy|tél|téléphone|teléfono|móvil)[.:]{0,2}\s{0,3}\Z")
 _NUMBER = re.compile("(?<![\\w.@+-])(?:" + "|".join(f"(?P<{name}>{form})" for name, form, _ in _FORMS) + ")")
 _FIRST, _ADDRESS, _LAST = (re.compile("|".join(f"(?P<{name}>{form})" for name, form, _ in _FORMS if name in names)) for names in (("day", "ssn"), ("ipv4",), ("phone",)))
 _GROUP = re.compile(r"\d+")
 _MAIL = re.compile(r"[A-Za-z0-9._%+-]*[A-Za-z0-9_%+-]@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
-_SECRET = re.compile(r'\w(?:[\w-]{2,39})\s{0,3}[=:]\s{0,3}"[A-Za-z0-9_\-+/]{20,}=*"')
+#: Names of secrets that need no quotes, and prefixes of tokens that need no name.
+_SECRET = re.compile(
+    r"""\w[\w-]{2,39}\s{0,3}[=:]\s{0,3}(?P<mark>["'])(?P<quoted>[A-Za-z0-9_\-+/]{20,}=*)(?P=mark)"""
+    r"""|(?i:(?:[\w-]{0,30}(?:token|secret|passwd|password|api[_-]?key|access[_-]?key|auth|credential)[\w-]{0,9}))\s{0,3}[=:]\s{0,3}(?P<plain>[A-Za-z0-9_\-+/]{20,}=*)(?![\w"'.+/=-])"""
+    r"""|(?<![\w-])(?:AKIA|ASIA|AIza|gh[pousr]_|glpat-|xox[abeprs]-|[spr]k[-_](?:live[-_]|test[-_])?)(?P<body>[A-Za-z0-9_-]{16,})(?![\w-])"""
+)
+_HINT = re.compile(r"""[=:]\s{0,3}["']?[A-Za-z0-9_\-+/]{20}""")
+_HEADS = ("AKIA", "ASIA", "AIza", "ghp_", "gho_", "ghu_", "ghs_", "ghr_", "glpat-", "xox", "sk-", "sk_", "pk-", "pk_", "rk-", "rk_")
 _BY_NAME = {name: form for name, _, form in _FORMS}
 _DIGIT = re.compile(r"\d")
 
 
 @lru_cache(maxsize=50_000)
-def _one(name: str, found: str, key: bytes, inverse: bool) -> str | None:
+def _one(name: str, found: str, key: bytes, inverse: bool, told: bool = False) -> str | None:
+    if name == "phone":
+        return _phone(found, key, inverse, told)
     form = {"mail": _mail, "secret": _secret}.get(name) or _BY_NAME[name]
     return form(found, key, inverse)
 
 
+def _told(name: str, text: str, start: int) -> bool:
+    return name == "phone" and _TOLD.search(text, max(0, start - 24), start) is not None
+
+
 def _in_run(text: str, start: int, stop: int, key: bytes) -> list[tuple[str, int, int]]:
     """(kind, start, stop) of the values that begin in a run of digit groups; all but cards begin it or follow a space."""
     groups = [m.span() for m in _GROUP.finditer(text, start, stop)]
@@ -201,7 +262,7 @@ def _in_run(text: str, start: int, stop: int, key: bytes) -> list[tuple[str, int
         if a == start or text[a - 1] == " ":
             tries = [(m.lastgroup, m.end()) for m in [_FIRST.match(text, a)] if m] + tries + [(m.lastgroup, m.end()) for m in [_LAST.match(text, a)] if m]
         for kind, end in tries:
-            if _one(kind, text[a:end], key, False) is not None:
+            if _one(kind, text[a:end], key, False, _told(kind, text, a)) is not None:
                 out.append((kind, a, end))
                 at = end
                 break
@@ -214,30 +275,38 @@ def _put_run(text: str, start: int, stop: int, key: bytes, inverse: bool) -> tup
     end = max([stop, *(b for _, _, b in found)])
     if not found:
         return text[start:end], end, []
-    same, size = [(kind, a - start, b - start) for kind, a, b in found], end - start
-    new, rest = text[start:end], text[end : end + 40]
+    low = max(0, start - 24)  # what announces a phone number stays before the run
+    size, new = end - low, text[low:end]
+    same, rest = [(kind, a - low, b - low) for kind, a, b in found], text[end : end + 40]
     while True:
         for kind, a, b in same:
-            new = new[:a] + _one(kind, new[a:b], key, inverse) + new[b:]
-        if len(new) == size and _in_run(new + rest, 0, stop - start, key) == same:
-            return new, end, [kind for kind, _, _ in found]
+            new = new[:a] + _one(kind, new[a:b], key, inverse, _told(kind, new, a)) + new[b:]
+        if len(new) == size and _in_run(new + rest, start - low, stop - low, key) == same:
+            return new[start - low :], end, [kind for kind, _, _ in found]
 
 
 def pseudonymise(text: str, key: bytes, inverse: bool = False) -> tuple[str, list[str]]:
-    """(text with its private values replaced, their kinds in order of scanning). inverse undoes it under the same key."""
-    kinds: list[str] = []
-
-    def put(name: str) -> Callable[[re.Match], str]:
-        def replace(m: re.Match) -> str:
-            kind = name or m.lastgroup
-            new = _one(kind, m.group(), key, inverse)
-            if new is None:
-                return m.group()
-            kinds.append(kind)
-            return new
-
-        return replace
+    """(text with its private values replaced, their kinds in order of scanning). inverse undoes it under the same key.
 
+    Secrets are found first and cut the text; what lies between them is scanned by itself for addresses and numbers.
+    """
+    if not _HINT.search(text) and not any(head in text for head in _HEADS):
+        return _between(text, key, inverse)
+    kinds: list[str] = []
+    parts, at = [], 0
+    for m in _SECRET.finditer(text):
+        new = _one("secret", m.group(), key, inverse)
+        if new is not None:
+            before, more = _between(text[at : m.start()], key, inverse)
+            parts += [before, new]
+            kinds += [*more, "secret"]
+            at = m.end()
+    rest, more = _between(text[at:], key, inverse)
+    return "".join([*parts, rest]), kinds + more
+
+
+def _between(text: str, key: bytes, inverse: bool) -> tuple[str, list[str]]:
+    kinds: list[str] = []
     if "@" in text:
         parts, at = [], 0
         while (i := text.find("@", at)) >= 0:  # only the surroundings of an @ are searched
@@ -245,14 +314,15 @@ def pseudonymise(text: str, key: bytes, inverse: bool = False) -> tuple[str, lis
             while start > at and (text[start - 1].isascii() and text[start - 1].isalnum() or text[start - 1] in "._%+-"):
                 start -= 1
             m = _MAIL.match(text, start)
+            new = _one("mail", m.group(), key, inverse) if m else None
             stop = m.end() if m else i + 1
-            parts += [text[at:start], put("mail")(m) if m else text[start:stop]]
+            if new is not None:
+                kinds.append("mail")
+            parts += [text[at:start], text[start:stop] if new is None else new]
             at = stop
         text = "".join([*parts, text[at:]])
     if not _DIGIT.search(text):
         return text, kinds
-    if '"' in text:
-        text = _SECRET.sub(put("secret"), text)
     parts, at = [], 0
     while m := _NUMBER.search(text, at):
         parts.append(text[at : m.start()])
@@ -263,7 +333,11 @@ def pseudonymise(text: str, key: bytes, inverse: bool = False) -> tuple[str, lis
             new, at, more = _put_run(text, m.start(), stop, key, inverse)
             kinds += more
         else:
-            new, at = put("")(m), m.end()
+            new, at = _one(m.lastgroup, m.group(), key, inverse, _told(m.lastgroup, text, m.start())), m.end()
+            if new is None:
+                new = m.group()
+            else:
+                kinds.append(m.lastgroup)
         parts.append(new)
     return "".join([*parts, text[at:]]), kinds
 
@@ -271,7 +345,7 @@ def pseudonymise(text: str, key: bytes, inverse: bool = False) -> tuple[str, lis
 def private(docs: DataFrame, key: bytes, id_col: str = "doc_id", text_col: str = "text", inverse: bool = False) -> DataFrame:
     """One row per row of docs: doc_id, text with pseudonyms, n_private and kinds (sorted, one entry a value).
 
-    Mail addresses (local part), quoted secrets, IBANs, dates, IPv4 addresses, social security, card and
+    Mail addresses, secrets (quoted, named or of a known prefix), IBANs, dates, IPv4 addresses, social security, card and
     phone numbers are replaced.  A null text stays null with n_private 0; a text without such values stays
     as it is.  Rows repeated give rows repeated; other columns are not read.
     """

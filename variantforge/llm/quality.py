@@ -74,7 +74,7 @@ def statistics(text: str | None, words: np.ndarray) -> list[float]:
 
 
 def features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per row: doc_id and one double for each of FEATURES, from the whole text."""
+    """One row per row, repeated ones too: doc_id and one double for each of FEATURES, from the whole text; a null text counts as empty."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -8,7 +8,9 @@ import uuid
 from collections.abc import Callable
 from functools import wraps
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def checkpoint_root(spark: SparkSession) -> str:
@@ -50,6 +52,16 @@ def bounded(query: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
     return run
 
 
+def named(name: str) -> Column:
+    """The column of exactly this name, whatever characters it has."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def with_fields(schema: T.StructType, fields: str) -> T.StructType:
+    """schema with the fields of a DDL string put behind its own."""
+    return T.StructType([*schema.fields, *T._parse_datatype_string(fields).fields])
+
+
 class Scratch:
     """Tables of one run of one operator, each under a folder of its own.
 

@@ -1,5 +1,6 @@
-"""Edit-aware token counts: a segment tree of pre-tokens per document, and recounts of only what edits touch.
+"""Edit-aware token counts: a segment tree of pre-tokens per document, kept as a column, and recounts of only what edits touch.
 
+``build`` puts a tree beside each text; ``update`` reads it with edits and returns the edited text and its tree.
 The pattern that cuts a text into pre-tokens reads left to right and looks at most two characters past a
 pre-token's end, and tokens never cross pre-tokens.  So after an edit, cutting restarts at the pre-token
 that holds the character three before the edit and stops at the first old boundary behind it that a new
@@ -9,22 +10,26 @@ one falls on; the counts of all other pre-tokens stand, and the sums above the t
 from __future__ import annotations
 
 import base64
-from bisect import bisect_right
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import SparkFiles
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from .scratch import named, with_fields
 
 RANKS = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Fixed value: the pre-token pattern of the rank file's public tokenizer.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Pre-tokens of a leaf, context before an edit in characters, pre-tokens whose counts a worker remembers.
-LEAF, CONTEXT, REMEMBERED = 64, 3, 200_000
+LEAF, CONTEXT, REMEMBERED = 64, 3, 400_000
+#: A tree: characters and tokens of each pre-token (4 bytes each), pre-tokens of each leaf, and for every node
+#: of the tree (the root is node 1, the children of i are 2i and 2i + 1) its pre-tokens, characters and tokens.
+TREE = "struct<lengths: binary, counts: binary, leaves: binary, sums: binary>"
 
 
 class Counter:
@@ -44,11 +49,12 @@ class Counter:
         for raw, i in table.items():
             self.bytes_of[i] = len(raw)
 
-    def count(self, pre_tokens: list[str]) -> list[int]:
+    def learn(self, pre_tokens: Iterable[list[str]]) -> None:
+        """Encodes what is not known yet."""
         known = self.known
         if len(known) > REMEMBERED:
             known.clear()
-        new = [t for t in set(pre_tokens) if t not in known]
+        new = set().union(*pre_tokens).difference(known)
         # Words that begin with a space stay apart when joined: one call encodes them, and bytes tell whose each token is.
         words = [t for t in new if self.plain.fullmatch(t)]
         if words:
@@ -56,40 +62,85 @@ class Counter:
             stops = np.cumsum(self.bytes_of[self.encoding.encode_ordinary("".join(words))])
             counts = np.diff(np.searchsorted(stops, ends, side="right"), prepend=0)
             known.update(zip(words, counts.tolist(), strict=True))
-        for t in new:
-            if t not in known:
-                known[t] = len(self.encoding.encode_ordinary(t))
-        return [known[t] for t in pre_tokens]
+        for t in new.difference(words):
+            known[t] = len(self.encoding.encode_ordinary(t))
+
+    def count(self, pre_tokens: list[str]) -> np.ndarray:
+        if not all(map(self.known.__contains__, pre_tokens)):
+            self.learn([pre_tokens])
+        return np.fromiter(map(self.known.__getitem__, pre_tokens), np.int32, len(pre_tokens))
+
+    def trees(self, texts: list[str]) -> list[Tree]:
+        """New trees of whole texts."""
+        found = [self.pattern.findall(t) for t in texts]
+        self.learn(found)
+        return [Tree.new(np.fromiter(map(len, f), np.int32, len(f)), np.fromiter(map(self.known.__getitem__, f), np.int32, len(f))) for f in found]
 
     def tree(self, text: str) -> Tree:
-        found = self.pattern.findall(text)
-        return Tree(np.fromiter(map(len, found), np.int64, len(found)), np.array(self.count(found), np.int64))
+        return self.trees([text])[0]
+
+
+_NONE = np.zeros(0, np.int32)
 
 
 class Tree:
-    """A segment tree over leaves of LEAF pre-tokens; each node sums (pre-tokens, characters, tokens)."""
-
-    def __init__(self, lengths: np.ndarray, counts: np.ndarray):
-        cuts = range(0, max(1, len(lengths)), LEAF)
-        self.leaves = [(lengths[i : i + LEAF], counts[i : i + LEAF]) for i in cuts]
-        self.size = 1 << max(0, len(self.leaves) - 1).bit_length()
-        self.sums = np.zeros((2 * self.size, 3), np.int64)
-        for i, (a, b) in enumerate(self.leaves):
-            self.sums[self.size + i] = (len(a), a.sum(), b.sum())
-        level = self.size
-        while level > 1:
-            half = level // 2
-            self.sums[half:level] = self.sums[level : 2 * level : 2] + self.sums[level + 1 : 2 * level : 2]
-            level = half
+    """A segment tree over leaves of about LEAF pre-tokens; each node sums (pre-tokens, characters, tokens)."""
+
+    def __init__(self, lengths: np.ndarray, counts: np.ndarray, leaves: np.ndarray, sums: np.ndarray):
+        self.lengths, self.counts, self.sizes, self.sums = lengths, counts, leaves, sums
+        self.size = len(sums) // 2
+        self.starts = np.concatenate([[0], np.cumsum(leaves)])
+
+    @classmethod
+    def new(cls, lengths: np.ndarray, counts: np.ndarray) -> Tree:
+        n = len(lengths)
+        leaves = np.full(max(1, -(-n // LEAF)), LEAF, np.int32)
+        leaves[-1] = n - LEAF * (len(leaves) - 1)
+        size = 1 << (len(leaves) - 1).bit_length()
+        sums = np.zeros((2 * size, 3), np.int64)
+        at = np.arange(len(leaves)) * LEAF
+        sums[size : size + len(leaves), 0] = leaves
+        if n:
+            sums[size : size + len(leaves), 1] = np.add.reduceat(lengths, at, dtype=np.int64)
+            sums[size : size + len(leaves), 2] = np.add.reduceat(counts, at, dtype=np.int64)
+        while size > 1:
+            half = size // 2
+            sums[half:size] = sums[size : 2 * size : 2] + sums[size + 1 : 2 * size : 2]
+            size = half
+        return cls(lengths, counts, leaves, sums)
+
+    @classmethod
+    def load(cls, lengths: bytes, counts: bytes, leaves: bytes, sums: bytes) -> Tree:
+        return cls(*(np.frombuffer(x, "<i4") for x in (lengths, counts, leaves)), np.frombuffer(sums, "<i8").reshape(-1, 3).copy())
+
+    def dump(self) -> tuple[bytes, bytes, bytes, bytes]:
+        return (*(np.asarray(x, "<i4").tobytes() for x in (self.lengths, self.counts, self.sizes)), self.sums.astype("<i8").tobytes())
 
     @property
     def tokens(self) -> int:
         return int(self.sums[1, 2])
 
-    def replace(self, changes: list[tuple[int, int, list[int], list[int]]]) -> None:
+    @property
+    def pre_tokens(self) -> int:
+        return int(self.sums[1, 0])
+
+    def before(self, x: int) -> tuple[int, int]:
+        """(number of pre-tokens that end at or before character x, where the last of them ends), by descent from the root."""
+        if x >= self.sums[1, 1]:
+            return int(self.sums[1, 0]), int(self.sums[1, 1])
+        node, k, end = 1, 0, 0
+        while node < self.size:
+            node *= 2
+            if end + self.sums[node, 1] <= x:
+                k, end = k + int(self.sums[node, 0]), end + int(self.sums[node, 1])
+                node += 1
+        ends = end + np.cumsum(self.lengths[k : k + int(self.sums[node, 0])])
+        inside = int(np.searchsorted(ends, x, side="right"))
+        return k + inside, int(ends[inside - 1]) if inside else end
+
+    def replace(self, changes: list[tuple[int, int, np.ndarray, np.ndarray]]) -> None:
         """Replaces pre-tokens first to stop by others, for all changes (in order, apart); only the touched leaves and the sums above them change."""
-        starts = np.concatenate([[0], np.cumsum(self.sums[self.size : self.size + len(self.leaves), 0])])
-        last = len(self.leaves) - 1
+        starts, last = self.starts, len(self.sizes) - 1
         groups: list[list] = []
         for change in changes:
             a = min(int(np.searchsorted(starts, change[0], side="right")) - 1, last)
@@ -99,30 +150,34 @@ class Tree:
                 groups[-1][2].append(change)
             else:
                 groups.append([a, b, [change]])
-        touched = set()
-        none = np.zeros(0, np.int64)
+        sizes = self.sizes.copy()
+        parts: tuple[list, list] = ([], [])
+        at, touched = 0, set()
         for a, b, own in groups:
-            base = int(starts[a])
-            for k in (0, 1):
-                old = np.concatenate([self.leaves[i][k] for i in range(a, b + 1)])
-                parts, at = [], 0
-                for first, stop, *new in own:
-                    parts += [old[at : first - base], np.array(new[k], np.int64)]
-                    at = stop - base
-                own_new = np.concatenate([*parts, old[at:]])
-                pair = (own_new,) if k == 0 else (*pair, own_new)  # noqa: F821
-            for i in range(a, b + 1):
-                self.leaves[i] = pair if i == a else (none, none)
-                x, y = self.leaves[i]
-                self.sums[self.size + i] = (len(x), x.sum(), y.sum())
-                touched.add(self.size + i)
+            low, high = int(starts[a]), int(starts[b + 1])
+            for old, out, k in ((self.lengths, parts[0], 2), (self.counts, parts[1], 3)):
+                out.append(old[at:low])
+                leaf, pos = [], low
+                for change in own:
+                    leaf += [old[pos : change[0]], change[k]]
+                    pos = change[1]
+                leaf = np.concatenate([*leaf, old[pos:high]])
+                out.append(leaf)
+                self.sums[self.size + a, k - 1] = leaf.sum(dtype=np.int64)
+            at = high
+            sizes[a : b + 1] = 0
+            sizes[a] = self.sums[self.size + a, 0] = len(leaf)
+            self.sums[self.size + a + 1 : self.size + b + 1] = 0
+            touched.update(range(self.size + a, self.size + b + 1))
+        self.lengths, self.counts = (np.concatenate([*out, old[at:]]) for out, old in zip(parts, (self.lengths, self.counts), strict=True))
+        self.sizes, self.starts = sizes, np.concatenate([[0], np.cumsum(sizes)])
         while touched and touched != {1}:
             touched = {i // 2 for i in touched if i > 1}
             for i in touched:
                 self.sums[i] = self.sums[2 * i] + self.sums[2 * i + 1]
 
     def flat(self) -> tuple[np.ndarray, np.ndarray]:
-        return tuple(np.concatenate([x[k] for x in self.leaves]) for k in (0, 1))
+        return self.lengths, self.counts
 
 
 def clean_edits(edits, length: int) -> list[tuple[int, int, str]]:
@@ -136,6 +191,8 @@ def clean_edits(edits, length: int) -> list[tuple[int, int, str]]:
 
 def apply_edits(counter: Counter, tree: Tree, text: str, edits: list[tuple[int, int, str]]) -> tuple[str, int]:
     """The edited text and how many pre-tokens were cut anew; tree then holds the edited text's counts."""
+    if not edits:
+        return text, 0
     parts, at = [], 0
     places = []  # (old start, old stop, new start, new stop)
     size = 0
@@ -146,16 +203,13 @@ def apply_edits(counter: Counter, tree: Tree, text: str, edits: list[tuple[int,
         size += len(new)
         at = stop
     after = "".join([*parts, text[at:]])
-    changes = []
-    ends = np.cumsum(tree.flat()[0]).tolist()  # where each old pre-token ends
-    total = len(ends)
+    found, cuts = [], []  # all new pre-tokens; (first, stop, from, to) of each change
     match = counter.pattern.match
-    k, anew = 0, 0
+    k = 0
     while k < len(places):
         start, stop, new_start, new_stop = places[k]
-        first = bisect_right(ends, max(0, start - CONTEXT))
-        pos = (ends[first - 1] if first else 0) + new_start - start
-        found: list[str] = []
+        first, end = tree.before(max(0, start - CONTEXT))
+        pos, begin = end + new_start - start, len(found)
         while True:
             back = pos - new_stop + stop  # where this position was, if behind the edit
             while k + 1 < len(places) and places[k + 1][0] - CONTEXT <= back:
@@ -163,37 +217,41 @@ def apply_edits(counter: Counter, tree: Tree, text: str, edits: list[tuple[int,
                 start, stop, new_start, new_stop = places[k]
                 back = pos - new_stop + stop
             if pos >= new_stop:
-                last = bisect_right(ends, back)
-                if back == 0 or last and ends[last - 1] == back:
+                last, end = tree.before(back)
+                if end == back:
                     break
             m = match(after, pos)
             if m is None:
-                last = total
+                last = tree.pre_tokens
                 break
             found.append(m.group())
             pos = m.end()
-        changes.append((first, last, [len(x) for x in found], counter.count(found)))
-        anew += len(found)
+        cuts.append((first, last, begin, len(found)))
         k += 1
-    tree.replace(changes)
-    return after, anew
+    lengths, counts = np.fromiter(map(len, found), np.int32, len(found)), counter.count(found)
+    tree.replace([(first, last, lengths[a:b], counts[a:b]) for first, last, a, b in cuts])
+    return after, len(found)
+
 
+def masking_edits(docs: DataFrame, pattern: str = "[0-9]{4,}|[*#$%&!]{2,}", mask: str = "0", head: str = "", text_col: str = "text", edits_col: str = "edits") -> DataFrame:
+    """docs with edits, in place of any column so named, that put head before the text and mask for each match of pattern; a null text has no edits.
 
-def masking_edits(docs: DataFrame, pattern: str = "[0-9]{4,}|[*#$%&!]{2,}", mask: str = "0", head: str = "", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per row: doc_id, text and edits that put head before the text and mask for each match of pattern; a null text has no edits."""
+    Rows repeated give rows repeated; empty texts get the head only.
+    """
     import re
 
     found = re.compile(pattern)
     kind = pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64()), ("text", pa.string())]))
+    names = [c for c in docs.columns if c != edits_col]
+    plain, at = docs.select(*[named(c) for c in names]), names.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             first = [{"start": 0, "stop": 0, "text": head}] if head else []
-            edits = [None if not t.is_valid else first + [{"start": m.start(), "stop": m.end(), "text": mask} for m in found.finditer(t.as_py())] for t in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(edits, kind)], names=["doc_id", "text", "edits"])
+            edits = [None if t is None else first + [{"start": m.start(), "stop": m.end(), "text": mask} for m in found.finditer(t)] for t in batch.column(at).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(edits, kind)], names=[*names, edits_col])
 
-    chosen = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
-    return chosen.mapInArrow(run, "doc_id bigint, text string, edits array<struct<start: bigint, stop: bigint, text: string>>")
+    return plain.mapInArrow(run, T.StructType([*plain.schema.fields, T.StructField(edits_col, T._parse_datatype_string("array<struct<start: bigint, stop: bigint, text: string>>"))]))
 
 
 @lru_cache(maxsize=2)
@@ -201,29 +259,77 @@ def load(ranks: str) -> Counter:
     return Counter(ranks if ranks.startswith("/") else SparkFiles.get(ranks))
 
 
-def recount(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", edits_col: str = "edits", ranks: str = RANKS, keep_text: bool = False) -> DataFrame:
-    """One row per row of docs: doc_id, n_tokens, n_edits, n_tokens_after, n_pre_tokens, n_cut_anew and, if asked, edited.
+_TREE = pa.struct([(name, pa.binary()) for name in ("lengths", "counts", "leaves", "sums")])
+
+
+def _tree_column(trees: list[Tree]) -> pa.Array:
+    columns = list(zip(*(t.dump() for t in trees), strict=True)) if trees else [[]] * 4
+    return pa.StructArray.from_arrays([pa.array(c, pa.binary()) for c in columns], fields=list(_TREE))
+
+
+def build(docs: DataFrame, text_col: str = "text", ranks: str = RANKS) -> DataFrame:
+    """docs with n_tokens and tree (see TREE) in place of any columns so named.
+
+    A null text counts as empty, with no pre-tokens.  Rows repeated give rows repeated.
+    """
+    names = [c for c in docs.columns if c not in ("n_tokens", "tree")]
+    plain, at = docs.select(*[named(c) for c in names]), names.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counter = load(ranks)
+        for batch in batches:
+            for i in range(0, batch.num_rows, 250):
+                part = batch.slice(i, 250)
+                trees = counter.trees(pc.fill_null(part.column(at), "").to_pylist())
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array([t.tokens for t in trees], pa.int64()), _tree_column(trees)], names=[*names, "n_tokens", "tree"])
+
+    return plain.mapInArrow(run, with_fields(plain.schema, f"n_tokens bigint, tree {TREE}"))
+
+
+_RESULTS = ("n_edits", "n_tokens_after", "n_pre_tokens", "n_cut_anew")
+
+
+def update(built: DataFrame, text_col: str = "text", edits_col: str = "edits", ranks: str = RANKS, keep: bool = True) -> DataFrame:
+    """What ``build`` gave, with a column of edits, after the edits: text and tree are the edited ones, n_tokens is as it was.
 
-    edits is an array of struct(start, stop, text) in characters of the text; null counts as none, bounds
-    are clipped to the text, a null replacement deletes, and of overlapping or equal ones the first stays
-    (n_edits counts those that stay).  A null text counts as empty.  Rows repeated give rows repeated.
+    New are n_edits, n_tokens_after, n_pre_tokens (before) and n_cut_anew, in place of any columns so named; the
+    edits go.  Without keep, text and tree go too.  edits is an array of struct(start, stop, text) in characters
+    of the text; null counts as none, bounds are clipped to the text, a null replacement deletes, and of
+    overlapping or equal ones the first stays (n_edits counts those that stay).  A null text counts as empty and
+    stays null without edits; a null tree is built.  Only pre-tokens at edits are cut and counted.
     """
+    names = [c for c in built.columns if c not in _RESULTS]
+    plain = built.select(*[named(c) for c in names])
+    text_at, tree_at, edits_at = (names.index(c) for c in (text_col, "tree", edits_col))
+    gone = {edits_at} if keep else {edits_at, text_at, tree_at}
+    kept = [i for i in range(len(names)) if i not in gone]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter = load(ranks)
         for batch in batches:
-            rows = []
-            for text, edits in zip(batch.column(1), batch.column(2), strict=True):
-                text = text.as_py() or ""
-                tree = counter.tree(text)
-                before, size = tree.tokens, int(tree.sums[1, 0])
-                todo = clean_edits([(e["start"], e["stop"], e["text"]) for e in edits.as_py() or []], len(text))
-                after, anew = apply_edits(counter, tree, text, todo)
-                rows.append((before, len(todo), tree.tokens, size, anew, after if keep_text else None))
-            cols = list(zip(*rows, strict=True)) if rows else [[]] * 6
-            arrays = [batch.column(0)] + [pa.array(c, pa.int64()) for c in cols[:5]] + [pa.array(cols[5], pa.string())] * keep_text
-            yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "n_tokens", "n_edits", "n_tokens_after", "n_pre_tokens", "n_cut_anew"] + ["edited"] * keep_text)
-
-    chosen = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"), F.col(edits_col).alias("edits"))
-    fields = "doc_id bigint, n_tokens bigint, n_edits bigint, n_tokens_after bigint, n_pre_tokens bigint, n_cut_anew bigint"
-    return chosen.mapInArrow(run, fields + ", edited string" * keep_text)
+            for i in range(0, batch.num_rows, 250):
+                part = batch.slice(i, 250)
+                columns, rows, texts, trees = list(part.columns), [], [], []
+                held = [columns[tree_at].field(k) for k in range(4)]
+                for k, (text, edits) in enumerate(zip(columns[text_at].to_pylist(), columns[edits_at].to_pylist(), strict=True)):
+                    raw = [c[k].as_py() for c in held] if columns[tree_at].is_valid()[k].as_py() else [None]
+                    tree = counter.tree(text or "") if None in raw else Tree.load(*raw)
+                    size = tree.pre_tokens
+                    todo = clean_edits([(e["start"], e["stop"], e["text"]) for e in edits or [] if e], len(text or ""))
+                    after, anew = apply_edits(counter, tree, text or "", todo)
+                    rows.append((len(todo), tree.tokens, size, anew))
+                    if keep:
+                        texts.append(after if todo else text)
+                        trees.append(tree)
+                if keep:
+                    columns[text_at], columns[tree_at] = pa.array(texts, columns[text_at].type), _tree_column(trees)
+                found = list(zip(*rows, strict=True)) if rows else [[]] * len(_RESULTS)
+                yield pa.RecordBatch.from_arrays([*(columns[k] for k in kept), *(pa.array(c, pa.int64()) for c in found)], names=[*(names[k] for k in kept), *_RESULTS])
+
+    return plain.mapInArrow(run, with_fields(T.StructType([plain.schema.fields[k] for k in kept]), ", ".join(f"{c} bigint" for c in _RESULTS)))
+
+
+def recount(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", edits_col: str = "edits", ranks: str = RANKS) -> DataFrame:
+    """One row per row of docs, by ``build`` and ``update``: doc_id, n_tokens, n_edits, n_tokens_after, n_pre_tokens, n_cut_anew."""
+    chosen = docs.select(named(id_col).cast("bigint").alias("doc_id"), named(text_col).alias("text"), named(edits_col).alias("edits"))
+    return update(build(chosen, ranks=ranks), ranks=ranks, keep=False).select("doc_id", "n_tokens", *_RESULTS)

@@ -13,7 +13,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .scratch import Scratch
+from .scratch import Scratch, named
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: (verdict, host, path): a rule fits its host and all subdomains if the URL's path starts with the rule's.
@@ -26,8 +26,8 @@ RULES = (
 )
 #: Host words that label a URL as unwanted for training; a URL with none of them is labelled wanted.
 SEED_WORDS = ("ads", "adult", "bets", "casino", "pills", "porn", "spam", "xxx")
-FEATURES = ("url_length", "host_length", "host_labels", "depth", "path_length", "digit_ratio", "hyphens", "entropy", "parameters", "fragment", "suffix_rate")
-TREES, DEPTH, BINS, RATE, LAMBDA = 8, 3, 12, 0.4, 1.0
+FEATURES = ("url_length", "host_length", "longest_label", "depth", "path_length", "digit_ratio", "entropy", "parameters", "fragment", "suffix_rate", "suffix_size")
+TREES, DEPTH, BINS, RATE, LAMBDA = 12, 3, 16, 0.3, 1.0
 #: Weight of the overall rate in a suffix's rate.
 SMOOTH = 4.0
 
@@ -52,13 +52,12 @@ def match_rule(host: Column, path: Column, rules=RULES) -> tuple[Column, Column]
 
 
 def suffix_of(host: Column) -> Column:
-    """The last three labels of a host."""
-    labels = F.split(host, r"\.")
-    return F.array_join(F.slice(labels, F.greatest(F.size(labels) - 2, F.lit(1)), 3), ".")
+    """The last two labels of a host."""
+    return F.substring_index(host, ".", -2)
 
 
 def lexical(urls: DataFrame, url_col: str = "url") -> DataFrame:
-    """urls with host, path, suffix and the lexical FEATURES but suffix_rate."""
+    """urls with host, path, suffix and the lexical FEATURES, all but those of the suffix."""
     url = F.coalesce(F.col(url_col), F.lit(""))
     host, path = url_parts(F.col(url_col))
     base = urls.withColumns({"host": host, "path": path})
@@ -72,11 +71,10 @@ def lexical(urls: DataFrame, url_col: str = "url") -> DataFrame:
             "suffix": suffix_of(F.col("host")),
             "url_length": F.length(url).cast("double"),
             "host_length": F.length("host").cast("double"),
-            "host_labels": F.when(F.col("host") == "", 0.0).otherwise(F.size(F.split("host", r"\.")).cast("double")),
+            "longest_label": F.array_max(F.transform(F.split("host", r"\."), F.length)).cast("double"),
             "depth": count(F.col("path"), "/").cast("double"),
             "path_length": F.length("path").cast("double"),
             "digit_ratio": count(url, "[0-9]") / F.greatest(F.length(url), F.lit(1)),
-            "hyphens": count(F.col("host"), "-").cast("double"),
             "entropy": F.when(F.col("host") == "", 0.0).otherwise(entropy),
             "parameters": F.when(query == "", 0.0).otherwise((count(query, "&") + 1).cast("double")),
             "fragment": url.contains("#").cast("double"),
@@ -182,8 +180,10 @@ def judge(urls: DataFrame, labelled: DataFrame, rules=RULES, url_col: str = "url
 
     labelled: (url, label) with label 1 for unwanted; nulls in either are left out.  The longest rule that
     fits decides; else the trees do: block from a score (probability of label 1) of 0.5.  A null url or one
-    without `://` has empty host and path and is judged by the trees as an empty host.  Suffix rates leave
-    a training row's own label out.  Without labelled rows every score is 0.5 and every other URL allowed.
+    without `://` has empty host and path and is judged by the trees as an empty host.  Suffix rates and sizes
+    (of the last two labels of the host) leave a training row itself out.  Without labelled rows every score is
+    0.5 and every other URL allowed.  Rows repeated are judged alike.  Of splits with equal gain the first
+    feature and the lowest cut stand.
     """
     spark = urls.sparkSession
     scratch = Scratch(spark, "url_filter")
@@ -192,12 +192,13 @@ def judge(urls: DataFrame, labelled: DataFrame, rules=RULES, url_col: str = "url
     rates = scratch.cut(rates, "rates")
     total = rates.agg(F.sum("suffix_n").alias("n"), F.sum("suffix_p").alias("p")).first()
     overall = (total["p"] / total["n"]) if total["n"] else 0.5
-    known = seen.join(rates, "suffix").withColumn("suffix_rate", (F.col("suffix_p") - F.col("label") + SMOOTH * overall) / (F.col("suffix_n") - 1 + SMOOTH))
+    known = seen.join(rates, "suffix").withColumns({"suffix_rate": (F.col("suffix_p") - F.col("label") + SMOOTH * overall) / (F.col("suffix_n") - 1 + SMOOTH), "suffix_size": F.log2("suffix_n")})
     model = train(known, "label", scratch)
     keep = [c for c in urls.columns if c not in ("host", "path", "rule", "verdict", "score")]
-    source = urls.select(F.struct(*[F.col(f"`{c}`") for c in keep]).alias("row"), F.col(url_col).alias("url"))
+    source = urls.select(F.struct(*[named(c) for c in keep]).alias("row"), named(url_col).alias("url"))
     rows = lexical(source).join(rates, "suffix", "left")
-    rows = rows.withColumn("suffix_rate", (F.coalesce("suffix_p", F.lit(0)) + SMOOTH * overall) / (F.coalesce("suffix_n", F.lit(0)) + SMOOTH))
+    n = F.coalesce("suffix_n", F.lit(0))
+    rows = rows.withColumns({"suffix_rate": (F.coalesce("suffix_p", F.lit(0)) + SMOOTH * overall) / (n + SMOOTH), "suffix_size": F.log2(n + 1)})
     bins = rows.withColumns({f"bin_{name}": model.binned(name) for name in FEATURES})
     score = 1 / (1 + F.exp(-model.margin(lambda name: F.col(f"bin_{name}"))))
     rule, verdict = match_rule(F.col("host"), F.col("path"), rules)

@@ -44,6 +44,14 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U64(31))
 
 
+def mix_int(x: int) -> int:
+    """``mix`` of a Python integer modulo 2^64, without arrays."""
+    x &= 0xFFFFFFFFFFFFFFFF
+    x = (x ^ x >> 30) * 0xBF58476D1CE4E5B9 & 0xFFFFFFFFFFFFFFFF
+    x = (x ^ x >> 27) * 0x94D049BB133111EB & 0xFFFFFFFFFFFFFFFF
+    return x ^ x >> 31
+
+
 def mix1(x: int) -> int:
     """``mix`` of one Python integer."""
     return int(mix(np.array([x & (2**64 - 1)], dtype=np.uint64))[0])
