@@ -117,14 +117,14 @@ def family(r, base, n, first):
     return out
 
 
-@pytest.mark.parametrize(("block_bytes", "rounds"), [(2 << 20, 3), (3000, 1)])
-def test_parity_join(docs, block_bytes, rounds):
+@pytest.mark.parametrize(("block_bytes", "block_sets", "rounds"), [(2 << 20, 500, 3), (3000, 8, 1), (2 << 20, 5, 3)])
+def test_parity_join(docs, block_bytes, block_sets, rounds):
     r = random.Random(7)
     rows = [(1, None), (2, ""), (3, " \n"), (4, "One"), (5, "one"), (6, "a b"), (7, "A  b"), (8, "a b c"), (9, "x " * 50_000), (10, "x " * 60_000), (11, "É a b"), (12, "é a b")]
     for k, base in enumerate((12, 40, 90, 90, 200, 600)):
         rows += family(r, base, 25, 1000 * (k + 1))
     rows += [(50_000 + i, rows[20 + i % 9][1].upper()) for i in range(60)]
-    got = {g["doc_id"]: (g["n_shingles"], g["component_id"]) for g in parity_join(docs(rows), 3, 9, 10, block_bytes=block_bytes, rounds=rounds).collect()}
+    got = {g["doc_id"]: (g["n_shingles"], g["component_id"]) for g in parity_join(docs(rows), 3, 9, 10, block_bytes=block_bytes, block_sets=block_sets, rounds=rounds).collect()}
     assert got == brute_join(rows)
 
 

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .scratch import Scratch
+from .scratch import Scratch, named
 from .words import U64, mix, shingle_set, word_hashes
 
 #: Bytes of sets, and sets, that are held in a task at once, about: a block. Two blocks meet in a task.
@@ -308,19 +308,27 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(pair[:, 0]), pa.array(pair[:, 1])], names=["a", "b"])
 
 
-_SET = "node bigint, n bigint, sketch binary, set binary"
+_SET = "node bigint, h1 bigint, h2 bigint, n bigint, sketch binary, set binary"
 
 
 def _sets(k: int):
+    """The sets of nodes, each once: rows repeated with one doc_id lie together."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last = (None, None)
         for batch in batches:
             node, h1, h2 = (batch.column(i).to_pylist() for i in (0, 2, 3))
             rows, held = [], 0
             for i, words in word_hashes(batch.column(1)):
+                if last[0] != node[i]:
+                    last = (node[i], set())
+                if (h1[i], h2[i]) in last[1]:
+                    continue
                 s = shingle_set(words, k)
                 if (h1[i], h2[i]) != signature(s):  # another text under the same doc_id
                     continue
-                rows.append((node[i], len(s), sketch_of(s).astype("<u8").tobytes(), s.astype("<u8").tobytes()))
+                last[1].add((h1[i], h2[i]))
+                rows.append((node[i], h1[i], h2[i], len(s), sketch_of(s).astype("<u8").tobytes(), s.astype("<u8").tobytes()))
                 held += len(s) * 9
                 if held > 8 << 20:
                     yield _set_batch(rows)
@@ -331,8 +339,8 @@ def _sets(k: int):
 
 
 def _set_batch(rows: list[tuple]) -> pa.RecordBatch:
-    cols = list(zip(*rows, strict=True)) if rows else [[]] * 4
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.binary(), pa.binary()), strict=True)], names=["node", "n", "sketch", "set"])
+    cols = list(zip(*rows, strict=True)) if rows else [[]] * 6
+    return pa.RecordBatch.from_arrays([pa.array(c, pa.int64() if i < 4 else pa.binary()) for i, c in enumerate(cols)], names=["node", "h1", "h2", "n", "sketch", "set"])
 
 
 def _linked(a: np.ndarray, b: np.ndarray, num: int, den: int) -> bool:
@@ -381,11 +389,9 @@ def _with_head(num: int, den: int):
     return run
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, num: int, den: int, block_bytes: int) -> DataFrame:
-    """Those pairs (a, b) whose sets link. A head a with many members is dealt to several tasks, each with its set."""
-    counted = pairs.groupBy("a").agg(F.count("*").alias("members")).join(sets.groupBy(F.col("node").alias("a")).agg(F.max("n").alias("size")), "a")
-    salts = F.ceil(F.greatest(F.col("members") * F.col("size") * 9 / F.lit(block_bytes), F.col("members") / F.lit(BLOCK_SETS))).cast("int")
-    heads = counted.select("a", F.greatest(salts, F.lit(1)).alias("salts"))
+def _verified(pairs: DataFrame, sets: DataFrame, num: int, den: int, block_sets: int) -> DataFrame:
+    """Those pairs (a, b) whose sets link. A head a with many members is dealt to several tasks, each with its set; a task holds one head."""
+    heads = pairs.groupBy("a").agg(F.ceil(F.count("*") / F.lit(block_sets)).cast("int").alias("salts"))
     members = pairs.join(heads, "a").select(F.col("a").alias("head"), F.pmod(F.xxhash64("b"), F.col("salts")).cast("int").alias("salt"), F.lit(True).alias("member"), F.col("b").alias("node"))
     firsts = heads.select(F.col("a").alias("head"), F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(False).alias("member"), F.col("a").alias("node"))
     full = members.unionByName(firsts).join(sets, "node").select("head", "salt", "member", "node", "n", "sketch", "set")
@@ -434,19 +440,17 @@ def _between_blocks(num: int, den: int):
     return run
 
 
-def _in_full(mixed: DataFrame, sets: DataFrame, num: int, den: int, block_bytes: int) -> DataFrame:
-    """Links among all members of the buckets (key, node, root); buckets of one least node are compared together, so that a pair seldom meets twice."""
-    head = mixed.groupBy("key").agg(F.min("node").alias("head"))
-    group = mixed.join(head, "key").select("head", "node", "root").distinct()
-    sized = group.join(sets.groupBy("node").agg(F.max("n").alias("size")), "node")
-    blocks = F.ceil(F.greatest(F.sum(F.col("size") * 9) / F.lit(block_bytes), F.count("*") / F.lit(BLOCK_SETS))).cast("int")
-    spread = group.join(sized.groupBy("head").agg(blocks.alias("blocks")), "head").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+def _in_full(mixed: DataFrame, sets: DataFrame, num: int, den: int, block_bytes: int, block_sets: int) -> DataFrame:
+    """Links among all members of the buckets (key, node, root, least); buckets of one least node are compared together, so that a pair seldom meets twice."""
+    group = mixed.select(F.col("least").alias("head"), "node", "root").distinct().join(sets.select("node", "n"), "node")
+    blocks = F.ceil(F.greatest(F.sum(F.col("n") * 9) / F.lit(block_bytes), F.count("*") / F.lit(block_sets))).cast("int")
+    spread = group.join(group.groupBy("head").agg(blocks.alias("blocks")), "head").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     units = spread.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("head", F.least("block", "other").alias("bi"), F.greatest("block", "other").alias("bj"), "block", "node", "root")
-    full = units.join(sets, "node").select("head", "bi", "bj", "block", "node", "root", "n", "sketch", "set")
+    full = units.distinct().join(sets, "node").select("head", "bi", "bj", "block", "node", "root", "n", "sketch", "set")
     return full.repartition("head", "bi", "bj").sortWithinPartitions("head", "bi", "bj").mapInArrow(_between_blocks(num, den), "a bigint, b bigint")
 
 
-def parity_join(docs: DataFrame, k: int = 5, num: int = 8, den: int = 10, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES, rounds: int = ROUNDS) -> DataFrame:
+def parity_join(docs: DataFrame, k: int = 5, num: int = 8, den: int = 10, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES, block_sets: int = BLOCK_SETS, rounds: int = ROUNDS) -> DataFrame:
     """One row per row of docs: doc_id, n_shingles, component_id, class_size.
 
     Words are ``[^\\x20\\x09-\\x0D]+`` after lower-casing A-Z; a set holds the distinct k-word shingles, with
@@ -458,50 +462,51 @@ def parity_join(docs: DataFrame, k: int = 5, num: int = 8, den: int = 10, id_col
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "parity_join")
-    pairs = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
+    pairs = docs.select(named(id_col).cast("bigint").alias("doc_id"), named(text_col).alias("text"))
     signed = scratch.cut(pairs.mapInArrow(_signatures(k, num, den), _SIGN), "signed")
-    often = signed.where("frequent").groupBy("h1").agg(F.sum("n").alias("n")).where(F.col("n") >= FREQUENT_FROM).orderBy(F.desc("n"), "h1").limit(FREQUENT).orderBy("n", "h1").select("h1").toArrow()
-    frequent = spark.sparkContext.broadcast(often.column(0).to_numpy().astype(np.int64).view(np.uint64))
+    often = signed.where("frequent").groupBy("h1").agg(F.sum("n").alias("n")).where(F.col("n") >= FREQUENT_FROM).orderBy(F.desc("n"), "h1").limit(FREQUENT).toArrow()
+    frequent = spark.sparkContext.broadcast(often.column(0).to_numpy()[::-1].astype(np.int64).view(np.uint64))
     full = signed.where("NOT frequent AND n > 0 AND doc_id IS NOT NULL")
     classes = scratch.cut(full.groupBy("h1", "h2").agg(F.min("doc_id").alias("node"), F.count("*").alias("class_size"), F.first("n").alias("n")), "classes")
     keyed = full.where("keys IS NOT NULL").select("h1", "h2", "n", "keys")
     rows = keyed.join(classes.select("h1", "h2", "node"), ["h1", "h2"]).select("node", "n", "keys").mapInArrow(_explode(num, den, frequent), "key bigint, node bigint, linked bigint")
     met = rows.repartition("key").sortWithinPartitions("key", "node").mapInArrow(_meet, "a bigint, b bigint")
     stars = scratch.cut(met.distinct(), "stars")
-    involved = scratch.cut(stars.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(classes, "node").select("node", "h1", "h2"), "involved")
+    involved = stars.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(classes, "node")
     texts = involved.join(pairs.withColumnRenamed("doc_id", "node"), "node").select("node", "text", "h1", "h2")
-    sets = scratch.cut(texts.mapInArrow(_sets(k), _SET).dropDuplicates(["node", "set"]), "sets")
-    links = [scratch.cut(_verified(stars, sets, num, den, block_bytes), "links0")]
-    mixed = None
-    for step in range(1, rounds + 1):
+    sets = scratch.cut(texts.mapInArrow(_sets(k), _SET), "sets")
+    links = [scratch.cut(_verified(stars, sets, num, den, block_sets), "links0")]
+
+    def roots(name: str) -> DataFrame:
         joined = links[0]
         for more in links[1:]:
             joined = joined.unionByName(more)
-        roots = components(joined, scratch, f"joined{step}").withColumnRenamed("root", "up")
+        return components(joined, scratch, name)
+
+    mixed = None
+    for step in range(1, rounds + 1):
+        up = roots(f"joined{step}").withColumnRenamed("root", "up")
         if mixed is None:
-            known = involved.join(roots, "node", "left").select("h1", "h2", "node", F.coalesce("up", "node").alias("root"))
+            known = sets.select("h1", "h2", "node").join(up, "node", "left").select("h1", "h2", "node", F.coalesce("up", "node").alias("root"))
             members = keyed.join(known, ["h1", "h2"]).select("node", "n", "keys", "root").mapInArrow(_members(num, den, frequent), "key bigint, node bigint, root bigint")
         else:
-            members = mixed.join(roots, "node", "left").select("key", "node", F.coalesce("up", "root").alias("root"))
-        apart = members.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.min(F.struct(F.xxhash64("node", F.lit(step)).alias("h"), F.col("node").alias("a"), F.col("root").alias("head_root"))).alias("head")).where("low < high")
-        mixed = scratch.cut(members.join(apart.select("key", "head.a", "head.head_root"), "key"), f"mixed{step}")
-        if mixed.isEmpty():
+            members = mixed.select("key", "node", "root").join(up, "node", "left").select("key", "node", F.coalesce("up", "root").alias("root"))
+        head = F.min(F.struct(F.xxhash64("node", F.lit(step)).alias("h"), F.col("node").alias("a"), F.col("root").alias("head_root")))
+        apart = members.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.min("node").alias("least"), F.count("*").alias("size"), head.alias("head")).where("low < high")
+        mixed = scratch.cut(members.join(apart.select("key", "least", "size", "head.a", "head.head_root"), "key"), f"mixed{step}")
+        largest = mixed.agg(F.max("size")).first()[0]
+        if largest is None:
             break
-        if step == rounds:
-            links.append(scratch.cut(_in_full(mixed.select("key", "node", "root"), sets, num, den, block_bytes), f"links{step}"))
-        else:
-            meet = mixed.where("root <> head_root").select("a", F.col("node").alias("b")).distinct()
-            links.append(scratch.cut(_verified(meet, sets, num, den, block_bytes), f"links{step}"))
-            mixed = mixed.select("key", "node", "root")
-    joined = links[0]
-    for more in links[1:]:
-        joined = joined.unionByName(more)
-    roots = components(joined, scratch, "linked")
-    least = classes.join(roots, "node", "left").select("h1", "h2", "node", "class_size", F.coalesce("root", "node").alias("root"))
+        if step == rounds or largest <= block_sets:
+            links.append(scratch.cut(_in_full(mixed, sets, num, den, block_bytes, block_sets), f"links{step}"))
+            break
+        meet = mixed.where("root <> head_root").select("a", F.col("node").alias("b")).distinct()
+        links.append(scratch.cut(_verified(meet, sets, num, den, block_sets), f"links{step}"))
+    least = classes.join(roots("linked"), "node", "left").select("h1", "h2", "node", "class_size", F.coalesce("root", "node").alias("root"))
     least = scratch.cut(least, "rooted")
     names = least.groupBy("root").agg(F.min("node").alias("component_id"))
     final = least.join(names, "root").select("h1", "h2", "component_id", "class_size")
     members = full.select("doc_id", F.col("n").alias("n_shingles"), "h1", "h2").join(final, ["h1", "h2"])
     rest = signed.where("NOT frequent AND NOT (n > 0 AND doc_id IS NOT NULL)").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), F.lit(1).cast("bigint").alias("class_size"))
-    scratch.drop("stars", "involved", "sets", "classes", *[f"{x}{i}" for i in range(rounds + 1) for x in ("links", "mixed")])
+    scratch.drop("stars", "sets", "classes", *[f"{x}{i}" for i in range(rounds + 1) for x in ("links", "mixed")])
     return members.select("doc_id", "n_shingles", "component_id", "class_size").unionByName(rest)
