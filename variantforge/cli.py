@@ -8,6 +8,7 @@ from pathlib import Path
 
 from .operators.interpret import check_terminates, validate
 from .plans.dedupe import DedupeMode
+from .plans.errors import message
 from .plans.merge import MappingError
 from .plans.models import DdlBackend, JsonBackend, MappingSettings, NameSource, StructTypeBackend
 from .plans.schema import Schema, SchemaParseError, SchemaSettings
@@ -40,7 +41,7 @@ def _validate(args: argparse.Namespace) -> int:
     check_terminates(schema)
     errors = validate(schema, parse_json(_read(args.payload)))
     for e in errors:
-        print(e["message"], file=sys.stderr)
+        print(message(e), file=sys.stderr)
     if errors:
         print(f"validation failed: {len(errors)} error(s)", file=sys.stderr)
     return int(bool(errors))

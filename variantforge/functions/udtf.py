@@ -8,7 +8,7 @@ from pyspark.sql import SparkSession
 from pyspark.sql.functions import udtf
 
 from ..operators.interpret import check_terminates, validate
-from ..plans.errors import ERROR_FIELDS, ERROR_TYPE
+from ..plans.errors import ERROR_FIELDS, ERROR_TYPE, message
 from ..plans.schema import Schema
 from ..plans.values import InvalidJson, parse_json
 
@@ -31,10 +31,10 @@ class JsonSchemaErrors:
         except InvalidJson:
             return
         for i, e in enumerate(validate(_schema(schema), value)):
-            yield (i, *(e[f] for f in ERROR_FIELDS))
+            yield (i, *(e[f] for f in ERROR_FIELDS), message(e))
 
 
 def register(spark: SparkSession) -> None:
     """Registers json_schema_errors(doc, schema), for use with LATERAL."""
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in ERROR_TYPE)
-    spark.udtf.register("json_schema_errors", udtf(JsonSchemaErrors, returnType=f"ord int, {fields}"))
+    spark.udtf.register("json_schema_errors", udtf(JsonSchemaErrors, returnType=f"ord int, {fields}, message string"))

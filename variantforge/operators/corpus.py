@@ -35,11 +35,11 @@ def _mapped(df: DataFrame, columns: list[str], fields: str, rows: Callable) -> D
 
 
 def parse_status(schemas: DataFrame, id_col: str, text_col: str, settings: SchemaSettings = SchemaSettings()) -> DataFrame:
-    """(id, schema_json, error): the normalised text of each schema, or why it does not parse."""
+    """(id, schema_json, error): the whole normalised text of each schema, which reads back as the same, or why it does not parse."""
 
     def rows(i, text):
         try:
-            yield i, Schema.of(text if text is not None else "", settings).to_json(), None
+            yield i, Schema.of(text if text is not None else "", settings).to_json(whole=True), None
         except SchemaParseError as e:
             yield i, None, str(e)
 

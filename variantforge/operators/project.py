@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 
 from ..plans.models import MappingSettings, struct_type
 from .compile import member
+from .validate import fresh, named
 
 
 def _literal(value, kind: T.DataType) -> Column:
@@ -60,7 +61,8 @@ def struct_of(v: Column, kind: T.StructType) -> Column:
 
 
 def typed_projection(df: DataFrame, doc_col: str, schema, settings: MappingSettings = MappingSettings(), into: str = "typed") -> DataFrame:
-    """df with the document as a typed struct; null for null, text that is not JSON, or no object."""
+    """df with the document as a typed struct, in place of any column so named; null for null, text that is not JSON, or no object."""
     kind = struct_type(schema, settings)
-    parsed = df.withColumn("__v", F.try_parse_json(F.col(doc_col)))
-    return parsed.withColumn(into, F.when(F.col("__v").isNotNull(), _value(F.col("__v"), kind))).drop("__v")
+    own = fresh([*df.columns, into])
+    parsed = df.select("*", F.try_parse_json(named(doc_col)).alias(own))
+    return parsed.select(*[named(c) for c in df.columns if c != into], F.when(F.col(own).isNotNull(), _value(F.col(own), kind)).alias(into))

@@ -1,4 +1,4 @@
-"""Validation errors as rows: one struct type for all kinds, and their messages.
+"""Validation errors as rows: one struct type for all kinds, and their messages, which are written only where they are read.
 
 Fields hold what a kind needs: `property` a key, a pattern or a reference; `expected` and `actual` text;
 `allowed` the enum; n_* counts and d_* numbers, expected first.
@@ -15,7 +15,6 @@ ERROR_TYPE = T.StructType(
     + [T.StructField("allowed", T.ArrayType(T.StringType()))]
     + [T.StructField(n, T.LongType()) for n in ("n_expected", "n_actual")]
     + [T.StructField(n, T.DoubleType()) for n in ("d_expected", "d_actual")]
-    + [T.StructField("message", T.StringType())]
 )
 ERROR_FIELDS = tuple(f.name for f in ERROR_TYPE)
 
@@ -49,7 +48,10 @@ MESSAGES = {
 
 def error(kind: str, path: str, **payload) -> dict:
     """An error row; fields that are not given are None."""
-    row = dict.fromkeys(ERROR_FIELDS) | {"kind": kind, "path": path} | payload
+    return dict.fromkeys(ERROR_FIELDS) | {"kind": kind, "path": path} | payload
+
+
+def message(row: dict) -> str:
+    """The message of an error row."""
     shown = {k: plain_number(v) if k.startswith("d_") and v is not None else ", ".join(v) if k == "allowed" and v is not None else v for k, v in row.items()}
-    row["message"] = f"{path or 'root'}: " + MESSAGES[kind].format(**shown)
-    return row
+    return f"{row['path'] or 'root'}: " + MESSAGES[row["kind"]].format(**shown)

@@ -31,7 +31,7 @@ class SchemaIoError(SchemaParseError):
 
 
 class SpecVersion(Enum):
-    """Drafts by their meta-schema URI."""
+    """Drafts by their meta-schema URI (fixed values)."""
 
     DRAFT_00 = "http://json-schema.org/draft-00/hyper-schema#"
     DRAFT_01 = "http://json-schema.org/draft-01/hyper-schema#"
@@ -58,7 +58,7 @@ class SpecVersion(Enum):
         return SchemaSettings()
 
 
-#: Every spelling of a meta-schema URI that names a draft.
+#: Every spelling of a meta-schema URI that names a draft.
 SPEC_URIS: Mapping[str, SpecVersion] = MappingProxyType(
     {v.value: v for v in SpecVersion} | {"http://json-schema.org/schema#": SpecVersion.DRAFT_04}
 )
@@ -154,17 +154,21 @@ class Schema:
 
     # Output
 
-    def to_dict(self) -> dict:
-        """The schema as JSON values, keywords in the model's order; absent and empty ones are left out."""
+    def to_dict(self, whole: bool = False) -> dict:
+        """The schema as JSON values, keywords in the model's order; absent and empty ones are left out.
+
+        With whole, empty ones stay: an empty anyOf or oneOf refuses everything and an empty allOf has no
+        mapping, so only the whole text reads back as the same schema.
+        """
         out = {}
         for word, (name, _, write) in KEYWORDS.items():
             value = getattr(self, name)
-            if value is not None and (name not in _DROP_EMPTY or len(value)):
-                out[word] = write(value)
+            if value is not None and (name not in _DROP_EMPTY or len(value) or whole and name != "properties"):
+                out[word] = write(value, whole)
         return out
 
-    def to_json(self) -> str:
-        return json.dumps(self.to_dict(), ensure_ascii=False, separators=(",", ":"))
+    def to_json(self, whole: bool = False) -> str:
+        return json.dumps(self.to_dict(whole), ensure_ascii=False, separators=(",", ":"))
 
     def with_(self, **changes) -> Schema:
         return replace(self, **changes)
@@ -272,16 +276,16 @@ def _one_schema(v, strict, path):
     return _node(v, strict, path)
 
 
-_same = lambda v: v
-_write_list = list
-_write_one = lambda v: v.to_dict()
-_write_all = lambda v: [x.to_dict() for x in v]
-_write_map = lambda v: {k: x.to_dict() for k, x in v.items()}
-_write_extra = lambda v: v.value if isinstance(v, Extra) else v.to_dict()
+_same = lambda v, whole: v
+_write_list = lambda v, whole: list(v)
+_write_one = lambda v, whole: v.to_dict(whole)
+_write_all = lambda v, whole: [x.to_dict(whole) for x in v]
+_write_map = lambda v, whole: {k: x.to_dict(whole) for k, x in v.items()}
+_write_extra = lambda v, whole: v.value if isinstance(v, Extra) else v.to_dict(whole)
 _write_bound = _same
 _text, _flag = _typed(str, "a string"), _typed(bool, "a boolean")
 
-#: keyword -> (field, reader, writer), in the model's order.
+#: The keywords, as keyword -> (field, reader, writer), in the model's order.
 KEYWORDS: Mapping[str, tuple[str, Callable, Callable]] = MappingProxyType(
     {
         "$schema": ("schema", _text, _same),

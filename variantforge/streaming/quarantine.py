@@ -14,11 +14,11 @@ from ..operators.validate import ERRORS, INVALID, split_valid, validate_document
 
 
 def quarantine(stream: DataFrame, doc_col: str, schema, accepted: str, rejected: str, checkpoint: str, tier: str = "auto", available_now: bool = True) -> StreamingQuery:
-    """Writes valid documents to one folder and rejected ones, with their errors, to another.
+    """Writes valid documents to one folder and rejected ones, with their errors and messages, to another.
 
     Each batch is written under its own number, so a batch that is run again replaces what it wrote.
     """
-    validated = validate_documents(stream, doc_col, schema, tier)
+    validated = validate_documents(stream, doc_col, schema, tier, messages=True)
 
     def write(batch: DataFrame, number: int) -> None:
         kept = batch.persist()
