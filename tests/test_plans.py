@@ -3,6 +3,7 @@
 import io
 import json
 import random
+from enum import Enum
 
 import pytest
 from pyspark.sql import functions as F
@@ -10,13 +11,13 @@ from pyspark.sql import types as T
 
 from variantforge.functions import names as column_names
 from variantforge.functions import pointer as column_pointer
-from variantforge.plans import names
+from variantforge.plans import names, reverse
 from variantforge.plans.dedupe import DedupeMode, dedupe_key
 from variantforge.plans.merge import BatchError, Conflict, EmptyCombinator, NotObjectLike, RootNotObject, merged
-from variantforge.plans.models import DdlBackend, JsonBackend, MappingSettings, Mapper, NameSource, StructTypeBackend, generate, struct_type
+from variantforge.plans.models import DdlBackend, JsonBackend, Mapper, MappingSettings, NameSource, StructTypeBackend, generate, in_order, struct_type, struct_types
 from variantforge.plans.pointer import InvalidEscape, InvalidUtf8, JsonPointer
 from variantforge.plans.refs import RefError, Target, parse_ref
-from variantforge.plans.reverse import hoist_defs, schema_for, schema_from_struct
+from variantforge.plans.reverse import UnsupportedType, hoist_defs, register_type, schema_for, schema_from_struct, schema_of_enum
 from variantforge.plans.schema import Extra, Schema, SchemaIoError, SchemaParseError, SchemaSettings, SpecVersion, UnknownField
 
 STRICT = SchemaSettings(disallow_unknown_fields=True)
@@ -98,12 +99,12 @@ def test_pointers(spark):
         assert (tuple(row["s"]), row["pop"], row["t"], row["r"], row["n"]) == (q.segments, str(q.pop()), str(q.truncate(1)), str(q.remove(1)), len(q)), row
 
 
-NAMES = ["foo-bar", "toddGriffin", "HTTPResponse", "123", "self", "/8633", "todd.griffin", "", "_", "1-a b", "type", "café", "AB1Cd", "a1B", "Self", "__x", "x y-z", "URLPath2Id", "a b"]
+NAMES = ["deck-plan", "seaLevel", "GPSTrack", "47", "self", "/310", "port.side", "", "_", "2-x y", "loop", "naïf", "AB1Cd", "a1B", "Self", "__x", "x y-z", "URLPath2Id", "a b"]
 
 
 def test_names(spark):
-    assert [names.field_name(x) for x in ("foo-bar", "toddGriffin", "HTTPResponse", "1-a b", "", "_", "type")] == ["foo_bar", "todd_griffin", "http_response", "field_1_a b", "empty", "empty", "type_"]
-    assert [names.variant_name(x) for x in ("123", "self", "/8633", "todd.griffin", "foo-bar", "")] == ["E123", "ESelf", "E8633", "ToddGriffin", "FooBar", "EUnnamed"]
+    assert [names.field_name(x) for x in ("deck-plan", "seaLevel", "GPSTrack", "2-x y", "", "_", "loop")] == ["deck_plan", "sea_level", "gps_track", "field_2_x y", "empty", "empty", "loop_"]
+    assert [names.variant_name(x) for x in ("47", "self", "/310", "port.side", "deck-plan", "")] == ["E47", "ESelf", "E310", "PortSide", "DeckPlan", "EUnnamed"]
     assert names.variant_names(["a", "A"]) == [("a", "A0"), ("A", "A1")]
     assert names.type_name("self") == "Self_" and names.pascal_case("") == "Unnamed" and names.pascal_case("1a") == "N1a"
     assert names.path_component("") == "schema" and names.path_component("1-x") == "_1_x" and names.output_path("a b/c.json") == "a_b/c.rs"
@@ -136,9 +137,9 @@ def models(schema, **settings):
 
 
 def test_models():
-    person = obj({"address": obj({"city": STR, "street_address": STR}), "name": STR})
+    person = obj({"berth": obj({"deck": STR, "cabin_number": STR}), "crew": STR})
     found = models(person)
-    assert [m.name for m in found] == ["Address", "Root"] and [f.name for f in found[1].fields] == ["address", "name"]
+    assert [m.name for m in found] == ["Berth", "Root"] and [f.name for f in found[1].fields] == ["berth", "crew"]
     assert [(m.name, m.variants) for m in models(obj({"s": {"enum": ["a", "A"]}, "t": {"enum": ["A", "a"]}})) if m.kind == "enum"] == [("S", (("A", "A0"), ("a", "A1")))]
     assert [m.name for m in models({"oneOf": [obj({"a": STR}), obj({"b": STR})]}) if m.kind == "union"] == ["RootOneOf"]
     assert {m.name for m in models(obj({"foo": {"anyOf": [STR, obj({"x": {"type": "integer"}})]}}))} == {"FooAnyOf", "FooVariant1", "Root"}
@@ -162,10 +163,12 @@ def test_struct_types_and_backends():
     assert kind.simpleString() == "struct<b:smallint,f:float,n:variant,t:array<string>,u:decimal(20,0),additional:map<string,string>>"
     assert kind["t"].metadata["unique_items"] and kind["b"].metadata["required"]
     assert "b SMALLINT" in DdlBackend().generate([s])["schema_0"]
+    text = StructTypeBackend().generate([s])["schema_0"]
     names_space: dict = {}
-    exec(StructTypeBackend().generate([s])["schema_0"], names_space)
-    assert names_space["SCHEMA"] == kind
-    assert set(JsonBackend().generate([obj({"id": STR}), obj({"id": STR})])) == {"shared"}
+    exec(text, names_space)
+    assert names_space["SCHEMA"] == kind and "LongType" not in text and "DecimalType" in text
+    both = JsonBackend().generate([obj({"id": STR}), obj({"id": STR})])
+    assert set(both) == {"shared", "schema_0", "schema_1"} and json.loads(both["schema_1"]) == {"export": "Root", "from": "shared"}
 
 
 def test_dedupe():
@@ -179,6 +182,62 @@ def test_dedupe():
     assert key(low) == key(high) and key(low, strict=True) != key(high, strict=True)
 
 
+def test_shared_models_come_in_order_and_circles_are_cut():
+    city = obj({"name": STR}, title="City")
+    leg = obj({"from": city, "list": {"type": "array", "items": city}}, title="Leg")
+    made = generate([obj({"z": leg}, title="A"), obj({"a": city, "b": leg}, title="B")])
+    assert [m.name for m in made.shared] == ["City", "Leg"] and made.exports == (("City", "Leg"), ("City", "Leg"))
+    assert [m.name for m in in_order(list(made.shared)[::-1])] == ["City", "Leg"]
+    circle = obj({"next": {"$ref": "#"}}, title="Node")
+    assert [m.name for m in generate([circle, circle]).shared] == ["Node"]
+    same = generate([obj({"p": obj({"x": STR}, title="T")}), obj({"p": obj({"x": STR}, title="T")}), obj({"q": obj({"y": STR}, title="T")}), obj({"q": obj({"y": STR}, title="T")})])
+    assert sorted(m.name for m in same.shared) == ["Root", "Root2", "T", "T2"]
+
+
+def test_several_schemas_in_one_call(tmp_path):
+    (tmp_path / "my-file.json").write_text(json.dumps(obj({"n": {"type": "integer"}})))
+    found = struct_types(json.dumps(obj({"a": STR})), str(tmp_path / "my-file.json"), tmp_path / "my-file.json", obj({"b": STR}))
+    assert [(k, v.simpleString()) for k, v in found.items()] == [("schema_0", "struct<a:string>"), ("my_file", "struct<n:bigint>"), ("my_file_2", "struct<n:bigint>"), ("schema_3", "struct<b:string>")]
+    with pytest.raises(BatchError) as e:
+        struct_types(json.dumps(obj({"a": STR})), '{"type": "string"}')
+    assert e.value.index == 1
+    with pytest.raises(SchemaIoError):
+        struct_types(str(tmp_path / "gone.json"))
+
+
+class Celsius(T.UserDefinedType):
+    """A user's own type with a schema of its own."""
+
+    @classmethod
+    def sqlType(cls):
+        return T.DoubleType()
+
+    @classmethod
+    def json_schema(cls):
+        return Schema(type="number", minimum=-273.15)
+
+
+class Plain(T.UserDefinedType):
+    @classmethod
+    def sqlType(cls):
+        return T.ByteType()
+
+
+def test_reverse_of_own_types():
+    assert schema_for(Celsius()).minimum == -273.15 and schema_for(Plain()).maximum == 127
+    register_type(T.BinaryType, lambda kind: Schema(type="string", format="base64"))
+    try:
+        assert schema_from_struct(T.StructType([T.StructField("b", T.BinaryType())])).properties["b"].format == "base64"
+    finally:
+        reverse._OWN.clear()
+    assert schema_of_enum(Enum("E", {"A": "a", "B": "b"})).enum == ("a", "b") and schema_of_enum(Enum("E", {"A": "a"})).const == "a"
+    for bad in (Enum("E", {"A": ("x", 1)}), Enum("E", {"A": 1})):
+        with pytest.raises(UnsupportedType):
+            schema_of_enum(bad)
+    with pytest.raises(UnsupportedType):
+        schema_for(T.StringType(), {"enum": ["a", 1]})
+
+
 def test_reverse():
     kind = T.StructType([T.StructField("id", T.StringType(), False), T.StructField("name", T.StringType()), T.StructField("n", T.ByteType()), T.StructField("a", T.StructType([T.StructField("x", T.LongType())])), T.StructField("b", T.ArrayType(T.StructType([T.StructField("x", T.LongType())]))), T.StructField("e", T.StringType(), True, {"enum": ["p", "q"]}), T.StructField("c", T.StringType(), True, {"enum": ["p"]}), T.StructField("m", T.MapType(T.StringType(), T.BooleanType())), T.StructField("r", T.StringType(), True, {"rename": "R", "min_length": 2})])
     s = schema_from_struct(kind, title="Root")

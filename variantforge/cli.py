@@ -18,16 +18,26 @@ from .sources.scan import write_models
 BACKENDS = {"ddl": DdlBackend, "json": JsonBackend, "struct": StructTypeBackend}
 
 
-def find_schema_files(inputs: list[str]) -> list[Path]:
-    """Files, and all `*.json` below folders, sorted, each once by its real path."""
-    found: dict[Path, Path] = {}
+#: Name of the output of a schema from standard input.
+STDIN = "stdin"
+
+
+def find_schema_files(inputs: list[str]) -> list[tuple[str, str]]:
+    """(source, output relative) of files, of all `*.json` below folders, and of `-` (standard input), in order; each file once, by its real path.
+
+    A folder's files keep their place below it, a file given by itself goes to the top.
+    """
+    found: dict[str, tuple[str, str]] = {}
     for name in inputs:
+        if name == "-":
+            found.setdefault("-", ("-", STDIN))
+            continue
         path = Path(name)
         if not path.exists():
             raise FileNotFoundError(f"no such file or folder: {name}")
         for p in sorted(path.rglob("*.json")) if path.is_dir() else [path]:
             if p.is_file():
-                found.setdefault(p.resolve(), p)
+                found.setdefault(str(p.resolve()), (str(p), str(p.relative_to(path)) if path.is_dir() else p.name))
     return list(found.values())
 
 
@@ -49,18 +59,19 @@ def _validate(args: argparse.Namespace) -> int:
 
 def _generate(args: argparse.Namespace) -> int:
     settings = SchemaSettings(disallow_unknown_fields=args.disallow_unknown_fields)
-    schemas, failed = [], 0
-    for name, text in [("-", sys.stdin.read())] if args.inputs == ["-"] else [(str(p), p.read_text(encoding="utf-8")) for p in find_schema_files(args.inputs)]:
+    schemas, places, failed = [], [], 0
+    for name, place in find_schema_files(args.inputs):
         try:
-            schemas.append(Schema.of(text, settings))
-        except SchemaParseError as e:
+            schemas.append(Schema.of(_read(name), settings))
+            places.append(place)
+        except (SchemaParseError, UnicodeDecodeError) as e:
             failed += 1
-            print(f"{name}: {e}", file=sys.stderr)
+            print(f"{'stdin' if name == '-' else name}: {e}", file=sys.stderr)
     if failed or not schemas:
         print(f"{failed} schema(s) failed" if failed else "no schema found", file=sys.stderr)
         return 1
     mapping = MappingSettings(NameSource(args.model_name_source), DedupeMode(args.dedupe_mode))
-    for path in write_models(schemas, BACKENDS[args.backend](), args.output, mapping):
+    for path in write_models(schemas, BACKENDS[args.backend](), args.output, mapping, places):
         print(path)
     return 0
 
@@ -84,7 +95,7 @@ def main(argv: list[str] | None = None) -> int:
     args = parser.parse_args(argv)
     try:
         return args.run(args)
-    except (SchemaParseError, InvalidJson, MappingError, OSError) as e:
+    except (SchemaParseError, InvalidJson, MappingError, OSError, ValueError) as e:
         print(f"error: {e}", file=sys.stderr)
         return 1
 

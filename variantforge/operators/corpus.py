@@ -13,8 +13,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.dedupe import DedupeMode, dedupe_key
-from ..plans.merge import MappingError
-from ..plans.models import Mapper, MappingSettings
+from ..plans.merge import MappingError, merged
+from ..plans.models import MODEL_ROW, Generated, Mapper, MappingSettings, model_rows
 from ..plans.refs import RefError, follow
 from ..plans.schema import Extra, Schema, SchemaParseError, SchemaSettings
 
@@ -127,3 +127,31 @@ def schema_classes(schemas: DataFrame, id_col: str, text_col: str, mode: DedupeM
 
     keyed = _mapped(schemas.select(F.col(id_col).cast("bigint").alias("i"), F.col(text_col).alias("t")), ["i", "t"], "schema_id bigint, key string", rows)
     return keyed.groupBy(F.sha2("key", 256).alias("key_hash")).agg(F.min("schema_id").alias("first_schema"), F.count("*").alias("occurrences"))
+
+
+def merge_status(schemas: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(schema_id, merged_json, error): each schema with its allOf as one object schema, or why its branches do not merge."""
+
+    def rows(i, text):
+        try:
+            yield i, merged(Schema.of(text)).to_json(whole=True), None
+        except (MappingError, SchemaParseError) as e:
+            yield i, None, str(e)
+
+    return _mapped(schemas.select(F.col(id_col).cast("bigint").alias("i"), F.col(text_col).alias("t")), ["i", "t"], "schema_id bigint, merged_json string, error string", rows)
+
+
+def model_table(schemas: DataFrame, id_col: str, text_col: str, settings: MappingSettings = MappingSettings()) -> DataFrame:
+    """The model rows of each schema by itself: schema_id, error (then all else is null) and the columns of MODEL_ROW."""
+    width = len(MODEL_ROW.split(","))
+
+    def rows(i, text):
+        try:
+            models = Mapper(Schema.of(text), settings).models()
+        except (MappingError, SchemaParseError) as e:
+            yield i, str(e), *[None] * width
+            return
+        for row in model_rows(Generated(tuple((0, j, m, False) for j, m in enumerate(models)))):
+            yield i, None, *row
+
+    return _mapped(schemas.select(F.col(id_col).cast("bigint").alias("i"), F.col(text_col).alias("t")), ["i", "t"], f"schema_id bigint, error string, {MODEL_ROW}", rows)

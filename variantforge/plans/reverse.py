@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from enum import Enum
 from types import MappingProxyType
 
 from pyspark.sql import types as T
@@ -18,6 +20,27 @@ _SPARK_INTS = {T.ByteType: "i8", T.ShortType: "i16", T.IntegerType: "i32", T.Lon
 OVERRIDES = ("minimum", "maximum", "min_items", "max_items", "min_length", "max_length", "pattern", "deprecated", "default", "title", "id", "description", "comment")
 
 
+class UnsupportedType(TypeError):
+    """A type that has no schema."""
+
+
+#: Schemas of users' own types: type -> function of the type.
+_OWN: dict[type, Callable[[T.DataType], Schema]] = {}
+
+
+def register_type(kind: type, schema: Callable[[T.DataType], Schema]) -> None:
+    """Fields of a Spark type (or user-defined type) of this class get the schema that the function makes of it."""
+    _OWN[kind] = schema
+
+
+def schema_of_enum(kind: type[Enum]) -> Schema:
+    """An enumeration of plain names: a const if there is one, else an enum; members that carry other data are refused."""
+    values = tuple(m.value for m in kind)
+    if not values or not all(isinstance(v, str) for v in values):
+        raise UnsupportedType(f"{kind.__name__}: members must be plain strings")
+    return Schema(const=values[0]) if len(values) == 1 else Schema(enum=values)
+
+
 def _bounded(kind: str, low: float, high: float) -> Schema:
     return Schema(type=kind, minimum=float(low), maximum=float(high))
 
@@ -25,10 +48,22 @@ def _bounded(kind: str, low: float, high: float) -> Schema:
 def schema_for(kind: T.DataType, meta: dict | None = None, defs: dict[str, Schema] | None = None, hint: str = "Unnamed", inline: bool = False) -> Schema:
     """The schema of one Spark type; nested structs go to defs unless inline."""
     meta = meta or {}
+    own = next((f for c, f in _OWN.items() if isinstance(kind, c)), None) or (getattr(kind, "json_schema", None) and (lambda k: k.json_schema()))
+    if own is not None:
+        made = Schema.of(own(kind))
+        if made.defs and defs is not None:
+            for name, node in made.defs.items():
+                defs.setdefault(name, node)
+            made = made.with_(defs=None)
+        return made
+    if isinstance(kind, T.UserDefinedType):
+        return schema_for(kind.sqlType(), meta, defs, hint, inline)
     logical = str(meta.get("logical", "")).removeprefix("Option<").rstrip(">")
     if isinstance(kind, T.StringType):
         values = meta.get("enum")
         if values:
+            if not isinstance(values, list) or not all(isinstance(v, str) for v in values):
+                raise UnsupportedType(f"{hint}: enum values must be plain strings")
             return Schema(const=values[0]) if len(values) == 1 else Schema(enum=tuple(values))
         return Schema(type="string", format=meta.get("format"))
     if isinstance(kind, T.BooleanType):

@@ -9,7 +9,7 @@ from __future__ import annotations
 import json
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import names as N
@@ -19,9 +19,9 @@ from .operators import corpus
 from .operators.project import typed_projection
 from .operators.validate import explode_errors, error_summary, split_valid, validate_documents
 from .plans.dedupe import DedupeMode
-from .plans.models import MappingSettings, numeric_type
-from .plans.reverse import schema_from_struct
-from .plans.schema import Schema
+from .plans.models import MODEL_ROW, MappingSettings, NameSource, generate, model_rows, numeric_type, struct_of_model, struct_types
+from .plans.reverse import hoist_defs, schema_from_struct
+from .plans.schema import Schema, SchemaSettings
 from .sources.scan import documents_of, module_index
 from .streaming.quarantine import rejection_rates
 
@@ -227,6 +227,28 @@ def val_unique_items(spark, sf_dir):
     return errors(df, obj({"parts": {"type": "array", "uniqueItems": True, "items": {"type": "integer"}}}), "l_orderkey").select("l_orderkey", "path", "kind")
 
 
+EMPTY_SQL = "SELECT c_custkey, 'anyOf' AS word, '/c_name' AS path, 'NoSubschemaMatched' AS kind, 0::BIGINT AS n_expected FROM customer UNION ALL SELECT c_custkey, 'oneOf', '/c_name', 'NoSubschemaMatched', 0 FROM customer"
+
+
+def _empty_combinators(spark, sf_dir, tier):
+    df = documents_of(table(spark, sf_dir, "customer")).select("c_custkey", "doc")
+    found = None
+    for word in ("anyOf", "oneOf"):
+        part = errors(df, obj({"c_name": {word: []}, "absent": {word: []}}), "c_custkey", tier=tier).select("c_custkey", F.lit(word).alias("word"), "path", "kind", "n_expected")
+        found = part if found is None else found.unionByName(part)
+    return found
+
+
+@query(EMPTY_SQL)
+def val_empty_combinators(spark, sf_dir):
+    return _empty_combinators(spark, sf_dir, "compiled")
+
+
+@query(EMPTY_SQL)
+def val_empty_combinators_interpreted(spark, sf_dir):
+    return _empty_combinators(spark, sf_dir, "interpreted")
+
+
 @query("SELECT s_suppkey, '/s_name' AS path, 'InvalidRef' AS kind, 'DefNotFound { ref_str: \"#/$defs/Gone\", name: \"Gone\" }' AS expected FROM supplier UNION ALL SELECT s_suppkey, '/s_nationkey', 'InvalidRef', 'RefCycle { ref_str: \"#/$defs/A\" }' FROM supplier")
 def val_invalid_ref(spark, sf_dir):
     df = documents_of(table(spark, sf_dir, "supplier")).select("s_suppkey", "doc")
@@ -283,9 +305,8 @@ def val_sql_table_function(spark, sf_dir):
     from .functions.udtf import register
 
     register(spark)
-    table(spark, sf_dir, "events").createOrReplaceTempView("variantforge_events")
     text = json.dumps(PROPS)
-    return spark.sql(f"SELECT event_id, e.path, e.kind FROM variantforge_events, LATERAL json_schema_errors(props, '{text}') e")
+    return spark.sql("SELECT event_id, e.path, e.kind FROM {events} t, LATERAL json_schema_errors(t.props, :schema) e", args={"schema": text}, events=table(spark, sf_dir, "events"))
 
 
 # Pointers
@@ -351,7 +372,7 @@ def san_module(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", N.module_name(F.col("url")).alias("module"))
 
 
-NAME_ROWS = [("foo-bar", "foo_bar", "FooBar", "FooBar"), ("toddGriffin", "todd_griffin", "ToddGriffin", "ToddGriffin"), ("HTTPResponse", "http_response", "HttpResponse", "HttpResponse"), ("123", "field_123", "N123", "E123"), ("self", "self_", "Self_", "ESelf"), ("/8633", "8633", "N8633", "E8633"), ("todd.griffin", "todd_griffin", "ToddGriffin", "ToddGriffin"), ("", "empty", "Unnamed", "EUnnamed"), ("_", "empty", "Unnamed", "EUnnamed"), ("1-a b", "field_1_a b", "N1AB", "E1AB"), ("type", "type_", "Type", "Type"), ("café", "caf", "Caf", "Caf")]
+NAME_ROWS = [("deck-plan", "deck_plan", "DeckPlan", "DeckPlan"), ("seaLevel", "sea_level", "SeaLevel", "SeaLevel"), ("GPSTrack", "gps_track", "GpsTrack", "GpsTrack"), ("47", "field_47", "N47", "E47"), ("self", "self_", "Self_", "ESelf"), ("/310", "310", "N310", "E310"), ("port.side", "port_side", "PortSide", "PortSide"), ("", "empty", "Unnamed", "EUnnamed"), ("_", "empty", "Unnamed", "EUnnamed"), ("2-x y", "field_2_x y", "N2XY", "E2XY"), ("loop", "loop_", "Loop", "Loop"), ("naïf", "na_f", "NaF", "NaF")]
 
 
 @query("SELECT * FROM (VALUES " + ", ".join("(" + ", ".join(f"'{x}'" for x in r) + ")" for r in NAME_ROWS) + ") v(source, field, type_name, variant)")
@@ -427,8 +448,6 @@ SINK = obj(
 
 @query("SELECT * FROM (VALUES ('Fixed','only','Only','String'), ('Status','closed','Closed','String'), ('Status','open','Open','String'), ('Address','city','city','Option<String>'), ('Root','address','address','Option<Address>'), ('Root','byte','byte','u8'), ('Root','fixed','fixed','Option<Fixed>'), ('Root','flag','flag','Option<bool>'), ('Root','foo-bar','foo_bar','Option<String>'), ('Root','status','status','Status'), ('Root','tags','tags','Option<HashSet<String>>')) v(model, json_key, field_name, logical_type)")
 def model_rows_of_schema(spark, sf_dir):
-    from .plans.models import MODEL_ROW, generate, model_rows
-
     return rows(spark, model_rows(generate([SINK])), MODEL_ROW).select("model", "json_key", "field_name", "logical_type")
 
 
@@ -490,8 +509,6 @@ def spec_version(spark, sf_dir):
 @query("SELECT * FROM (VALUES (0::BIGINT, true), (1, false), (2, false), (3, true)) v(id, parsed)")
 def schema_parse_status(spark, sf_dir):
     texts = ['{"type":"object"}', '{"type":"object","unknown":1}', "{", '{"type":["string","null"]}']
-    from .plans.schema import SchemaSettings
-
     df = rows(spark, list(enumerate(texts)), "id int, text string")
     return corpus.parse_status(df, "id", "text", SchemaSettings(disallow_unknown_fields=True)).select("id", F.col("error").isNull().alias("parsed"))
 
@@ -515,3 +532,222 @@ def reverse_round_trip(spark, sf_dir):
     return found.agg(F.count("*").alias("n"), F.sum((F.size("errors") > 0).cast("bigint")).alias("n_rejected"))
 
 
+# Corpora of thousands: one schema a row of a table, built from its columns
+
+
+def json_text(**parts) -> Column:
+    """A JSON object from Columns that hold JSON texts."""
+    pieces = []
+    for i, (k, v) in enumerate(parts.items()):
+        pieces += [F.lit(("," if i else "{") + json.dumps(k) + ":"), v]
+    return F.concat(*pieces, F.lit("}"))
+
+
+def text_of(x) -> Column:
+    return F.lit(json.dumps(x))
+
+
+def all_of(*branches) -> Column:
+    return json_text(allOf=F.concat(F.lit("["), F.concat_ws(",", *branches), F.lit("]")))
+
+
+def string_of(c: str) -> Column:
+    return F.concat(F.lit('"'), F.col(c), F.lit('"'))
+
+
+@query("SELECT p_partkey::BIGINT AS schema_id, CASE WHEN greatest(p_size, 10) <= 30 THEN greatest(p_size, 10)::DOUBLE END AS low, CASE WHEN greatest(p_size, 10) <= 30 THEN 30::DOUBLE END AS high, CASE WHEN greatest(p_size, 10) > 30 THEN 'allOf merge: property \"n\" has conflicting minimum/maximum across subschemas' END AS error FROM part")
+def merge_bounds(spark, sf_dir):
+    one = json_text(type=text_of("object"), properties=json_text(n=json_text(type=text_of("integer"), minimum=F.col("p_size").cast("string"), maximum=F.lit("60"))))
+    two = text_of(obj({"n": {"type": "integer", "minimum": 10, "maximum": 30}}))
+    found = corpus.merge_status(table(spark, sf_dir, "part").select("p_partkey", all_of(one, two).alias("t")), "p_partkey", "t")
+    at = lambda k: F.get_json_object("merged_json", f"$.properties.n.{k}").cast("double")
+    return found.select("schema_id", at("minimum").alias("low"), at("maximum").alias("high"), "error")
+
+
+@query("SELECT c_custkey::BIGINT AS schema_id, CASE WHEN c_nationkey % 2 = 0 THEN c_mktsegment ELSE 'second' END AS title, 'object' AS type, 'b,a' || CASE WHEN c_nationkey % 3 = 0 THEN '' ELSE ',c' END AS required, 'first' AS comment, 3::INT AS n_properties, NULL AS dropped FROM customer")
+def merge_objects(spark, sf_dir):
+    title = F.when(F.col("c_nationkey") % 2 == 0, string_of("c_mktsegment")).otherwise(F.lit('"  "'))
+    one = json_text(title=title, required=F.lit('["b","a"]'), properties=text_of({"a": {"type": "string"}, "b": {"type": "string"}}), **{"$id": F.lit('"gone"')})
+    more = F.when(F.col("c_nationkey") % 3 == 0, F.lit('["a"]')).otherwise(F.lit('["a","c"]'))
+    two = json_text(title=F.lit('"second"'), type=F.lit('"object"'), required=more, properties=text_of({"c": {"type": "boolean"}, "a": {"type": "string"}}), **{"$comment": F.lit('"first"')})
+    found = corpus.merge_status(table(spark, sf_dir, "customer").select("c_custkey", all_of(one, two).alias("t")), "c_custkey", "t")
+    m = lambda k: F.get_json_object("merged_json", f"$['{k}']")
+    return found.select("schema_id", m("title").alias("title"), m("type").alias("type"), F.array_join(F.from_json(m("required"), "array<string>"), ",").alias("required"), m("$comment").alias("comment"), F.size(F.json_object_keys(m("properties"))).alias("n_properties"), m("$id").alias("dropped"))
+
+
+@query("SELECT o_orderkey::BIGINT AS schema_id, CASE WHEN o_orderkey % 4 = 0 THEN 'conflicting types in subschemas at indices []' WHEN o_orderkey % 4 = 1 AND o_orderstatus <> 'F' THEN 'conflicting const values across subschemas' WHEN o_orderkey % 4 = 2 AND o_orderpriority <> '1-URGENT' THEN 'conflicting pattern across subschemas' END AS error, CASE WHEN o_orderkey % 4 = 3 THEN 5::BIGINT END AS min_items FROM orders")
+def merge_properties(spark, sf_dir):
+    k = F.col("o_orderkey") % 4
+    one = F.when(k == 0, F.lit('{"type":"string"}')).when(k == 1, json_text(type=F.lit('"string"'), const=string_of("o_orderstatus"))).when(k == 2, json_text(type=F.lit('"string"'), pattern=string_of("o_orderpriority"))).otherwise(text_of({"type": "array", "minItems": 5, "items": {"type": "integer", "minimum": 1}}))
+    two = F.when(k == 0, F.lit('{"type":"integer"}')).when(k == 1, F.lit('{"type":"string","const":"F"}')).when(k == 2, F.lit('{"type":"string","pattern":"1-URGENT"}')).otherwise(text_of({"type": "array", "minItems": 9, "items": {"type": "integer", "maximum": 4}}))
+    whole = lambda p: json_text(type=F.lit('"object"'), properties=json_text(x=p))
+    found = corpus.merge_status(table(spark, sf_dir, "orders").select("o_orderkey", all_of(whole(one), whole(two)).alias("t")), "o_orderkey", "t")
+    return found.select("schema_id", F.regexp_extract("error", 'has (.*)$', 1).alias("error"), F.get_json_object("merged_json", "$.properties.x.minItems").cast("bigint").alias("min_items")).withColumn("error", F.nullif(F.col("error"), F.lit("")))
+
+
+MERGE_ERRORS = [({"allOf": []}, "allOf is present but empty (no subschemas to merge)"), ({"allOf": [{"type": "string"}]}, 'allOf subschema at index 0 is not object-like (need type "object" or non-empty properties)'), ({"allOf": [obj({"a": {}}), {"title": "x"}]}, 'allOf subschema at index 1 is not object-like (need type "object" or non-empty properties)'), ({"type": "object"}, None), ({"allOf": [obj({"a": {"enum": ["p"]}}), obj({"a": {"enum": ["q"]}})]}, 'allOf merge: property "a" has conflicting enum values across subschemas')]
+
+
+@query("SELECT * FROM (VALUES " + ", ".join(f"({i}::BIGINT, {'NULL' if e is None else repr(e) if chr(39) not in e else e})" for i, (_, e) in enumerate(MERGE_ERRORS)) + ") v(schema_id, error)")
+def merge_errors(spark, sf_dir):
+    df = rows(spark, [(i, json.dumps(s)) for i, (s, _) in enumerate(MERGE_ERRORS)], "id int, t string")
+    return corpus.merge_status(df, "id", "t").select("schema_id", "error")
+
+
+NARROW_SQL = "CASE WHEN {0} <= 255 THEN 'u8' WHEN {0} <= 65535 THEN 'u16' ELSE 'u32' END"
+
+
+@query("SELECT p_partkey::BIGINT AS schema_id, w || CASE WHEN p_partkey % 2 = 0 THEN 'AnyOf' ELSE 'OneOf' END AS model, 'union' AS kind, v AS json_key, CASE WHEN v = 'Variant0' THEN 'String' WHEN v = 'Variant1' THEN " + NARROW_SQL.format("p_partkey * 40") + " ELSE w || 'Variant2' END AS logical_type FROM part, (VALUES ('Variant0'), ('Variant1'), ('Variant2')) x(v), (VALUES ('Load')) y(w)")
+def gen_unions(spark, sf_dir):
+    """Unions of a property: one model with a variant a branch, branches of objects named by their place."""
+    branches = F.concat(F.lit('[{"type":"string"},{"type":"integer","minimum":0,"maximum":'), (F.col("p_partkey") * 40).cast("string"), F.lit('},{"type":"object","properties":{"z":{"type":"boolean"}}}]'))
+    even = F.col("p_partkey") % 2 == 0
+    prop = F.when(even, json_text(anyOf=branches)).otherwise(json_text(oneOf=branches))
+    df = table(spark, sf_dir, "part").select("p_partkey", json_text(type=text_of("object"), properties=json_text(load=prop)).alias("t"))
+    return corpus.model_table(df, "p_partkey", "t").where("kind = 'union'").select("schema_id", "model", "kind", "json_key", "logical_type")
+
+
+@query("SELECT s_suppkey::BIGINT AS schema_id, 'Root' AS model, k AS json_key, t AS logical_type FROM supplier, LATERAL (SELECT * FROM (VALUES ('head', 'Option<Berth>'), ('ids', 'Option<HashSet<String>>'), ('legs', 'Option<Vec<Berth>>'), ('low', 'Option<u8>')) v(k, t)) UNION ALL SELECT s_suppkey, 'Berth', 'name', 'Option<String>' FROM supplier")
+def gen_refs(spark, sf_dir):
+    """References give a model the definition's name; sets are hashed only over what can be."""
+    one = json_text(type=text_of("object"), properties=json_text(name=F.lit('{"type":"string"}')))
+    schema = json_text(**{"$defs": json_text(berth=one, low=F.lit('{"type":"integer","minimum":0,"maximum":9}'))}, type=text_of("object"), properties=text_of({"head": {"$ref": "#/$defs/berth"}, "legs": {"type": "array", "uniqueItems": True, "items": {"$ref": "#/$defs/berth"}}, "ids": {"type": "array", "uniqueItems": True, "items": {"type": "string"}}, "low": {"$ref": "#/$defs/low"}}))
+    df = table(spark, sf_dir, "supplier").select("s_suppkey", schema.alias("t"))
+    return corpus.model_table(df, "s_suppkey", "t").select("schema_id", "model", "json_key", "logical_type")
+
+
+@query("SELECT n_nationkey::BIGINT AS schema_id, 'x' AS json_key, n_name || chr(10) || '# Examples' || chr(10) || '\"a\"' || chr(10) || '1' AS docs, n_nationkey % 2 = 0 AS deprecated, '{\"max_length\":' || (n_nationkey + 1) || ',\"pattern\":\"^a\"}' AS attrs, '\"d\"' AS default_json, CASE WHEN n_nationkey % 3 = 0 THEN n_name ELSE 'Inner' END AS title FROM nation")
+def gen_docs(spark, sf_dir):
+    """Docs, deprecation, attributes and defaults of a field, and a model's title, in both orders of naming."""
+    prop = json_text(type=text_of("string"), description=F.concat(F.lit('"  '), F.col("n_name"), F.lit(' \\n \\n"')), examples=F.lit('["a",1]'), deprecated=F.when(F.col("n_nationkey") % 2 == 0, "true").otherwise("false"), maxLength=(F.col("n_nationkey") + 1).cast("string"), pattern=text_of("^a"), default=text_of("d"))
+    inner = json_text(type=text_of("object"), title=string_of("n_name"), properties=json_text(x=prop))
+    df = table(spark, sf_dir, "nation").select("n_nationkey", json_text(type=text_of("object"), properties=json_text(inner=inner)).alias("t"))
+    by_key = corpus.model_table(df, "n_nationkey", "t", MappingSettings(name_source=NameSource.PROPERTY_KEY_FIRST)).where("model = 'Inner'")
+    title = F.when(F.col("schema_id") % 3 == 0, F.col("n_name")).otherwise(F.col("model"))
+    names_ = table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("bigint").alias("schema_id"), "n_name")
+    return by_key.join(names_, "schema_id").select("schema_id", "json_key", "docs", "deprecated", "attrs", "default_json", title.alias("title"))
+
+
+@query("SELECT CASE WHEN p_size % 2 = 0 THEN 'Even' ELSE 'Odd' END AS model, min(p_partkey)::BIGINT AS first_schema, count(*) AS occurrences, count(*) > 1 AS shared FROM part GROUP BY p_size, 1")
+def dedupe_corpus(spark, sf_dir):
+    """A corpus of one schema a part: those that are equal but for ids of their own are found by key, whatever a class's share."""
+    title = F.when(F.col("p_size") % 2 == 0, "Even").otherwise("Odd")
+    schema = json_text(**{"$id": string_of("p_name")}, title=F.concat(F.lit('"'), title, F.lit('"')), type=text_of("object"), properties=json_text(a=json_text(type=text_of("string"), maxLength=F.col("p_size").cast("string"))))
+    structs = corpus.struct_rows(table(spark, sf_dir, "part").select("p_partkey", schema.alias("t")), "p_partkey", "t", MappingSettings(dedupe=DedupeMode.FUNCTIONAL))
+    return corpus.dedupe_classes(structs).select("model", "first_schema", "occurrences", "shared")
+
+
+SHARED = [obj({"leg": obj({"port": obj({"city": {"type": "string"}})}), "own": obj({"n": {"type": "integer"}})}, title="Trip"), obj({"leg": obj({"port": obj({"city": {"type": "string"}})})}, title="Tour"), obj({"list": {"type": "array", "items": obj({"city": {"type": "string"}}, title="Port")}}, title="Ports")]
+
+
+@query("SELECT * FROM (VALUES ('Port', 'shared', 0, ''), ('Leg', 'shared', 1, ''), ('Own', 'schema', 0, 'Port,Leg'), ('Trip', 'schema', 1, 'Port,Leg'), ('Tour', 'schema', 0, 'Port,Leg'), ('Port', 'schema', 0, ''), ('Ports', 'schema', 1, '')) v(model, place, ord, exports)")
+def dedupe_shared(spark, sf_dir):
+    """Shared models, what they are made of first; each schema's own models and the shared ones that it takes (a title counts, so the titled Port stands apart)."""
+    made = generate(SHARED)
+    return rows(spark, [(m.name, "shared" if shared else "schema", j, "" if shared else ",".join(made.exports[i])) for i, j, m, shared in made.rows], "model string, place string, ord int, exports string")
+
+
+@query("SELECT * FROM (VALUES (0, 'Port', 'city STRING'), (1, 'Leg', 'port STRUCT<city: STRING>')) v(ord, model, ddl)")
+def dedupe_shared_ddl(spark, sf_dir):
+    return rows(spark, [(i, m.name, struct_of_model(m).toDDL().replace(" COMMENT ''", "")) for i, m in enumerate(generate(SHARED).shared)], "ord int, model string, ddl string")
+
+
+@query("SELECT key_order::INT AS key_order, id::BIGINT AS schema_id FROM (VALUES (0, 1), (1, 2), (2, 0)) v(key_order, id)")
+def dedupe_order(spark, sf_dir):
+    """Keys are ordered as texts."""
+    from .plans.dedupe import dedupe_key
+
+    schemas = [obj({"b": {"type": "string"}}), obj({"a": {"type": "integer"}}), obj({"a": {"type": "string"}})]
+    order = sorted(range(3), key=lambda i: dedupe_key(Schema.of(schemas[i])))
+    return rows(spark, list(enumerate(order)), "key_order int, schema_id bigint")
+
+
+def reverse_type():
+    from pyspark.sql import types as T
+
+    inner = T.StructType([T.StructField("x", T.LongType())])
+    return T.StructType(
+        [
+            T.StructField("flags", T.ArrayType(T.BooleanType()), False, {"unique_items": True}),
+            T.StructField("list", T.ArrayType(T.StringType())),
+            T.StructField("map", T.MapType(T.StringType(), T.ShortType())),
+            T.StructField("id", T.StringType(), False, {"format": "uuid"}),
+            T.StructField("one", T.StringType(), True, {"enum": ["only"]}),
+            T.StructField("many", T.StringType(), True, {"enum": ["p", "q"]}),
+            T.StructField("inner", inner),
+            T.StructField("byte", T.ShortType(), True, {"logical": "Option<u8>"}),
+            T.StructField("real", T.FloatType()),
+            T.StructField("old", T.StringType(), True, {"rename": "renamed", "min_length": 2, "max_length": 4, "pattern": "^a", "deprecated": True, "default": "ab", "title": "T", "description": "D", "comment": "C"}),
+            T.StructField("n", T.IntegerType(), True, {"minimum": 3, "maximum": 7}),
+        ]
+    )
+
+
+@query("SELECT * FROM (VALUES ('flags', 'array', NULL::DOUBLE, NULL::DOUBLE, 'unique boolean', true), ('list', 'array', NULL, NULL, 'string', false), ('map', 'object', NULL, NULL, '-32768..32767', false), ('id', 'string', NULL, NULL, 'uuid', true), ('one', NULL, NULL, NULL, 'const only', false), ('many', NULL, NULL, NULL, 'enum p,q', false), ('inner', NULL, NULL, NULL, '#/$defs/Inner', false), ('byte', 'integer', 0, 255, '', false), ('real', 'number', -3.4028234663852886e38, 3.4028234663852886e38, '', false), ('renamed', 'string', NULL, NULL, '2,4,^a,true,ab,T,D,C', false), ('n', 'integer', 3, 7, '', false)) v(key, type, low, high, detail, required)")
+def reverse_types(spark, sf_dir):
+    schema = schema_from_struct(reverse_type())
+
+    def detail(p: Schema) -> str:
+        if p.min_length is not None:
+            return f"{p.min_length},{p.max_length},{p.pattern},{str(p.deprecated).lower()},{p.default},{p.title},{p.description},{p.comment}"
+        if p.items is not None:
+            return ("unique " if p.unique_items else "") + p.items.type
+        if isinstance(p.additional_properties, Schema):
+            return f"{p.additional_properties.minimum:.0f}..{p.additional_properties.maximum:.0f}"
+        return f"const {p.const}" if p.const is not None else f"enum {','.join(p.enum)}" if p.enum else p.ref or p.format or ""
+
+    return rows(spark, [(k, p.type, p.minimum, p.maximum, detail(p), schema.is_required(k)) for k, p in schema.properties.items()], "key string, type string, low double, high double, detail string, required boolean")
+
+
+@query("SELECT * FROM (VALUES ('$schema', 'https://json-schema.org/draft/2020-12/schema'), ('$id', 'urn:x'), ('title', 'T'), ('description', 'D'), ('$comment', 'C'), ('additionalProperties', 'false'), ('$defs', 'Inner')) v(word, value)")
+def reverse_container(spark, sf_dir):
+    made = schema_from_struct(reverse_type(), title="T", id="urn:x", description="D", comment="C").to_dict()
+    shown = {k: ",".join(v) if isinstance(v, dict) else json.dumps(v) if isinstance(v, bool) else v for k, v in made.items() if k not in ("type", "properties", "required")}
+    return rows(spark, list(shown.items()), "word string, value string")
+
+
+@query("SELECT * FROM (VALUES ('X', 'string', 0), ('Y', NULL, 0), ('Z', 'boolean', 0)) v(name, type, nested)")
+def reverse_hoist(spark, sf_dir):
+    """Definitions of nested schemas move to the root; of one name the first met stays."""
+    made = hoist_defs(Schema.of(obj({"a": obj({}, **{"$defs": {"X": {"type": "string"}}})}, **{"$defs": {"Y": {"$defs": {"X": {"type": "integer"}, "Z": {"type": "boolean"}}}}})))
+    return rows(spark, [(k, v.type, len(v.defs or {})) for k, v in made.defs.items()], "name string, type string, nested int")
+
+
+@query("SELECT * FROM (VALUES ('schema_0', 'a:string'), ('schema_1', 'n:bigint')) v(name, kind)")
+def struct_types_of_several(spark, sf_dir):
+    found = struct_types(json.dumps(obj({"a": {"type": "string"}})), obj({"n": {"type": "integer"}}))
+    return rows(spark, [(k, v.simpleString()[7:-1]) for k, v in found.items()], "name string, kind string")
+
+
+@query("SELECT * FROM (VALUES ('bytes'), ('file'), ('object'), ('schema'), ('text')) v(source), (VALUES ('{\"type\":\"object\",\"required\":[\"a\"]}')) w(text)")
+def schema_sources(spark, sf_dir):
+    """One schema from every kind of source."""
+    import io
+
+    text = '{"required": ["a"], "type": "object", "unknown": 1}'
+    kinds = {"text": text, "bytes": text.encode(), "object": json.loads(text), "file": io.BytesIO(text.encode()), "schema": Schema.of(text)}
+    return rows(spark, [(k, Schema.of(v, SchemaSettings()).to_json()) for k, v in kinds.items()], "source string, text string")
+
+
+@query("SELECT o_orderkey::BIGINT AS id, '{\"type\":\"object\",\"properties\":{\"k\":{\"enum\":[\"' || o_orderstatus || '\"],\"minimum\":' || o_shippriority || '.0}},\"required\":[\"k\"],\"anyOf\":[]}' AS schema_json FROM (SELECT *, o_orderkey % 7 AS o_shippriority FROM orders)")
+def schema_text(spark, sf_dir):
+    """Schemas as text, keywords in the model's order, an empty anyOf kept."""
+    prop = json_text(enum=F.concat(F.lit('["'), F.col("o_orderstatus"), F.lit('"]')), minimum=(F.col("o_orderkey") % 7).cast("string"))
+    schema = json_text(anyOf=F.lit("[]"), required=F.lit('["k"]'), properties=json_text(k=prop), type=text_of("object"), other=F.lit("1"))
+    return corpus.parse_status(table(spark, sf_dir, "orders").select("o_orderkey", schema.alias("t")), "o_orderkey", "t").select("id", "schema_json")
+
+
+@query("SELECT * FROM (VALUES ('a_b/__init__', 'from . import c'), ('__init__', 'from . import a_b,from . import shared,from . import top'), ('a_b/c', 'from ..shared import Port'), ('top', 'from .shared import Port')) v(file, lines)")
+def output_files(spark, sf_dir):
+    """What generate writes: mirrored places, shared models reached by depth, an index a folder."""
+    import tempfile
+    from pathlib import Path
+
+    from .plans.models import StructTypeBackend
+    from .sources.scan import write_models
+
+    port = obj({"city": {"type": "string"}}, title="Port")
+    with tempfile.TemporaryDirectory() as folder:
+        paths = write_models([obj({"p": port}, title="A"), obj({"q": port}, title="B")], StructTypeBackend(), folder, relatives=["top.json", "a b/c.json"])
+        texts = {str(Path(p).relative_to(folder).with_suffix("")): Path(p).read_text().splitlines() for p in paths}
+    return rows(spark, [(k, ",".join(x for x in v if x.startswith("from .") or x.startswith("from . "))) for k, v in texts.items() if k != "shared"], "file string, lines string")

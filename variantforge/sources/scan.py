@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.names import module_of_path
-from ..plans.models import ModelBackend, MappingSettings
+from ..plans import names
+from ..plans.models import MappingSettings, ModelBackend
 
 
 class MissingInput(FileNotFoundError):
@@ -64,15 +65,37 @@ def module_index(files: DataFrame, path_col: str = "relative") -> DataFrame:
     return rows.groupBy("dir").agg(F.array_sort(F.collect_set("module")).alias("modules"))
 
 
-def write_models(schemas: list, backend: ModelBackend, folder: str, settings: MappingSettings = MappingSettings()) -> list[str]:
-    """Writes the generated files of a batch of schemas below a folder and returns their paths."""
+def module_lists(relatives: list[str]) -> dict[str, list[str]]:
+    """``module_index`` of a few paths, without Spark: folder -> sorted child modules."""
+    found: dict[str, set[str]] = {}
+    for relative in relatives:
+        parts = [p for p in relative.split("/") if p]
+        for n in range(len(parts)):
+            found.setdefault("/".join(parts[:n]), set()).add(names.module_of_path(parts[n]))
+    return {folder: sorted(modules) for folder, modules in sorted(found.items())}
+
+
+def write_models(schemas: list, backend: ModelBackend, folder: str, settings: MappingSettings = MappingSettings(), relatives: list[str] | None = None) -> list[str]:
+    """Writes the generated files of a batch of schemas below a folder and returns their paths.
+
+    relatives: where each schema's file goes, by the path of its source below its input; `schema_{i}` without.
+    Every component is made safe.  Shared models go to `shared` at the top, to which the files below refer by
+    their depth, and each folder gets an index of its modules.
+    """
     import os
 
-    os.makedirs(folder, exist_ok=True)
-    paths = []
-    for name, text in sorted(backend.generate(schemas, settings).items()):
-        path = os.path.join(folder, name)
+    made = backend.generate(schemas, settings)
+    places = [names.output_path(r, backend.suffix) for r in relatives or [f"schema_{i}" for i in range(len(schemas))]]
+    if len(set(places)) < len(places):
+        raise ValueError("two schemas would be written to one file: " + ", ".join(sorted({p for p in places if places.count(p) > 1})))
+    texts = {place: backend.placed(made.get(f"schema_{i}", ""), place.count("/")) for i, place in enumerate(places)}
+    if "shared" in made:
+        texts[f"shared{backend.suffix}"] = made["shared"]
+    for where, modules in module_lists(list(texts)).items():
+        texts[f"{where}/{backend.index_name}{backend.suffix}".lstrip("/")] = backend.index(modules)
+    for place, text in sorted(texts.items()):
+        path = os.path.join(folder, *place.split("/"))
+        os.makedirs(os.path.dirname(path), exist_ok=True)
         with open(path, "w", encoding="utf-8") as f:
             f.write(text)
-        paths.append(path)
-    return paths
+    return [os.path.join(folder, *place.split("/")) for place in sorted(texts)]
