@@ -14,7 +14,7 @@ from variantforge.functions import pointer as column_pointer
 from variantforge.plans import names, reverse
 from variantforge.plans.dedupe import DedupeMode, dedupe_key
 from variantforge.plans.merge import BatchError, Conflict, EmptyCombinator, NotObjectLike, RootNotObject, merged
-from variantforge.plans.models import DdlBackend, JsonBackend, Mapper, MappingSettings, NameSource, StructTypeBackend, generate, in_order, struct_type, struct_types
+from variantforge.plans.models import DdlBackend, JsonBackend, Mapper, MappingSettings, NameSource, StructTypeBackend, ddl_of, generate, in_order, struct_type, struct_types
 from variantforge.plans.pointer import InvalidEscape, InvalidUtf8, JsonPointer
 from variantforge.plans.refs import RefError, Target, parse_ref
 from variantforge.plans.reverse import UnsupportedType, hoist_defs, register_type, schema_for, schema_from_struct, schema_of_enum
@@ -182,6 +182,13 @@ def test_dedupe():
     assert key(low) == key(high) and key(low, strict=True) != key(high, strict=True)
 
 
+def test_ddl_reads_back(spark):
+    s = obj({"a b": STR | {"description": "it's a\n\"note\" \\\\ x"}, "n": obj({"l": {"type": "array", "items": {"type": "integer"}}}), "v": {}, "m": {"type": "object", "additionalProperties": {"type": "number"}}, "u": {"type": "integer", "minimum": 0, "maximum": 2**63}})
+    kind = struct_type(s)
+    again = T.StructType.fromDDL(ddl_of(kind))
+    assert again.simpleString() == kind.simpleString() and again["a b"].metadata["comment"] == kind["a b"].metadata["comment"]
+
+
 def test_shared_models_come_in_order_and_circles_are_cut():
     city = obj({"name": STR}, title="City")
     leg = obj({"from": city, "list": {"type": "array", "items": city}}, title="Leg")

@@ -19,7 +19,7 @@ from .operators import corpus
 from .operators.project import typed_projection
 from .operators.validate import explode_errors, error_summary, split_valid, validate_documents
 from .plans.dedupe import DedupeMode
-from .plans.models import MODEL_ROW, MappingSettings, NameSource, generate, model_rows, numeric_type, struct_of_model, struct_types
+from .plans.models import MODEL_ROW, MappingSettings, NameSource, ddl_of, generate, model_rows, numeric_type, struct_of_model, struct_types
 from .plans.reverse import hoist_defs, schema_from_struct
 from .plans.schema import Schema, SchemaSettings
 from .sources.scan import documents_of, module_index
@@ -649,7 +649,7 @@ def dedupe_shared(spark, sf_dir):
 
 @query("SELECT * FROM (VALUES (0, 'Port', 'city STRING'), (1, 'Leg', 'port STRUCT<city: STRING>')) v(ord, model, ddl)")
 def dedupe_shared_ddl(spark, sf_dir):
-    return rows(spark, [(i, m.name, struct_of_model(m).toDDL().replace(" COMMENT ''", "")) for i, m in enumerate(generate(SHARED).shared)], "ord int, model string, ddl string")
+    return rows(spark, [(i, m.name, ddl_of(struct_of_model(m))) for i, m in enumerate(generate(SHARED).shared)], "ord int, model string, ddl string")
 
 
 @query("SELECT key_order::INT AS key_order, id::BIGINT AS schema_id FROM (VALUES (0, 1), (1, 2), (2, 0)) v(key_order, id)")
