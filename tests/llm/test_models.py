@@ -1,13 +1,16 @@
 """Language ID, quality and URL filters: held-out accuracy, contracts and odd inputs."""
 
+import math
 import random
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from variantforge.llm import language_id, quality, url_filter
 from variantforge.llm.queries import QUERIES
+from variantforge.llm.scratch import Scratch
 
 SF = "/root/testdata/sf0.01"
 
@@ -32,6 +35,39 @@ def test_ngrams_do_not_depend_on_spans():
     assert np.linalg.norm(whole) == pytest.approx(1, abs=1e-5)
 
 
+def test_decoding_against_a_plain_loop():
+    """The nearest codeword by loss, bit by bit, for 3, 12 and 40 languages, and the fit on separable vectors."""
+    r = np.random.Generator(np.random.PCG64(5))
+    for k in (3, 12, 40):
+        centres = np.abs(r.normal(0, 1, (k, 60))).astype(np.float32)
+        y = np.repeat(np.arange(k), 30)
+        x = centres[y] + r.normal(0, 0.2, (len(y), 60)).astype(np.float32)
+        x /= np.linalg.norm(x, axis=1, keepdims=True)
+        model = language_id.fit_bits(x, y, tuple(f"l{i:02d}" for i in range(k)))
+        best, score, unsure = model.predict(x)
+        assert (best == y).mean() > 0.97 and ((score >= 0) & (score <= 1)).all()
+        for row in range(0, len(x), 37):
+            losses = []
+            for lang in range(k):
+                total = 0.0
+                for bit in range(model.code.shape[1]):
+                    margin = float(sum(float(a) * float(b) for a, b in zip(x[row], model.weights[:, bit], strict=True)) + model.bias[bit])
+                    total += float(model.trust[bit]) * math.log1p(math.exp(-margin * float(model.code[lang, bit])))
+                losses.append(total)
+            order = sorted(losses)
+            assert best[row] == losses.index(order[0]) or order[1] - order[0] < 1e-4
+            assert bool(unsure[row]) == (order[1] - order[0] < language_id.AMBIGUOUS) or abs(order[1] - order[0] - language_id.AMBIGUOUS) < 1e-4
+
+
+def test_samples_are_bounded_and_do_not_depend_on_counts(docs):
+    """Over many languages each has its share of the total; rows alike count once; the share never rounds to none."""
+    rows = [(i, f"word{'abcdefghij'[i % 10]} text {i}", f"l{i % 20:02d}") for i in range(2000)] + [(None, "same again", "l00")] * 300
+    model = language_id.train(docs(rows), F.lit(False), per_language=50, total=200)
+    assert len(model.languages) == 20
+    most = language_id.PER_LANGUAGE * (1 << 63) // 25_000_000_000
+    assert 0 < most < 1 << 63
+
+
 def test_language_id_held_out(spark):
     got = {r["doc_id"]: r for r in QUERIES["op6_language_id"](spark, SF).collect()}
     truth = {r["doc_id"]: r["lang"] for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
@@ -56,6 +92,9 @@ def test_language_id_odd_inputs(docs):
     assert [g["lang_pred"] for g in language_id.identify(docs([(1, "a")]), None).collect()] == ["und"]
     one = language_id.train(docs([(1, "abc", "x")]), F.lit(False))
     assert [g["lang_pred"] for g in language_id.identify(docs([(1, "zzz")]), one).collect()] == ["x"]
+    assert language_id.identify(docs([]), one).count() == 0
+    odd_name = docs([(1, "abc abc")]).withColumnRenamed("row", "a `b`.c")
+    assert language_id.identify(odd_name, one).columns == ["doc_id", "text", "lang", "a `b`.c", "lang_pred", "score", "ambiguous"]
 
 
 def test_quality_held_out(spark):
@@ -77,6 +116,9 @@ def test_quality_odd_inputs(spark, docs):
     assert all(0 <= r[0] <= 1 for r in stats.select(quality.score(stats, model)).collect())
     assert quality.fit(labelled.where("false"), "y") == 0.5 and quality.fit(labelled.where("y = 1"), "y") == 1.0
     assert quality.features(docs([])).count() == 0
+    empty = quality.features(docs([]))
+    model = quality.fit(empty.withColumn("y", F.lit(1)), "y")
+    assert empty.select(quality.score(empty, model)).count() == 0 and stats.select(quality.score(stats, model)).count() == len(rows)
 
 
 def test_discriminant_is_the_log_density_difference(spark):
@@ -136,6 +178,74 @@ def test_url_trees(spark):
     assert {g["verdict"] for g in only} == {"allow"}
 
 
+def auc(scores, labels):
+    order = np.argsort(scores, kind="stable")
+    rank = np.empty(len(scores))
+    for v in np.unique(scores):
+        rank[np.asarray(scores) == v] = np.mean(np.flatnonzero(np.asarray(scores)[order] == v)) + 1
+    n = sum(labels)
+    return (rank[np.asarray(labels) == 1].sum() - n * (n + 1) / 2) / (n * (len(labels) - n))
+
+
+def test_url_trees_on_hosts_never_seen(spark):
+    """Labels that no single feature spells: held-out hosts, several features in use, the trees' own loop as brute force."""
+    r = random.Random(4)
+    letters, rows = "aeiounrstl", []
+    for i in range(1500):
+        bad = r.random() < 0.4
+        length = r.randrange(9, 22) if bad else r.randrange(5, 15)
+        host = "".join(r.choice(letters + "0123456789" if bad and r.random() < 0.5 else letters) for _ in range(length))
+        path = "/" + "/".join(str(r.randrange(99)) for _ in range(r.randrange(1, 6 if bad else 4)))
+        query = "?" + "&".join(f"p{k}={r.randrange(9)}" for k in range(r.randrange(1, 5))) if r.random() < (0.6 if bad else 0.3) else ""
+        rows.append((i, f"https://www.{host}.{r.choice(['top', 'info', 'com'] if bad else ['org', 'com', 'net'])}{path}{query}", int(bad)))
+    df = spark.createDataFrame(rows, "page_id int, url string, label int")
+    got = url_filter.judge(df.where("page_id >= 1000").drop("label"), df.where("page_id < 1000")).collect()
+    scores, labels = [g["score"] for g in got], [rows[g["page_id"]][2] for g in got]
+    assert auc(scores, labels) > 0.85 and len(set(scores)) > 50
+    model, rates, overall = url_filter.fit(df.where("page_id < 1000"), Scratch(spark, "t"))
+    assert len(model.used()) >= 5 and len(model.trees) == url_filter.TREES
+    known = {x["suffix"]: x for x in rates.collect()}
+    for g in got[:60]:
+        url, host, path = g["url"], g["host"], g["path"]
+        suffix = ".".join(host.split(".")[-2:])
+        share = [host.count(c) / len(host) for c in set(host)]
+        query = url.split("?")[1] if "?" in url else ""
+        n, p = (known[suffix]["suffix_n"], known[suffix]["suffix_p"]) if suffix in known else (0, 0)
+        x = {"url_length": len(url), "host_length": len(host), "longest_label": max(map(len, host.split("."))), "depth": path.count("/"), "path_length": len(path), "digit_ratio": sum(c.isdigit() for c in url) / len(url), "entropy": -sum(s * np.log2(s) for s in share), "parameters": query.count("&") + 1 if query else 0, "fragment": 0, "suffix_rate": (p + url_filter.SMOOTH * overall) / (n + url_filter.SMOOTH), "suffix_size": np.log2(n + 1)}
+        margin = model.base
+        for node in model.trees:
+            while not isinstance(node, float):
+                name, cut, left, right = node
+                node = left if sum(x[name] > e + 1e-12 for e in model.edges[name]) <= cut else right
+            margin += node
+        assert g["score"] == pytest.approx(1 / (1 + np.exp(-margin)))
+        assert g["rule"] is not None or g["verdict"] == ("block" if g["score"] > 0.5 else "allow")
+
+
+HOST_SQL = """
+WITH u AS (SELECT page_id, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
+h AS (SELECT page_id, rest, regexp_extract(rest, '^[^/?#]*') AS raw FROM u),
+p AS (SELECT page_id, translate(raw, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(substr(rest, length(raw) + 1), '^[^?#]*') AS path FROM h),
+r(verdict, host, path) AS (VALUES ('block', 'com', '/en/'), ('allow', 'example.com', '/en/7'), ('allow', 'net', '/de/'), ('block', 'example.net', '/de/8'), ('block', 'org', '/es/'))
+SELECT p.page_id, p.host, p.path, (SELECT struct_pack(rule := r.host || r.path, verdict := r.verdict) FROM r WHERE (p.host = r.host OR ends_with(p.host, '.' || r.host)) AND starts_with(p.path, r.path) ORDER BY length(r.host || r.path) DESC LIMIT 1) AS found FROM p
+"""
+
+
+def test_url_hosts_paths_and_rules_against_sql(spark, tmp_path):
+    con = duckdb.connect()
+    for source, n in ((f"{SF}/pages.parquet", 250), (f"{tmp_path}/pages.parquet", len(URLS))):
+        if n == len(URLS):
+            spark.createDataFrame([(i, u[0], None) for i, u in enumerate(URLS)], "page_id int, url string, html string").coalesce(1).write.parquet(source)
+        con.execute(f"CREATE OR REPLACE VIEW pages AS SELECT * FROM read_parquet('{source}{'/*.parquet' if n == len(URLS) else ''}')")
+        want = {i: (host, path, found) for i, host, path, found in con.execute(HOST_SQL).fetchall()}
+        got = QUERIES["op10_url_filter"](spark, source.rsplit("/", 1)[0]).collect()
+        assert len(got) == len(want) == n
+        for g in got:
+            host, path, found = want[g["page_id"]]
+            assert (g["host"], g["path"], g["rule"]) == (host, path, found and found["rule"]) and g["verdict"] in ("allow", "block")
+            assert found is None or g["verdict"] == found["verdict"]
+
+
 def test_url_filter_runs_no_python(spark):
     plan = QUERIES["op10_url_filter"](spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan

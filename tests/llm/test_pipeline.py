@@ -4,6 +4,7 @@ import random
 
 import corpus_pipeline
 import pytest
+from pyspark.sql import functions as F
 
 from variantforge.llm.queries import ORACLE_SQL, QUERIES
 
@@ -47,6 +48,26 @@ def test_stage_columns_and_empty_tables(spark, world, docs):
             assert out.count() <= len(rows)
 
 
+def test_columns_of_clashing_names_stay(spark, world, docs):
+    """Columns named like the operators' own pass all stages with their values and places."""
+    folder, texts = world
+    own = docs([t for t in texts if t[0] not in (24, 25)]).withColumnsRenamed({"row": "lang_pred"}).withColumn("ambiguous", F.lit("kept")).withColumn("text_crc", F.lit(7)).withColumn("sha", F.lit("s")).withColumn("leaked_sha", F.lit("l")).withColumn("component_id", F.lit(3)).withColumn("a b.c", F.lit(4))
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, own, folder)
+        assert out.columns == own.columns and out.dtypes == own.dtypes, name
+        rows = out.collect()
+        assert rows and all((r["lang_pred"], r["ambiguous"], r["text_crc"], r["sha"], r["component_id"], r["a b.c"], r["score"]) == ("r", "kept", 7, "s", 3, 4, "s") for r in rows), name
+
+
+def test_foreign_texts_are_rejected(spark, docs):
+    r = random.Random(3)
+    words = {"x": "abcdefg", "y": "tuvwxyz"}
+    rows = [(i, " ".join("".join(r.choice(words[lang]) for _ in range(5)) for _ in range(40)), lang) for i, lang in enumerate(["x", "y"] * 40)]
+    foreign = [(500, "мир и труд в каждом доме " * 20, None), (501, "日本語の文章です。" * 20, None), (502, "!!! 123", "x")]
+    kept = {g["doc_id"] for g in corpus_pipeline.identify_language(spark, docs(rows + foreign), "").collect()}
+    assert kept == {i for i, _, _ in rows}
+
+
 def test_registered():
     assert sorted(QUERIES, key=lambda n: int(n[2:].split("_")[0])) == [n for i in range(1, 11) for n in QUERIES if n.startswith(f"op{i}_")]
     assert ORACLE_SQL.keys() <= QUERIES.keys()

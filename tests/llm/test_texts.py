@@ -319,3 +319,24 @@ def test_licences(docs):
         want = max(brute_dice(w, words(t)) for _, t in licences.TEMPLATES)
         assert (max((h[1] for h in hits), default=0) >= want - 1e-9) or want < licences.THRESHOLD
     assert licences.licences(docs([])).count() == 0
+    long = docs([(1, prose(r, 60_000) + " " + licences.TEMPLATES[0][1]), (2, "x" * 1_000_000), (3, None), (3, licences.TEMPLATES[0][1]), (3, licences.TEMPLATES[0][1])])
+    assert sorted(g["doc_id"] for g in licences.licences(long).collect()) == [1, 3, 3]
+
+
+def test_all_windows_and_ties():
+    """No window that brute force finds beats what scan gives; of templates of equal Dice the name that sorts first stays."""
+    r = random.Random(8)
+    words = lambda t: licences.normal(t).decode().split()
+    index = licences.Templates(licences.TEMPLATES)
+    for _ in range(12):
+        name, text = r.choice([x for x in licences.TEMPLATES if len(words(x[1])) < 16])
+        w = prose(r, 4).split() + words(text) + prose(r, 4).split()
+        for _ in range(r.randrange(3)):
+            w[r.randrange(len(w))] = "changed"
+        (_, found), = licences._words([" ".join(w)])
+        best = max((brute_dice(w[a:b], words(t)) for _, t in licences.TEMPLATES for a in range(len(w)) for b in range(a + 2, len(w) + 1)), default=0)
+        hits = licences.scan(index, found)
+        assert max((h[1] for h in hits), default=0) == pytest.approx(best if best >= licences.THRESHOLD else 0)
+    twins = licences.Templates([("B", "one two three four five"), ("A", "one two three four five"), ("C", "one two three four six")])
+    (_, found), = licences._words(["x one two three four five y"])
+    assert [h[:2] for h in licences.scan(twins, found)] == [("A", 1.0)]

@@ -95,6 +95,16 @@ class Booster:
     edges: dict[str, list[float]]
     trees: list = field(default_factory=list)
 
+    def used(self) -> set[str]:
+        """The features that some tree splits on."""
+        out, stack = set(), list(self.trees)
+        while stack:
+            node = stack.pop()
+            if not isinstance(node, float):
+                out.add(node[0])
+                stack += node[2:]
+        return out
+
     def binned(self, name: str) -> Column:
         out = F.lit(0)
         for e in self.edges[name]:
@@ -175,6 +185,20 @@ def _best_splits(hist) -> dict:
     return out
 
 
+def fit(labelled: DataFrame, scratch: Scratch) -> tuple[Booster, DataFrame, float]:
+    """(trees, rows and positive rows of each suffix, the overall rate) of (url, label); nulls in either are left out."""
+    seen = lexical(labelled.where(F.col("url").isNotNull() & F.col("label").isNotNull()).select("url", F.col("label").cast("int").alias("label")))
+    rates = seen.groupBy("suffix").agg(F.count("*").alias("suffix_n"), F.sum("label").alias("suffix_p"))
+    rates = scratch.cut(rates, "rates")
+    total = rates.agg(F.sum("suffix_n").alias("n"), F.sum("suffix_p").alias("p")).first()
+    overall = (total["p"] / total["n"]) if total["n"] else 0.5
+    others = F.col("suffix_n") - 1
+    known = seen.join(rates, "suffix").withColumns({"suffix_rate": (F.col("suffix_p") - F.col("label") + SMOOTH * overall) / (others + SMOOTH), "suffix_size": F.log2(others + 1)})
+    model = train(known, "label", scratch)
+    scratch.drop("counted")
+    return model, rates, overall
+
+
 def judge(urls: DataFrame, labelled: DataFrame, rules=RULES, url_col: str = "url") -> DataFrame:
     """urls with host, path, rule, verdict and score in place of any columns so named.
 
@@ -185,15 +209,7 @@ def judge(urls: DataFrame, labelled: DataFrame, rules=RULES, url_col: str = "url
     0.5 and every other URL allowed.  Rows repeated are judged alike.  Of splits with equal gain the first
     feature and the lowest cut stand.
     """
-    spark = urls.sparkSession
-    scratch = Scratch(spark, "url_filter")
-    seen = lexical(labelled.where(F.col("url").isNotNull() & F.col("label").isNotNull()).select("url", F.col("label").cast("int").alias("label")))
-    rates = seen.groupBy("suffix").agg(F.count("*").alias("suffix_n"), F.sum("label").alias("suffix_p"))
-    rates = scratch.cut(rates, "rates")
-    total = rates.agg(F.sum("suffix_n").alias("n"), F.sum("suffix_p").alias("p")).first()
-    overall = (total["p"] / total["n"]) if total["n"] else 0.5
-    known = seen.join(rates, "suffix").withColumns({"suffix_rate": (F.col("suffix_p") - F.col("label") + SMOOTH * overall) / (F.col("suffix_n") - 1 + SMOOTH), "suffix_size": F.log2("suffix_n")})
-    model = train(known, "label", scratch)
+    model, rates, overall = fit(labelled, Scratch(urls.sparkSession, "url_filter"))
     keep = [c for c in urls.columns if c not in ("host", "path", "rule", "verdict", "score")]
     source = urls.select(F.struct(*[named(c) for c in keep]).alias("row"), named(url_col).alias("url"))
     rows = lexical(source).join(rates, "suffix", "left")
