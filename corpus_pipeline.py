@@ -15,16 +15,15 @@ from variantforge.llm import language_id, pieces
 from variantforge.llm.decontaminate import drop_leaks
 from variantforge.llm.exact_dedup import exact_dedup
 from variantforge.llm.parity_join import parity_join
-from variantforge.llm.scratch import Scratch
+from variantforge.llm.scratch import Scratch, bounded, named
 
-#: Documents whose best language has less than this probability are rejected, as are those without letters.
-LEAST_LANGUAGE_SCORE = 0.3
 #: Near copies share this much of their sets of shingles of so many words.
 NEAR_WORDS, NEAR_NUM, NEAR_DEN = 5, 8, 10
 
 
+@bounded
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejects documents without letters and those of no language with LEAST_LANGUAGE_SCORE.
+    """Rejects documents without letters and those that lie about as near to a second language's codeword (`ambiguous`).
 
     Without any labelled text there is nothing to learn from, and only documents without letters go.
     """
@@ -33,8 +32,8 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
         return docs.where(F.col("text").rlike(r"\p{L}"))
     aside = {c: f"{c}__{len(docs.columns)}" for c in docs.columns if c in ("lang_pred", "score", "ambiguous")}
     found = language_id.identify(docs.withColumnsRenamed(aside), model)
-    kept = found.where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_LANGUAGE_SCORE))
-    return kept.drop("lang_pred", "score", "ambiguous").withColumnsRenamed({v: k for k, v in aside.items()})
+    kept = found.where((F.col("lang_pred") != "und") & ~F.col("ambiguous"))
+    return kept.select(*[named(aside.get(c, c)).alias(c) for c in docs.columns])
 
 
 def _repeated(docs: DataFrame) -> bool:
@@ -42,6 +41,7 @@ def _repeated(docs: DataFrame) -> bool:
     return not docs.groupBy("doc_id").count().where("doc_id IS NOT NULL AND count > 1").isEmpty()
 
 
+@bounded
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the owner of each group of equal texts: one row, also of rows repeated with one doc_id."""
     owners = exact_dedup(docs).where("kept").select("doc_id", "text_crc")
@@ -50,6 +50,7 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return kept.dropDuplicates(["doc_id", "text"]) if _repeated(docs) else kept
 
 
+@bounded
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the document of least doc_id in each component of linked documents; rows without doc_id stay.
 
@@ -66,11 +67,13 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     return kept.unionByName(docs.where("doc_id IS NULL"))
 
 
+@bounded
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that hold a benchmark item within its edit budget."""
     return drop_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
+@bounded
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, pieces, their number and whether they decode to the text; a null text counts as empty."""
     texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
