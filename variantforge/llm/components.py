@@ -31,14 +31,15 @@ def _finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array([root(x) for x in nodes], pa.int64())], names=["node", "up"])
 
 
-def components(links: DataFrame, scratch: Scratch, name: str) -> DataFrame:
+def components(links: DataFrame, scratch: Scratch, name: str, stored: bool = False) -> DataFrame:
     """(node, root) for every node of links (a, b): nodes joined by links, in either direction, share a root.
 
     Each round points every node to its neighbour of least keyed hash (a partial minimum, so a hub's rows
     are combined before they move) and replaces links by links between those; hashing anew each round
-    keeps chains from contracting a node at a time.  Self links count only as nodes.
+    keeps chains from contracting a node at a time.  Self links count only as nodes.  stored: links are read
+    from tables already.
     """
-    links = scratch.cut(links.select("a", "b"), f"{name}_links")
+    links = links.select("a", "b") if stored else scratch.cut(links.select("a", "b"), f"{name}_links")
     steps: list[DataFrame] = []
     for k in range(1 << 20):
         proper = links.where("a <> b")

@@ -31,11 +31,12 @@ from .scratch import Scratch, named
 from .words import U64, mix, shingle_set, word_hashes
 
 #: Bytes of sets, and sets, that are held in a task at once, about: a block. Two blocks meet in a task.
-BLOCK_BYTES, BLOCK_SETS = 2 << 20, 500
+BLOCK_BYTES, BLOCK_SETS = 2 << 20, 250
 #: Keys in the list of frequent ones (8 bytes each, sent to all tasks), and the least count that makes a key frequent.
 FREQUENT, FREQUENT_FROM = 1 << 17, 32
-#: Rounds in which a bucket's members meet one head each, before the rest meet each other.
-ROUNDS = 3
+#: Most rounds in which the members of mixed buckets meet one head each, before the rest meet each other; none
+#: are needed while every mixed bucket fits so many blocks.
+ROUNDS, IN_FULL = 4, 8
 
 
 class Bands:
@@ -389,13 +390,14 @@ def _with_head(num: int, den: int):
     return run
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, num: int, den: int, block_sets: int) -> DataFrame:
+def _verified(pairs: DataFrame, sets: DataFrame, num: int, den: int, block_sets: int, scratch: Scratch, name: str) -> DataFrame:
     """Those pairs (a, b) whose sets link. A head a with many members is dealt to several tasks, each with its set; a task holds one head."""
-    heads = pairs.groupBy("a").agg(F.ceil(F.count("*") / F.lit(block_sets)).cast("int").alias("salts"))
+    heads = scratch.cut(pairs.groupBy("a").agg(F.ceil(F.count("*") / F.lit(block_sets)).cast("int").alias("salts")), f"{name}_heads")
     members = pairs.join(heads, "a").select(F.col("a").alias("head"), F.pmod(F.xxhash64("b"), F.col("salts")).cast("int").alias("salt"), F.lit(True).alias("member"), F.col("b").alias("node"))
     firsts = heads.select(F.col("a").alias("head"), F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(False).alias("member"), F.col("a").alias("node"))
     full = members.unionByName(firsts).join(sets, "node").select("head", "salt", "member", "node", "n", "sketch", "set")
-    return full.repartition("head", "salt").sortWithinPartitions("head", "salt", "member").mapInArrow(_with_head(num, den), "a bigint, b bigint")
+    dealt = full.repartition("head", "salt").sortWithinPartitions("head", "salt", "member")
+    return scratch.cut(dealt.mapInArrow(_with_head(num, den), "a bigint, b bigint"), name)
 
 
 def _between_blocks(num: int, den: int):
@@ -440,14 +442,16 @@ def _between_blocks(num: int, den: int):
     return run
 
 
-def _in_full(mixed: DataFrame, sets: DataFrame, num: int, den: int, block_bytes: int, block_sets: int) -> DataFrame:
+def _in_full(mixed: DataFrame, sets: DataFrame, num: int, den: int, block_bytes: int, block_sets: int, scratch: Scratch, name: str) -> DataFrame:
     """Links among all members of the buckets (key, node, root, least); buckets of one least node are compared together, so that a pair seldom meets twice."""
-    group = mixed.select(F.col("least").alias("head"), "node", "root").distinct().join(sets.select("node", "n"), "node")
+    group = scratch.cut(mixed.select(F.col("least").alias("head"), "node", "root").distinct().join(sets.select("node", "n"), "node"), f"{name}_group")
     blocks = F.ceil(F.greatest(F.sum(F.col("n") * 9) / F.lit(block_bytes), F.count("*") / F.lit(block_sets))).cast("int")
-    spread = group.join(group.groupBy("head").agg(blocks.alias("blocks")), "head").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    sized = scratch.cut(group.groupBy("head").agg(blocks.alias("blocks")), f"{name}_blocks")
+    spread = group.join(sized, "head").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     units = spread.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("head", F.least("block", "other").alias("bi"), F.greatest("block", "other").alias("bj"), "block", "node", "root")
-    full = units.distinct().join(sets, "node").select("head", "bi", "bj", "block", "node", "root", "n", "sketch", "set")
-    return full.repartition("head", "bi", "bj").sortWithinPartitions("head", "bi", "bj").mapInArrow(_between_blocks(num, den), "a bigint, b bigint")
+    full = units.join(sets, "node").select("head", "bi", "bj", "block", "node", "root", "n", "sketch", "set")
+    dealt = full.repartition("head", "bi", "bj").sortWithinPartitions("head", "bi", "bj")
+    return scratch.cut(dealt.mapInArrow(_between_blocks(num, den), "a bigint, b bigint"), name)
 
 
 def parity_join(docs: DataFrame, k: int = 5, num: int = 8, den: int = 10, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES, block_sets: int = BLOCK_SETS, rounds: int = ROUNDS) -> DataFrame:
@@ -475,13 +479,13 @@ def parity_join(docs: DataFrame, k: int = 5, num: int = 8, den: int = 10, id_col
     involved = stars.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(classes, "node")
     texts = involved.join(pairs.withColumnRenamed("doc_id", "node"), "node").select("node", "text", "h1", "h2")
     sets = scratch.cut(texts.mapInArrow(_sets(k), _SET), "sets")
-    links = [scratch.cut(_verified(stars, sets, num, den, block_sets), "links0")]
+    links = [_verified(stars, sets, num, den, block_sets, scratch, "links0")]
 
     def roots(name: str) -> DataFrame:
         joined = links[0]
         for more in links[1:]:
             joined = joined.unionByName(more)
-        return components(joined, scratch, name)
+        return components(joined, scratch, name, stored=True)
 
     mixed = None
     for step in range(1, rounds + 1):
@@ -491,22 +495,23 @@ def parity_join(docs: DataFrame, k: int = 5, num: int = 8, den: int = 10, id_col
             members = keyed.join(known, ["h1", "h2"]).select("node", "n", "keys", "root").mapInArrow(_members(num, den, frequent), "key bigint, node bigint, root bigint")
         else:
             members = mixed.select("key", "node", "root").join(up, "node", "left").select("key", "node", F.coalesce("up", "root").alias("root"))
+        members = scratch.cut(members, f"members{step}")
         head = F.min(F.struct(F.xxhash64("node", F.lit(step)).alias("h"), F.col("node").alias("a"), F.col("root").alias("head_root")))
         apart = members.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.min("node").alias("least"), F.count("*").alias("size"), head.alias("head")).where("low < high")
         mixed = scratch.cut(members.join(apart.select("key", "least", "size", "head.a", "head.head_root"), "key"), f"mixed{step}")
         largest = mixed.agg(F.max("size")).first()[0]
         if largest is None:
             break
-        if step == rounds or largest <= block_sets:
-            links.append(scratch.cut(_in_full(mixed, sets, num, den, block_bytes, block_sets), f"links{step}"))
+        if step == rounds or largest <= IN_FULL * block_sets:
+            links.append(_in_full(mixed, sets, num, den, block_bytes, block_sets, scratch, f"links{step}"))
             break
-        meet = mixed.where("root <> head_root").select("a", F.col("node").alias("b")).distinct()
-        links.append(scratch.cut(_verified(meet, sets, num, den, block_sets), f"links{step}"))
+        meet = scratch.cut(mixed.where("root <> head_root").select("a", F.col("node").alias("b")).distinct(), f"meet{step}")
+        links.append(_verified(meet, sets, num, den, block_sets, scratch, f"links{step}"))
     least = classes.join(roots("linked"), "node", "left").select("h1", "h2", "node", "class_size", F.coalesce("root", "node").alias("root"))
     least = scratch.cut(least, "rooted")
     names = least.groupBy("root").agg(F.min("node").alias("component_id"))
     final = least.join(names, "root").select("h1", "h2", "component_id", "class_size")
     members = full.select("doc_id", F.col("n").alias("n_shingles"), "h1", "h2").join(final, ["h1", "h2"])
     rest = signed.where("NOT frequent AND NOT (n > 0 AND doc_id IS NOT NULL)").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), F.lit(1).cast("bigint").alias("class_size"))
-    scratch.drop("stars", "sets", "classes", *[f"{x}{i}" for i in range(rounds + 1) for x in ("links", "mixed")])
+    scratch.drop("stars", "sets", "classes", *[f"{x}{i}" for i in range(rounds + 1) for x in ("links", "mixed", "members", "meet")])
     return members.select("doc_id", "n_shingles", "component_id", "class_size").unionByName(rest)
