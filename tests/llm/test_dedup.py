@@ -4,6 +4,7 @@ import hashlib
 import random
 import re
 import tracemalloc
+from types import SimpleNamespace
 
 import numpy as np
 import pyarrow as pa
@@ -12,7 +13,7 @@ import pytest
 from variantforge.llm.components import components
 from variantforge.llm.exact_dedup import PatriciaTrie, exact_dedup
 from variantforge.llm.parity_join import Bands, Chosen, Counts, digests, folded, parity_join, part_words, sketch_of
-from variantforge.llm.scratch import Scratch
+from variantforge.llm.scratch import Scratch, checkpoint_root
 from variantforge.llm.words import shingle_set, word_hashes
 
 WS = re.compile("[\x20\x09-\x0d]+")
@@ -219,3 +220,23 @@ def test_components(spark):
     for i in range(0, 2900, 100):
         assert len({root[j] for j in range(i + 1, i + 101)}) == 1
     assert len(set(root.values())) == 31
+
+
+def test_scratch_needs_a_shared_folder_and_goes_with_the_application(spark):
+    cluster = SimpleNamespace(conf=SimpleNamespace(get=lambda *_: None), sparkContext=SimpleNamespace(master="spark://host:7077"))
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        checkpoint_root(cluster)
+    scratch = Scratch(spark, "t")
+    kept = scratch.cut(spark.range(3), "a")
+    assert kept.count() == 3 and scratch.root.startswith(checkpoint_root(spark))
+    scratch.drop("a", "never written")
+    path, fs = scratch._path("a")
+    assert not fs.exists(path)
+
+
+def test_operators_leave_the_session_alone(spark, docs):
+    names = ("maxRecordsPerBatch", "maxBytesPerBatch")
+    before = [spark.conf.get(f"spark.sql.execution.arrow.{n}") for n in names]
+    parity_join(docs([(1, "a b c d e f"), (2, "a b c d e f g")])).collect()
+    exact_dedup(docs([(1, "a")])).collect()
+    assert [spark.conf.get(f"spark.sql.execution.arrow.{n}") for n in names] == before
