@@ -441,12 +441,12 @@ def type_bounds(spark, sf_dir):
 
 
 SINK = obj(
-    {"byte": {"type": "integer", "minimum": 0, "maximum": 255}, "fixed": {"const": "only"}, "foo-bar": {"type": "string"}, "status": {"enum": ["open", "closed"]}, "tags": {"type": "array", "items": {"type": "string"}, "uniqueItems": True}, "address": obj({"city": {"type": "string"}}), "flag": {"type": "boolean"}},
+    {"byte": {"type": "integer", "minimum": 0, "maximum": 255}, "fixed": {"const": "only"}, "deck-plan": {"type": "string"}, "status": {"enum": ["open", "closed"]}, "tags": {"type": "array", "items": {"type": "string"}, "uniqueItems": True}, "berth": obj({"quay": {"type": "string"}}), "flag": {"type": "boolean"}},
     required=["byte", "status"],
 )
 
 
-@query("SELECT * FROM (VALUES ('Fixed','only','Only','String'), ('Status','closed','Closed','String'), ('Status','open','Open','String'), ('Address','city','city','Option<String>'), ('Root','address','address','Option<Address>'), ('Root','byte','byte','u8'), ('Root','fixed','fixed','Option<Fixed>'), ('Root','flag','flag','Option<bool>'), ('Root','foo-bar','foo_bar','Option<String>'), ('Root','status','status','Status'), ('Root','tags','tags','Option<HashSet<String>>')) v(model, json_key, field_name, logical_type)")
+@query("SELECT * FROM (VALUES ('Fixed','only','Only','String'), ('Status','closed','Closed','String'), ('Status','open','Open','String'), ('Berth','quay','quay','Option<String>'), ('Root','berth','berth','Option<Berth>'), ('Root','byte','byte','u8'), ('Root','fixed','fixed','Option<Fixed>'), ('Root','flag','flag','Option<bool>'), ('Root','deck-plan','deck_plan','Option<String>'), ('Root','status','status','Status'), ('Root','tags','tags','Option<HashSet<String>>')) v(model, json_key, field_name, logical_type)")
 def model_rows_of_schema(spark, sf_dir):
     return rows(spark, model_rows(generate([SINK])), MODEL_ROW).select("model", "json_key", "field_name", "logical_type")
 
