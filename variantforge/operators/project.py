@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..plans.models import MappingSettings, struct_type
+from .columns import fresh, named
 from .compile import member
-from .validate import fresh, named
 
 
 def _literal(value, kind: T.DataType) -> Column:

@@ -13,6 +13,7 @@ from pyspark.sql.types import ArrayType, BooleanType, StructField, StructType
 from ..plans.errors import ERROR_FIELDS, ERROR_TYPE
 from ..plans.schema import Schema
 from ..plans.values import InvalidJson, parse_json
+from .columns import fresh, map_in_arrow, named
 from .compile import NotCompilable, compile_errors, message, staged_errors, with_messages
 from .interpret import ValidationOptions, check_terminates, validate
 
@@ -20,18 +21,6 @@ ERRORS, INVALID = "errors", "invalid_json"
 _WHITE = " \n\r\t"
 
 
-def named(name: str) -> Column:
-    """The column of exactly this name, whatever characters it has."""
-    return F.col("`" + name.replace("`", "``") + "`")
-
-
-def fresh(taken: list[str], stem: str = "__v") -> str:
-    """A prefix that no name in taken begins with, whatever its case."""
-    while any(c.lower().startswith(stem) for c in taken):
-        stem += "_"
-    return stem
-
-
 def errors_column(doc: Column, schema, options: ValidationOptions = ValidationOptions()) -> Column:
     """Errors of a JSON string column as one expression; raises NotCompilable where only the interpreter is exact."""
     return compile_errors(Schema.of(schema), F.try_parse_json(doc), options)
@@ -105,7 +94,7 @@ def _interpreted(df: DataFrame, doc_col: str, kept: list[str], schema: Schema, o
                     invalid.append(True)
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(kept)], pa.array(errors, kind), pa.array(invalid, pa.bool_())], names=[*kept, ERRORS, INVALID])
 
-    return plain.mapInArrow(run, StructType([*plain.schema.fields[: len(kept)], StructField(ERRORS, ArrayType(ERROR_TYPE)), StructField(INVALID, BooleanType())]))
+    return map_in_arrow(plain, run, StructType([*plain.schema.fields[: len(kept)], StructField(ERRORS, ArrayType(ERROR_TYPE)), StructField(INVALID, BooleanType())]))
 
 
 def explode_errors(validated: DataFrame, *keys: str) -> DataFrame:
