@@ -59,12 +59,13 @@ def test_columns_of_clashing_names_stay(spark, world, docs):
         assert rows and all((r["lang_pred"], r["ambiguous"], r["text_crc"], r["sha"], r["component_id"], r["a b.c"], r["score"]) == ("r", "kept", 7, "s", 3, 4, "s") for r in rows), name
 
 
-def test_foreign_texts_are_rejected(spark, docs):
+def test_texts_between_two_languages_are_rejected(spark, docs):
     r = random.Random(3)
     words = {"x": "abcdefg", "y": "tuvwxyz"}
-    rows = [(i, " ".join("".join(r.choice(words[lang]) for _ in range(5)) for _ in range(40)), lang) for i, lang in enumerate(["x", "y"] * 40)]
-    foreign = [(500, "мир и труд в каждом доме " * 20, None), (501, "日本語の文章です。" * 20, None), (502, "!!! 123", "x")]
-    kept = {g["doc_id"] for g in corpus_pipeline.identify_language(spark, docs(rows + foreign), "").collect()}
+    one = lambda lang: "".join(r.choice(words[lang]) for _ in range(5))
+    rows = [(i, " ".join(one(lang) for _ in range(40)), lang) for i, lang in enumerate(["x", "y"] * 40)]
+    between = [(500 + k, " ".join(one("xy"[i % 2]) for i in range(400)), None) for k in range(3)] + [(510, "!!! 123", "x")]
+    kept = {g["doc_id"] for g in corpus_pipeline.identify_language(spark, docs(rows + between), "").collect()}
     assert kept == {i for i, _, _ in rows}
 
 

@@ -21,7 +21,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .scratch import Scratch, named
+from ..operators.columns import map_in_arrow, named
+from .scratch import Scratch
 
 U64 = np.uint64
 Q = 8
@@ -292,7 +293,7 @@ def drop_leaks(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", it
     items = _texts_of(benchmark, item_col, item_text)
     index = sent_index(items, budget, most)
     if index is not None:
-        return docs.mapInArrow(_drop(index, docs.columns.index(text_col)), docs.schema)
+        return map_in_arrow(docs, _drop(index, docs.columns.index(text_col)), docs.schema)
     leaked = _met(docs.select(named(text_col).alias("text")), items, budget).select(F.col("sha").alias("leaked_sha")).distinct()
     return docs.join(leaked, F.sha2(docs[f"`{text_col}`"], 256) == leaked["leaked_sha"], "left_anti")
 

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .scratch import named, with_fields
+from ..operators.columns import map_in_arrow, named, with_fields
 
 #: Hashed n-gram features, n-gram sizes, and characters that are counted at once.
 DIMS, SIZES, SPAN = 4096, (1, 2, 3), 1 << 18
@@ -178,4 +178,4 @@ def identify(docs: DataFrame, model: EcocModel | None, text_col: str = "text", b
                         lang[j], score[j], unsure[j] = model.languages[k], float(p), bool(q)
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(lang), pa.array(score), pa.array(unsure)], names=[*part.schema.names, "lang_pred", "score", "ambiguous"])
 
-    return plain.mapInArrow(run, with_fields(plain.schema, "lang_pred string, score double, ambiguous boolean"))
+    return map_in_arrow(plain, run, with_fields(plain.schema, "lang_pred string, score double, ambiguous boolean"))

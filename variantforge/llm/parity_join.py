@@ -27,7 +27,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .scratch import Scratch, named
+from ..operators.columns import named
+from .scratch import Scratch
 from .words import U64, mix, shingle_set, word_hashes
 
 #: Bytes of sets, and sets, that are held in a task at once, about: a block. Two blocks meet in a task.

@@ -23,7 +23,7 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .scratch import with_fields
+from ..operators.columns import map_in_arrow, with_fields
 from .words import U64, mix, mix1, mix_int
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
@@ -377,4 +377,4 @@ def decode(encoded: DataFrame, model: str = MODEL) -> DataFrame:
             texts = [None if not x.is_valid else decode_ids(pieces, x.values.to_numpy(zero_copy_only=False).tolist()) for x in lists]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], names=[*batch.schema.names, "decoded"])
 
-    return encoded.mapInArrow(run, with_fields(encoded.schema, "decoded string"))
+    return map_in_arrow(encoded, run, with_fields(encoded.schema, "decoded string"))

@@ -21,7 +21,7 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .scratch import named, with_fields
+from ..operators.columns import map_in_arrow, named, with_fields
 
 RANKS = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Fixed value: the pre-token pattern of the rank file's public tokenizer.
@@ -262,7 +262,7 @@ def masking_edits(docs: DataFrame, pattern: str = "[0-9]{4,}|[*#$%&!]{2,}", mask
             edits = [None if t is None else first + [{"start": m.start(), "stop": m.end(), "text": mask} for m in found.finditer(t)] for t in batch.column(at).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(edits, kind)], names=[*names, edits_col])
 
-    return plain.mapInArrow(run, T.StructType([*plain.schema.fields, T.StructField(edits_col, T._parse_datatype_string("array<struct<start: bigint, stop: bigint, text: string>>"))]))
+    return map_in_arrow(plain, run, T.StructType([*plain.schema.fields, T.StructField(edits_col, T._parse_datatype_string("array<struct<start: bigint, stop: bigint, text: string>>"))]))
 
 
 @lru_cache(maxsize=2)
@@ -294,7 +294,7 @@ def build(docs: DataFrame, text_col: str = "text", ranks: str = RANKS) -> DataFr
                 trees = counter.trees(pc.fill_null(part.column(at), "").to_pylist())
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array([t.tokens for t in trees], pa.int64()), _tree_column(trees)], names=[*names, "n_tokens", "tree"])
 
-    return plain.mapInArrow(run, with_fields(plain.schema, f"n_tokens bigint, tree {TREE}"))
+    return map_in_arrow(plain, run, with_fields(plain.schema, f"n_tokens bigint, tree {TREE}"))
 
 
 _RESULTS = ("n_edits", "n_tokens_after", "n_pre_tokens", "n_cut_anew")
@@ -337,7 +337,7 @@ def update(built: DataFrame, text_col: str = "text", edits_col: str = "edits", r
                 found = list(zip(*rows, strict=True)) if rows else [[]] * len(_RESULTS)
                 yield pa.RecordBatch.from_arrays([*(columns[k] for k in kept), *(pa.array(c, pa.int64()) for c in found)], names=[*(names[k] for k in kept), *_RESULTS])
 
-    return plain.mapInArrow(run, with_fields(T.StructType([plain.schema.fields[k] for k in kept]), ", ".join(f"{c} bigint" for c in _RESULTS)))
+    return map_in_arrow(plain, run, with_fields(T.StructType([plain.schema.fields[k] for k in kept]), ", ".join(f"{c} bigint" for c in _RESULTS)))
 
 
 def recount(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", edits_col: str = "edits", ranks: str = RANKS) -> DataFrame:
