@@ -15,7 +15,8 @@ from variantforge.llm import language_id, pieces
 from variantforge.llm.decontaminate import drop_leaks
 from variantforge.llm.exact_dedup import exact_dedup
 from variantforge.llm.parity_join import parity_join
-from variantforge.llm.scratch import Scratch, bounded, named
+from variantforge.llm.scratch import Scratch, bounded
+from variantforge.operators.columns import named
 
 #: Near copies share this much of their sets of shingles of so many words.
 NEAR_WORDS, NEAR_NUM, NEAR_DEN = 5, 8, 10
@@ -56,14 +57,14 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
     Where a doc_id occurs twice, different texts under it are judged by row numbers in order of doc_id.
     """
-    named, key = docs.where("doc_id IS NOT NULL"), "doc_id"
+    rows, key = docs.where("doc_id IS NOT NULL"), "doc_id"
     if _repeated(docs):
         key = f"row__{len(docs.columns)}"
-        ordered = named.dropDuplicates(["doc_id", "text"]).orderBy("doc_id", "text")
-        named = Scratch(spark, "near_copies").cut(ordered.withColumn(key, F.monotonically_increasing_id()), "rows")
-    joined = parity_join(named, k=NEAR_WORDS, num=NEAR_NUM, den=NEAR_DEN, id_col=key)
+        ordered = rows.dropDuplicates(["doc_id", "text"]).orderBy("doc_id", "text")
+        rows = Scratch(spark, "near_copies").cut(ordered.withColumn(key, F.monotonically_increasing_id()), "rows")
+    joined = parity_join(rows, k=NEAR_WORDS, num=NEAR_NUM, den=NEAR_DEN, id_col=key)
     least = joined.where("component_id = doc_id").select(F.col("doc_id").alias(key))
-    kept = named.join(least, key, "left_semi").select(docs.columns)
+    kept = rows.join(least, key, "left_semi").select(*[named(c) for c in docs.columns])
     return kept.unionByName(docs.where("doc_id IS NULL"))
 
 
