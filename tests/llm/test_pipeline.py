@@ -3,9 +3,11 @@
 import random
 
 import corpus_pipeline
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from variantforge.llm import language_id
 from variantforge.llm.queries import ORACLE_SQL, QUERIES
 
 from .test_dedup import brute_exact, brute_join
@@ -59,14 +61,17 @@ def test_columns_of_clashing_names_stay(spark, world, docs):
         assert rows and all((r["lang_pred"], r["ambiguous"], r["text_crc"], r["sha"], r["component_id"], r["a b.c"], r["score"]) == ("r", "kept", 7, "s", 3, 4, "s") for r in rows), name
 
 
-def test_texts_between_two_languages_are_rejected(spark, docs):
+def test_texts_between_two_languages_are_rejected(spark, docs, monkeypatch):
     r = random.Random(3)
     words = {"x": "abcdefg", "y": "tuvwxyz"}
-    one = lambda lang: "".join(r.choice(words[lang]) for _ in range(5))
-    rows = [(i, " ".join(one(lang) for _ in range(40)), lang) for i, lang in enumerate(["x", "y"] * 40)]
-    between = [(500 + k, " ".join(one("xy"[i % 2]) for i in range(400)), None) for k in range(3)] + [(510, "!!! 123", "x")]
-    kept = {g["doc_id"] for g in corpus_pipeline.identify_language(spark, docs(rows + between), "").collect()}
+    rows = [(i, " ".join("".join(r.choice(words[lang]) for _ in range(5)) for _ in range(40)), lang) for i, lang in enumerate(["x", "y"] * 40)]
+    kept = {g["doc_id"] for g in corpus_pipeline.identify_language(spark, docs([*rows, (510, "!!! 123", "x")]), "").collect()}
     assert kept == {i for i, _, _ in rows}
+    code = language_id.codewords(3)
+    bits = code.shape[1]
+    unsure = language_id.EcocModel(("x", "y", "z"), code, np.zeros((language_id.DIMS, bits), np.float32), np.zeros(bits, np.float32), np.full(bits, 1 / bits))
+    monkeypatch.setattr(language_id, "train", lambda *_: unsure)
+    assert corpus_pipeline.identify_language(spark, docs(rows), "").count() == 0
 
 
 def test_registered():
