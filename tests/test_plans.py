@@ -142,9 +142,9 @@ def test_models():
     assert [m.name for m in found] == ["Berth", "Root"] and [f.name for f in found[1].fields] == ["berth", "crew"]
     assert [(m.name, m.variants) for m in models(obj({"s": {"enum": ["a", "A"]}, "t": {"enum": ["A", "a"]}})) if m.kind == "enum"] == [("S", (("A", "A0"), ("a", "A1")))]
     assert [m.name for m in models({"oneOf": [obj({"a": STR}), obj({"b": STR})]}) if m.kind == "union"] == ["RootOneOf"]
-    assert {m.name for m in models(obj({"foo": {"anyOf": [STR, obj({"x": {"type": "integer"}})]}}))} == {"FooAnyOf", "FooVariant1", "Root"}
-    titled = obj({"address": obj({"c": STR}, title="FooBar")})
-    assert models(titled)[0].name == "FooBar" and models(titled, name_source=NameSource.PROPERTY_KEY_FIRST)[0].name == "Address"
+    assert {m.name for m in models(obj({"load": {"anyOf": [STR, obj({"x": {"type": "integer"}})]}}))} == {"LoadAnyOf", "LoadVariant1", "Root"}
+    titled = obj({"hold": obj({"c": STR}, title="CargoBay")})
+    assert models(titled)[0].name == "CargoBay" and models(titled, name_source=NameSource.PROPERTY_KEY_FIRST)[0].name == "Hold"
     with pytest.raises(RootNotObject):
         models(STR)
     with pytest.raises(BatchError) as e:
