@@ -150,6 +150,15 @@ def test_recounts_equal_full_counts(spark, docs):
         want = text
         for start, stop, new in reversed(edits):
             want = want[:start] + new + want[stop:]
+        one = counter.tree(text)
+        for start, stop, new in reversed(edits):  # one by one, from the back
+            token_counts.apply_edits(counter, one, text, [(start, stop, new)])
+            text = text[:start] + new + text[stop:]
+        assert text == after and one.tokens == tree.tokens and one.sums[1].tolist() == tree.sums[1].tolist()
+        for t in (one, tree):
+            assert [int(x) for x in t.sums[t.size : t.size + len(t.sizes), 0]] == t.sizes.tolist() and t.sizes.sum() == len(t.lengths)
+            assert [int(t.lengths[a:b].sum()) for a, b in zip(t.starts, t.starts[1:], strict=False)] == t.sums[t.size : t.size + len(t.sizes), 1].tolist()
+            assert (t.sums[1 : t.size] == t.sums[2 : 2 * t.size : 2] + t.sums[3 : 2 * t.size : 2]).all()
         full = counter.tree(after)
         assert after == want and tree.tokens == len(counter.encoding.encode_ordinary(want))
         assert [x.tolist() for x in tree.flat()] == [x.tolist() for x in full.flat()]

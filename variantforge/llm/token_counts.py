@@ -185,6 +185,41 @@ class Tree:
             for i in touched:
                 self.sums[i] = self.sums[2 * i] + self.sums[2 * i + 1]
 
+    def replace_many(self, first: np.ndarray, stop: np.ndarray, size: np.ndarray, lengths: np.ndarray, counts: np.ndarray) -> None:
+        """``replace`` for many changes: pre-tokens first to stop by the next `size` of lengths and counts; whole columns at once, with the same leaves and sums."""
+        n, last = len(self.lengths), len(self.sizes) - 1
+        gone = np.zeros(n + 1, np.int64)
+        np.add.at(gone, first, 1)
+        np.add.at(gone, stop, -1)
+        kept = np.cumsum(gone[:n]) == 0
+        before = np.concatenate([[0], np.cumsum(kept)])
+        put = np.cumsum(np.bincount(first, size, n + 1)).astype(np.int64)
+        at_old = (before[:n] + put[:n])[kept]
+        at_new = np.repeat(before[first], size) + np.arange(len(lengths))
+        leaf_old = np.repeat(np.arange(last + 1), self.sizes)[kept]
+        leaf_of = np.minimum(np.searchsorted(self.starts, first, side="right") - 1, last)
+        total = len(at_old) + len(at_new)
+        out, leaf = (np.empty(total, np.int32), np.empty(total, np.int32)), np.empty(total, np.int64)
+        for new, old, more in ((out[0], self.lengths, lengths), (out[1], self.counts, counts)):
+            new[at_old], new[at_new] = old[kept], more
+        # What a change puts in goes to the leaf where it begins, and so does what is left of the leaves that it reaches into.
+        reach = np.minimum(np.searchsorted(self.starts, np.maximum(first, stop - 1), side="right") - 1, last)
+        to = np.arange(last + 1)
+        for a, b in zip(leaf_of[reach > leaf_of].tolist(), reach[reach > leaf_of].tolist(), strict=True):
+            to[a + 1 : b + 1] = to[a]
+        leaf[at_old], leaf[at_new] = to[leaf_old], np.repeat(to[leaf_of], size)
+        self.lengths, self.counts, self.ends = *out, None
+        self.sizes = np.bincount(leaf, minlength=last + 1).astype(np.int32)
+        self.starts = np.concatenate([[0], np.cumsum(self.sizes)])
+        row = slice(self.size, self.size + last + 1)
+        self.sums[row, 0] = self.sizes
+        self.sums[row, 1], self.sums[row, 2] = (np.bincount(leaf, x, last + 1) for x in out)
+        level = self.size
+        while level > 1:
+            half = level // 2
+            self.sums[half:level] = self.sums[level : 2 * level : 2] + self.sums[level + 1 : 2 * level : 2]
+            level = half
+
     def flat(self) -> tuple[np.ndarray, np.ndarray]:
         return self.lengths, self.counts
 
@@ -212,7 +247,8 @@ def apply_edits(counter: Counter, tree: Tree, text: str, edits: list[tuple[int,
         size += len(new)
         at = stop
     after = "".join([*parts, text[at:]])
-    if len(edits) * 32 > len(tree.sizes):
+    many = len(edits) * 32 > len(tree.sizes)
+    if many:
         tree.spread()
     found, cuts = [], []  # all new pre-tokens; (first, stop, from, to) of each change
     match = counter.pattern.match
@@ -240,7 +276,11 @@ def apply_edits(counter: Counter, tree: Tree, text: str, edits: list[tuple[int,
         cuts.append((first, last, begin, len(found)))
         k += 1
     lengths, counts = np.fromiter(map(len, found), np.int32, len(found)), counter.count(found)
-    tree.replace([(first, last, lengths[a:b], counts[a:b]) for first, last, a, b in cuts])
+    if many and len(cuts) > 2:
+        first, last, a, b = (np.array(x, np.int64) for x in zip(*cuts, strict=True))
+        tree.replace_many(first, last, b - a, lengths, counts)
+    else:
+        tree.replace([(first, last, lengths[a:b], counts[a:b]) for first, last, a, b in cuts])
     return after, len(found)
 
 
@@ -258,9 +298,21 @@ def masking_edits(docs: DataFrame, pattern: str = "[0-9]{4,}|[*#$%&!]{2,}", mask
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            first = [{"start": 0, "stop": 0, "text": head}] if head else []
-            edits = [None if t is None else first + [{"start": m.start(), "stop": m.end(), "text": mask} for m in found.finditer(t)] for t in batch.column(at).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(edits, kind)], names=[*names, edits_col])
+            starts, stops, offsets, new, null = [], [], [0], [], []
+            for t in batch.column(at).to_pylist():
+                if t is not None:
+                    if head:
+                        starts.append(0)
+                        stops.append(0)
+                        new.append(head)
+                    spans = [m.span() for m in found.finditer(t)]
+                    starts += [a for a, _ in spans]
+                    stops += [b for _, b in spans]
+                    new += [mask] * len(spans)
+                null.append(t is None)
+                offsets.append(len(starts))
+            edits = pa.StructArray.from_arrays([pa.array(starts, pa.int64()), pa.array(stops, pa.int64()), pa.array(new, pa.string())], fields=list(kind.value_type))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), edits, mask=pa.array(null, pa.bool_()))], names=[*names, edits_col])
 
     return map_in_arrow(plain, run, T.StructType([*plain.schema.fields, T.StructField(edits_col, T._parse_datatype_string("array<struct<start: bigint, stop: bigint, text: string>>"))]))
 
@@ -297,6 +349,13 @@ def build(docs: DataFrame, text_col: str = "text", ranks: str = RANKS) -> DataFr
     return map_in_arrow(plain, run, with_fields(plain.schema, f"n_tokens bigint, tree {TREE}"))
 
 
+def _edit_lists(edits: pa.Array) -> tuple[list[int], list[list]]:
+    """(where each row's edits begin, and end; starts, stops and texts of all edits); a null list has none."""
+    bounds = np.concatenate([[0], np.cumsum(pc.fill_null(pc.list_value_length(edits), 0).to_numpy(zero_copy_only=False))]).tolist()
+    flat = edits.flatten()
+    return bounds, [x.to_pylist() for x in flat.flatten()]
+
+
 _RESULTS = ("n_edits", "n_tokens_after", "n_pre_tokens", "n_cut_anew")
 
 
@@ -321,12 +380,12 @@ def update(built: DataFrame, text_col: str = "text", edits_col: str = "edits", r
             for i in range(0, batch.num_rows, 250):
                 part = batch.slice(i, 250)
                 columns, rows, texts, trees = list(part.columns), [], [], []
-                held = [columns[tree_at].field(k) for k in range(4)]
-                for k, (text, edits) in enumerate(zip(columns[text_at].to_pylist(), columns[edits_at].to_pylist(), strict=True)):
-                    raw = [c[k].as_py() for c in held] if columns[tree_at].is_valid()[k].as_py() else [None]
-                    tree = counter.tree(text or "") if None in raw else Tree.load(*raw)
+                held = list(zip(*(columns[tree_at].field(k).to_pylist() for k in range(4)), strict=True))
+                whole, bounds, lists = columns[tree_at].is_valid().to_pylist(), *_edit_lists(columns[edits_at])
+                for k, text in enumerate(columns[text_at].to_pylist()):
+                    tree = counter.tree(text or "") if not whole[k] or None in held[k] else Tree.load(*held[k])
                     size = tree.pre_tokens
-                    todo = clean_edits([(e["start"], e["stop"], e["text"]) for e in edits or [] if e], len(text or ""))
+                    todo = clean_edits(zip(*(x[bounds[k] : bounds[k + 1]] for x in lists), strict=True), len(text or ""))
                     after, anew = apply_edits(counter, tree, text or "", todo)
                     rows.append((len(todo), tree.tokens, size, anew))
                     if keep:
