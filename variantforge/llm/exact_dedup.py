@@ -271,16 +271,16 @@ def _owners(trie_bytes: int):
     return run
 
 
-def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", trie_bytes: int = TRIE_BYTES) -> DataFrame:
+def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", trie_bytes: int = TRIE_BYTES, scratch: Scratch | None = None) -> DataFrame:
     """One row per row of docs: doc_id, keep_id, group_size, kept, text_sha256, text_crc.
 
     A null text counts as empty, and all empty texts form one group. Of equal texts the row with the most
     code points in the original stays, then the smallest doc_id; a null doc_id sorts last. Of rows repeated
     with one doc_id, exactly one is kept. Other columns of docs are not read. An empty table gives no rows.
-    text_sha256 is of the normalised text in UTF-8, text_crc (crc32) of the original.
+    text_sha256 is of the normalised text in UTF-8, text_crc (crc32) of the original.  The result reads the
+    tables of scratch, which a caller that has stored it may delete.
     """
-    spark = docs.sparkSession
-    scratch = Scratch(spark, "exact_dedup")
+    scratch = scratch or Scratch(docs.sparkSession, "exact_dedup")
     pairs = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
     local = scratch.cut(pairs.mapInArrow(_local(trie_bytes), _MAP_SQL), "local")
     groups = local.where("kind = 1").drop("kind", "crc")

@@ -477,9 +477,11 @@ def parity_join(docs: DataFrame, k: int = 5, num: int = 8, den: int = 10, id_col
     rows = keyed.join(classes.select("h1", "h2", "node"), ["h1", "h2"]).select("node", "n", "keys").mapInArrow(_explode(num, den, frequent), "key bigint, node bigint, linked bigint")
     met = rows.repartition("key").sortWithinPartitions("key", "node").mapInArrow(_meet, "a bigint, b bigint")
     stars = scratch.cut(met.distinct(), "stars")
+    scratch.tidy()
     involved = stars.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(classes, "node")
     texts = involved.join(pairs.withColumnRenamed("doc_id", "node"), "node").select("node", "text", "h1", "h2")
     sets = scratch.cut(texts.mapInArrow(_sets(k), _SET), "sets")
+    scratch.tidy()
     links = [_verified(stars, sets, num, den, block_sets, scratch, "links0")]
 
     def roots(name: str) -> DataFrame:
@@ -508,11 +510,13 @@ def parity_join(docs: DataFrame, k: int = 5, num: int = 8, den: int = 10, id_col
             break
         meet = scratch.cut(mixed.where("root <> head_root").select("a", F.col("node").alias("b")).distinct(), f"meet{step}")
         links.append(_verified(meet, sets, num, den, block_sets, scratch, f"links{step}"))
+    light = scratch.cut(signed.where("NOT frequent").select("doc_id", "n", "h1", "h2"), "light")
     least = classes.join(roots("linked"), "node", "left").select("h1", "h2", "node", "class_size", F.coalesce("root", "node").alias("root"))
     least = scratch.cut(least, "rooted")
     names = least.groupBy("root").agg(F.min("node").alias("component_id"))
     final = least.join(names, "root").select("h1", "h2", "component_id", "class_size")
-    members = full.select("doc_id", F.col("n").alias("n_shingles"), "h1", "h2").join(final, ["h1", "h2"])
-    rest = signed.where("NOT frequent AND NOT (n > 0 AND doc_id IS NOT NULL)").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), F.lit(1).cast("bigint").alias("class_size"))
-    scratch.drop("stars", "sets", "classes", *[f"{x}{i}" for i in range(rounds + 1) for x in ("links", "mixed", "members", "meet")])
+    members = light.where("n > 0 AND doc_id IS NOT NULL").select("doc_id", F.col("n").alias("n_shingles"), "h1", "h2").join(final, ["h1", "h2"])
+    rest = light.where("NOT (n > 0 AND doc_id IS NOT NULL)").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), F.lit(1).cast("bigint").alias("class_size"))
+    scratch.drop_all_but("light", "rooted")
+    scratch.tidy()
     return members.select("doc_id", "n_shingles", "component_id", "class_size").unionByName(rest)

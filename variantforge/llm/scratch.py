@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import re
 import tempfile
 import uuid
@@ -81,3 +82,14 @@ class Scratch:
         for name in names:
             path, fs = self._path(name)
             fs.delete(path, True)
+
+    def drop_all_but(self, *names: str) -> None:
+        path, fs = self._path()
+        for status in fs.listStatus(path):
+            if status.getPath().getName() not in names:
+                fs.delete(status.getPath(), True)
+
+    def tidy(self) -> None:
+        """Lets Spark delete the shuffle files of finished jobs now: it does so once the driver has collected their plans as garbage, which may otherwise take long."""
+        gc.collect()
+        self.spark._jvm.System.gc()
