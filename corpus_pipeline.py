@@ -45,7 +45,10 @@ def _repeated(docs: DataFrame) -> bool:
 @bounded
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the owner of each group of equal texts: one row, also of rows repeated with one doc_id."""
-    owners = exact_dedup(docs).where("kept").select("doc_id", "text_crc")
+    scratch = Scratch(spark, "copies")
+    owners = scratch.cut(exact_dedup(docs, scratch=scratch).where("kept").select("doc_id", "text_crc"), "kept")
+    scratch.drop_all_but("kept")
+    scratch.tidy()
     crc = F.crc32(F.coalesce(docs["text"], F.lit("")))
     kept = docs.join(owners, docs["doc_id"].eqNullSafe(owners["doc_id"]) & (crc == owners["text_crc"]), "left_semi")
     return kept.dropDuplicates(["doc_id", "text"]) if _repeated(docs) else kept
