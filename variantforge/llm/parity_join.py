@@ -498,10 +498,14 @@ def parity_join(docs: DataFrame, k: int = 5, num: int = 8, den: int = 10, id_col
             members = keyed.join(known, ["h1", "h2"]).select("node", "n", "keys", "root").mapInArrow(_members(num, den, frequent), "key bigint, node bigint, root bigint")
         else:
             members = mixed.select("key", "node", "root").join(up, "node", "left").select("key", "node", F.coalesce("up", "root").alias("root"))
-        members = scratch.cut(members, f"members{step}")
+            members = scratch.cut(members, f"members{step}")
+        # Two numbers a key move for all keys; heads and sizes are found for the mixed ones only, which are few.
+        apart = members.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("key")
+        held = scratch.cut(members.join(apart, "key"), f"held{step}")
+        scratch.tidy()
         head = F.min(F.struct(F.xxhash64("node", F.lit(step)).alias("h"), F.col("node").alias("a"), F.col("root").alias("head_root")))
-        apart = members.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.min("node").alias("least"), F.count("*").alias("size"), head.alias("head")).where("low < high")
-        mixed = scratch.cut(members.join(apart.select("key", "least", "size", "head.a", "head.head_root"), "key"), f"mixed{step}")
+        of_key = held.groupBy("key").agg(F.min("node").alias("least"), F.count("*").alias("size"), head.alias("head"))
+        mixed = scratch.cut(held.join(of_key.select("key", "least", "size", "head.a", "head.head_root"), "key"), f"mixed{step}")
         largest = mixed.agg(F.max("size")).first()[0]
         if largest is None:
             break
