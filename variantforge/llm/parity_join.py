@@ -398,7 +398,9 @@ def _verified(pairs: DataFrame, sets: DataFrame, num: int, den: int, block_sets:
     firsts = heads.select(F.col("a").alias("head"), F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(False).alias("member"), F.col("a").alias("node"))
     full = members.unionByName(firsts).join(sets, "node").select("head", "salt", "member", "node", "n", "sketch", "set")
     dealt = full.repartition("head", "salt").sortWithinPartitions("head", "salt", "member")
-    return scratch.cut(dealt.mapInArrow(_with_head(num, den), "a bigint, b bigint"), name)
+    found = scratch.cut(dealt.mapInArrow(_with_head(num, den), "a bigint, b bigint"), name)
+    scratch.tidy()
+    return found
 
 
 def _between_blocks(num: int, den: int):
@@ -452,7 +454,9 @@ def _in_full(mixed: DataFrame, sets: DataFrame, num: int, den: int, block_bytes:
     units = spread.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("head", F.least("block", "other").alias("bi"), F.greatest("block", "other").alias("bj"), "block", "node", "root")
     full = units.join(sets, "node").select("head", "bi", "bj", "block", "node", "root", "n", "sketch", "set")
     dealt = full.repartition("head", "bi", "bj").sortWithinPartitions("head", "bi", "bj")
-    return scratch.cut(dealt.mapInArrow(_between_blocks(num, den), "a bigint, b bigint"), name)
+    found = scratch.cut(dealt.mapInArrow(_between_blocks(num, den), "a bigint, b bigint"), name)
+    scratch.tidy()
+    return found
 
 
 def parity_join(docs: DataFrame, k: int = 5, num: int = 8, den: int = 10, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES, block_sets: int = BLOCK_SETS, rounds: int = ROUNDS) -> DataFrame:
