@@ -240,3 +240,21 @@ def test_operators_leave_the_session_alone(spark, docs):
     parity_join(docs([(1, "a b c d e f"), (2, "a b c d e f g")])).collect()
     exact_dedup(docs([(1, "a")])).collect()
     assert [spark.conf.get(f"spark.sql.execution.arrow.{n}") for n in names] == before
+
+
+def test_join_stores_no_keys(spark, docs, monkeypatch):
+    """Of strangers, which meet no one, the tables of a join hold a few numbers each, not the keys that outweigh their texts."""
+    r, stored, cut = random.Random(3), {}, Scratch.cut
+
+    def seen(self, df, name):
+        out = cut(self, df, name)
+        path, fs = self._path(name)
+        stored[name] = fs.getContentSummary(path).getLength()
+        return out
+
+    monkeypatch.setattr(Scratch, "cut", seen)
+    rows = [(i, " ".join(f"w{r.randrange(10**6)}" for _ in range(300))) for i in range(600)]
+    rows += [(9000 + i, rows[i][1] + " tail") for i in range(5)]
+    got = {g["doc_id"]: g["component_id"] for g in parity_join(docs(rows)).collect()}
+    assert got == {i: i - 9000 if i >= 9000 else i for i, _ in rows}
+    assert sum(stored.values()) < sum(len(t) for _, t in rows) / 4

@@ -12,6 +12,9 @@ largest partner, are enough.  The order puts frequent keys last (a passage that
 words of its own) and words of few elements after fuller ones: strangers seldom meet.  Which keys count as
 frequent changes only the work, never the links.
 
+Keys are never stored: they are worked out from the texts for the counts, from the texts again for the
+first meeting, and from the sets of those that met after that.
+
 Documents of equal sets are one class.  Classes that hold a key are compared pair by pair, never through
 others: first each with one head of the key's bucket; then buckets whose members are not yet in one
 component get other heads; what is left is compared in full, in blocks of bounded size.
@@ -152,18 +155,34 @@ class Counts:
 
 
 #: Rows of documents (frequent false), and of frequent keys (n their count, h1 the key).
-_SIGN = "doc_id bigint, n bigint, h1 bigint, h2 bigint, keys binary, frequent boolean"
+_SIGN = "doc_id bigint, n bigint, h1 bigint, h2 bigint, frequent boolean"
+#: A class is known by so many bits of h1 where its keys first meet; pairs of labels lead to all classes that have them.
+LABEL = 2**63 - 1
+
+
+def _sign_batch(ids, n, h1, h2, frequent: bool) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([ids, pa.array(n, pa.int64()), pa.array(h1, pa.int64()), pa.array(h2, pa.int64()), pa.array([frequent] * len(n), pa.bool_())], names=["doc_id", "n", "h1", "h2", "frequent"])
+
 
+class Seen:
+    """The classes whose keys a task has worked out: up to a bound, each does so once."""
 
-def _sign_batch(ids, n, h1, h2, keys, frequent: bool) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([ids, pa.array(n, pa.int64()), pa.array(h1, pa.int64()), pa.array(h2, pa.int64()), pa.array(keys, pa.binary()), pa.array([frequent] * len(n), pa.bool_())], names=["doc_id", "n", "h1", "h2", "keys", "frequent"])
+    def __init__(self, most: int = 100_000):
+        self.most, self.signs = most, set()
+
+    def new(self, sign: tuple[int, int]) -> bool:
+        if sign in self.signs:
+            return False
+        if len(self.signs) < self.most:
+            self.signs.add(sign)
+        return True
 
 
 def _signatures(k: int, num: int, den: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bands, seen, counts = Bands(num, den), set(), Counts()
+        bands, seen, counts = Bands(num, den), Seen(), Counts()
         for batch in batches:
-            n, h1, h2, keys = [], [], [], []
+            n, h1, h2 = [], [], []
             named = batch.column(0).is_valid().to_pylist()
             for i, words in word_hashes(batch.column(1)):
                 s = shingle_set(words, k)
@@ -172,18 +191,12 @@ def _signatures(k: int, num: int, den: int):
                 one, two = signature(s, at)
                 h1.append(one)
                 h2.append(two)
-                if len(s) and named[i] and (one, two) not in seen:  # a class leaves a task's keys once, with a row that joins
-                    if len(seen) < 100_000:
-                        seen.add((one, two))
-                    own = digests(s, bands, at)
-                    counts.add(own)
-                    keys.append(own.astype("<u8").tobytes())
-                else:
-                    keys.append(None)
-            yield _sign_batch(batch.column(0).cast(pa.int64()), n, h1, h2, keys, False)
+                if len(s) and named[i] and seen.new((one, two)):  # only rows that join
+                    counts.add(digests(s, bands, at))
+            yield _sign_batch(batch.column(0).cast(pa.int64()), n, h1, h2, False)
         counts.flush()
         m = len(counts.keys)
-        yield _sign_batch(pa.nulls(m, pa.int64()), counts.times, counts.keys.view(np.int64), np.zeros(m, np.int64), [None] * m, True)
+        yield _sign_batch(pa.nulls(m, pa.int64()), counts.times, counts.keys.view(np.int64), np.zeros(m, np.int64), True)
 
     return run
 
@@ -242,12 +255,13 @@ def _stars(key: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
 COMBINE_ROWS = 1 << 20
 
 
-def _explode(num: int, den: int, frequent):
-    """Rows (key, node, -1) of keys to be dealt out and (random, node, least) of those that met here already."""
+def _explode(k: int, num: int, den: int, frequent):
+    """Of rows (doc_id, text): (key, label, -1) of keys to be dealt out and (random, label, least) of those that met here already."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        chosen = Chosen(num, den, frequent.value)
+        chosen, seen = Chosen(num, den, frequent.value), Seen()
         keys, nodes, held = [], [], 0
+        labels, sizes, raws, waiting = [], [], [], 0
 
         def out(a: np.ndarray, b: np.ndarray, linked: np.ndarray) -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(linked)], names=["key", "node", "linked"])
@@ -260,14 +274,33 @@ def _explode(num: int, den: int, frequent):
                 pair = np.unique(np.stack([a, b], axis=1), axis=0)
                 yield out(mix(pair[:, 0].astype(np.uint64)).view(np.int64), pair[:, 0], pair[:, 1])
 
-        for batch in batches:
-            key, node = chosen.of(*(batch.column(i).to_pylist() for i in range(3)))
+        def choose() -> int:
+            key, node = chosen.of(labels, sizes, raws)
             keys.append(key)
             nodes.append(node)
-            held += len(key)
-            if held >= COMBINE_ROWS:
-                yield from flush()
-                keys, nodes, held = [], [], 0
+            return len(key)
+
+        for batch in batches:
+            named = batch.column(0).is_valid().to_pylist()
+            for i, words in word_hashes(batch.column(1)):
+                if not named[i] or not len(words):
+                    continue
+                s = shingle_set(words, k)
+                at = mix(s)
+                sign = signature(s, at)
+                if not seen.new(sign):
+                    continue
+                labels.append(sign[0] & LABEL)
+                sizes.append(len(s))
+                raws.append(digests(s, chosen.bands, at).astype("<u8").tobytes())
+                waiting += len(raws[-1])
+                if waiting >= BLOCK_BYTES:
+                    held += choose()
+                    labels, sizes, raws, waiting = [], [], [], 0
+                    if held >= COMBINE_ROWS:
+                        yield from flush()
+                        keys, nodes, held = [], [], 0
+        held += choose()
         if held:
             yield from flush()
 
@@ -275,14 +308,16 @@ def _explode(num: int, den: int, frequent):
 
 
 def _members(num: int, den: int, frequent):
-    """Rows (key, node, root) of (node, n, keys, root)."""
+    """Rows (key, node, root) of (node, set, root)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         chosen = Chosen(num, den, frequent.value)
         for batch in batches:
-            nodes = batch.column(0).to_pylist()
-            key, at = chosen.of(list(range(len(nodes))), *(batch.column(i).to_pylist() for i in (1, 2)))
-            yield pa.RecordBatch.from_arrays([pa.array(key), batch.column(0).take(pa.array(at)), batch.column(3).take(pa.array(at))], names=["key", "node", "root"])
+            for i in range(0, batch.num_rows, 250):
+                part = batch.slice(i, 250)
+                sets = [_words(x.as_py()) for x in part.column(1)]
+                key, at = chosen.of(list(range(len(sets))), [len(s) for s in sets], [digests(s, chosen.bands).astype("<u8").tobytes() for s in sets])
+                yield pa.RecordBatch.from_arrays([pa.array(key), part.column(0).take(pa.array(at)), part.column(2).take(pa.array(at))], names=["key", "node", "root"])
 
     return run
 
@@ -477,11 +512,14 @@ def parity_join(docs: DataFrame, k: int = 5, num: int = 8, den: int = 10, id_col
     frequent = spark.sparkContext.broadcast(often.column(0).to_numpy()[::-1].astype(np.int64).view(np.uint64))
     full = signed.where("NOT frequent AND n > 0 AND doc_id IS NOT NULL")
     classes = scratch.cut(full.groupBy("h1", "h2").agg(F.min("doc_id").alias("node"), F.count("*").alias("class_size"), F.first("n").alias("n")), "classes")
-    keyed = full.where("keys IS NOT NULL").select("h1", "h2", "n", "keys")
-    rows = keyed.join(classes.select("h1", "h2", "node"), ["h1", "h2"]).select("node", "n", "keys").mapInArrow(_explode(num, den, frequent), "key bigint, node bigint, linked bigint")
+    rows = pairs.mapInArrow(_explode(k, num, den, frequent), "key bigint, node bigint, linked bigint")
     met = rows.repartition("key").sortWithinPartitions("key", "node").mapInArrow(_meet, "a bigint, b bigint")
-    stars = scratch.cut(met.distinct(), "stars")
+    met = scratch.cut(met.distinct(), "met")
     scratch.tidy()
+    labelled = classes.select(F.col("h1").bitwiseAND(F.lit(LABEL)).alias("label"), "node")
+    one, two = (labelled.select(F.col("label").alias(c), F.col("node").alias(x)) for c, x in (("a", "x"), ("b", "y")))
+    stars = met.join(one, "a").join(two, "b").where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+    stars = scratch.cut(stars.distinct(), "stars")
     involved = stars.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(classes, "node")
     texts = involved.join(pairs.withColumnRenamed("doc_id", "node"), "node").select("node", "text", "h1", "h2")
     sets = scratch.cut(texts.mapInArrow(_sets(k), _SET), "sets")
@@ -498,8 +536,8 @@ def parity_join(docs: DataFrame, k: int = 5, num: int = 8, den: int = 10, id_col
     for step in range(1, rounds + 1):
         up = roots(f"joined{step}").withColumnRenamed("root", "up")
         if mixed is None:
-            known = sets.select("h1", "h2", "node").join(up, "node", "left").select("h1", "h2", "node", F.coalesce("up", "node").alias("root"))
-            members = keyed.join(known, ["h1", "h2"]).select("node", "n", "keys", "root").mapInArrow(_members(num, den, frequent), "key bigint, node bigint, root bigint")
+            known = sets.join(up, "node", "left").select("node", "set", F.coalesce("up", "node").alias("root"))
+            members = known.mapInArrow(_members(num, den, frequent), "key bigint, node bigint, root bigint")
         else:
             members = mixed.select("key", "node", "root").join(up, "node", "left").select("key", "node", F.coalesce("up", "root").alias("root"))
             members = scratch.cut(members, f"members{step}")
@@ -518,13 +556,13 @@ def parity_join(docs: DataFrame, k: int = 5, num: int = 8, den: int = 10, id_col
             break
         meet = scratch.cut(mixed.where("root <> head_root").select("a", F.col("node").alias("b")).distinct(), f"meet{step}")
         links.append(_verified(meet, sets, num, den, block_sets, scratch, f"links{step}"))
-    light = scratch.cut(signed.where("NOT frequent").select("doc_id", "n", "h1", "h2"), "light")
+    light = signed.where("NOT frequent")
     least = classes.join(roots("linked"), "node", "left").select("h1", "h2", "node", "class_size", F.coalesce("root", "node").alias("root"))
     least = scratch.cut(least, "rooted")
     names = least.groupBy("root").agg(F.min("node").alias("component_id"))
     final = least.join(names, "root").select("h1", "h2", "component_id", "class_size")
     members = light.where("n > 0 AND doc_id IS NOT NULL").select("doc_id", F.col("n").alias("n_shingles"), "h1", "h2").join(final, ["h1", "h2"])
     rest = light.where("NOT (n > 0 AND doc_id IS NOT NULL)").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), F.lit(1).cast("bigint").alias("class_size"))
-    scratch.drop_all_but("light", "rooted")
+    scratch.drop_all_but("signed", "rooted")
     scratch.tidy()
     return members.select("doc_id", "n_shingles", "component_id", "class_size").unionByName(rest)
