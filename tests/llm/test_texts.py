@@ -177,6 +177,17 @@ def test_recounts_equal_full_counts(spark, docs):
     assert token_counts.clean_edits([(0, 2, "a"), (1, 3, "b"), (5, 99, None), (None, 1, "x")], 6) == [(0, 2, "a"), (5, 6, "")]
 
 
+def test_recounts_build_and_update_in_one_worker(spark, docs):
+    """As build and update give them, but by one Python function: no second worker, no trees between two."""
+    r = random.Random(6)
+    edits = token_counts.masking_edits(docs([(i, prose(r, 2000) + f" id {i}12345 ***") for i in range(40)] + [(90, None), (91, "")]), head="# T\n").localCheckpoint()
+    got = token_counts.recount(edits)
+    apart = token_counts.update(token_counts.build(edits), keep=False).select(*got.columns)
+    assert got.collect() and sorted(got.collect()) == sorted(apart.collect())
+    plans = [df._jdf.queryExecution().executedPlan().toString().count("MapInArrow") for df in (got, apart)]
+    assert plans[0] * 2 == plans[1]
+
+
 def test_trees_are_kept_and_untouched_text_is_never_encoded(spark, docs, tmp_path):
     """Trees outlive the run that built them; an update cuts, counts and encodes only what lies at its edits."""
     r = random.Random(4)

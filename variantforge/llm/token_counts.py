@@ -330,13 +330,8 @@ def _tree_column(trees: list[Tree]) -> pa.Array:
     return pa.StructArray.from_arrays([pa.array(c, pa.binary()) for c in columns], fields=list(_TREE))
 
 
-def build(docs: DataFrame, text_col: str = "text", ranks: str = RANKS) -> DataFrame:
-    """docs with n_tokens and tree (see TREE) in place of any columns so named.
-
-    A null text counts as empty, with no pre-tokens.  Rows repeated give rows repeated.
-    """
-    names = [c for c in docs.columns if c not in ("n_tokens", "tree")]
-    plain, at = docs.select(*[named(c) for c in names]), names.index(text_col)
+def _building(names: list[str], at: int, ranks: str):
+    """Batches of columns names, texts at `at`, with n_tokens and tree behind."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter = load(ranks)
@@ -346,7 +341,17 @@ def build(docs: DataFrame, text_col: str = "text", ranks: str = RANKS) -> DataFr
                 trees = counter.trees(pc.fill_null(part.column(at), "").to_pylist())
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array([t.tokens for t in trees], pa.int64()), _tree_column(trees)], names=[*names, "n_tokens", "tree"])
 
-    return map_in_arrow(plain, run, with_fields(plain.schema, f"n_tokens bigint, tree {TREE}"))
+    return run
+
+
+def build(docs: DataFrame, text_col: str = "text", ranks: str = RANKS) -> DataFrame:
+    """docs with n_tokens and tree (see TREE) in place of any columns so named.
+
+    A null text counts as empty, with no pre-tokens.  Rows repeated give rows repeated.
+    """
+    names = [c for c in docs.columns if c not in ("n_tokens", "tree")]
+    plain = docs.select(*[named(c) for c in names])
+    return map_in_arrow(plain, _building(names, names.index(text_col), ranks), with_fields(plain.schema, f"n_tokens bigint, tree {TREE}"))
 
 
 def _edit_lists(edits: pa.Array) -> tuple[list[int], list[list]]:
@@ -359,17 +364,8 @@ def _edit_lists(edits: pa.Array) -> tuple[list[int], list[list]]:
 _RESULTS = ("n_edits", "n_tokens_after", "n_pre_tokens", "n_cut_anew")
 
 
-def update(built: DataFrame, text_col: str = "text", edits_col: str = "edits", ranks: str = RANKS, keep: bool = True) -> DataFrame:
-    """What ``build`` gave, with a column of edits, after the edits: text and tree are the edited ones, n_tokens is as it was.
-
-    New are n_edits, n_tokens_after, n_pre_tokens (before) and n_cut_anew, in place of any columns so named; the
-    edits go.  Without keep, text and tree go too.  edits is an array of struct(start, stop, text) in characters
-    of the text; null counts as none, bounds are clipped to the text, a null replacement deletes, and of
-    overlapping or equal ones the first stays (n_edits counts those that stay).  A null text counts as empty and
-    stays null without edits; a null tree is built.  Only pre-tokens at edits are cut and counted.
-    """
-    names = [c for c in built.columns if c not in _RESULTS]
-    plain = built.select(*[named(c) for c in names])
+def _updating(names: list[str], text_col: str, edits_col: str, ranks: str, keep: bool):
+    """(which of the columns names stay, a function of batches of those columns that gives these and _RESULTS)."""
     text_at, tree_at, edits_at = (names.index(c) for c in (text_col, "tree", edits_col))
     gone = {edits_at} if keep else {edits_at, text_at, tree_at}
     kept = [i for i in range(len(names)) if i not in gone]
@@ -396,10 +392,30 @@ def update(built: DataFrame, text_col: str = "text", edits_col: str = "edits", r
                 found = list(zip(*rows, strict=True)) if rows else [[]] * len(_RESULTS)
                 yield pa.RecordBatch.from_arrays([*(columns[k] for k in kept), *(pa.array(c, pa.int64()) for c in found)], names=[*(names[k] for k in kept), *_RESULTS])
 
+    return kept, run
+
+
+def update(built: DataFrame, text_col: str = "text", edits_col: str = "edits", ranks: str = RANKS, keep: bool = True) -> DataFrame:
+    """What ``build`` gave, with a column of edits, after the edits: text and tree are the edited ones, n_tokens is as it was.
+
+    New are n_edits, n_tokens_after, n_pre_tokens (before) and n_cut_anew, in place of any columns so named; the
+    edits go.  Without keep, text and tree go too.  edits is an array of struct(start, stop, text) in characters
+    of the text; null counts as none, bounds are clipped to the text, a null replacement deletes, and of
+    overlapping or equal ones the first stays (n_edits counts those that stay).  A null text counts as empty and
+    stays null without edits; a null tree is built.  Only pre-tokens at edits are cut and counted.
+    """
+    names = [c for c in built.columns if c not in _RESULTS]
+    plain = built.select(*[named(c) for c in names])
+    kept, run = _updating(names, text_col, edits_col, ranks, keep)
     return map_in_arrow(plain, run, with_fields(T.StructType([plain.schema.fields[k] for k in kept]), ", ".join(f"{c} bigint" for c in _RESULTS)))
 
 
 def recount(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", edits_col: str = "edits", ranks: str = RANKS) -> DataFrame:
-    """One row per row of docs, by ``build`` and ``update``: doc_id, n_tokens, n_edits, n_tokens_after, n_pre_tokens, n_cut_anew."""
+    """One row per row of docs: doc_id, n_tokens, n_edits, n_tokens_after, n_pre_tokens, n_cut_anew.
+
+    What ``build`` and ``update`` do, one after the other in one worker: trees never leave it, and words are remembered once.
+    """
     chosen = docs.select(named(id_col).cast("bigint").alias("doc_id"), named(text_col).alias("text"), named(edits_col).alias("edits"))
-    return update(build(chosen, ranks=ranks), ranks=ranks, keep=False).select("doc_id", "n_tokens", *_RESULTS)
+    built = _building(chosen.columns, 1, ranks)
+    _, updated = _updating([*chosen.columns, "n_tokens", "tree"], "text", "edits", ranks, keep=False)
+    return map_in_arrow(chosen, lambda batches: updated(built(batches)), with_fields(T.StructType([]), ", ".join(f"{c} bigint" for c in ("doc_id", "n_tokens", *_RESULTS))))
