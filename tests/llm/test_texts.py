@@ -114,6 +114,19 @@ def test_dropout_is_keyed_lossless_and_varied():
     assert len(ids) > len(plain) and len(set(ids.tolist())) > len(set(plain.tolist()))
 
 
+def test_words_are_worked_out_once_for_many_spans(monkeypatch):
+    """Spans share what they know of words; forgetting changes nothing."""
+    r = random.Random(9)
+    texts = [prose(r, 3000) for _ in range(6)] + ["x" * 300, "", None]
+    own, calls, work = pieces.Pieces(pieces.MODEL), [], pieces._encode_words
+    monkeypatch.setattr(pieces, "_encode_words", lambda p, words, variant, seed, rate, *a: (calls.extend(words if not rate else []), work(p, words, variant, seed, rate, *a))[1])
+    want = [pieces.encode_texts(own, [t], [i])[0].tolist() for i, t in enumerate(texts)]
+    assert len(calls) == len(set(calls))
+    monkeypatch.setattr(pieces, "REMEMBERED", 0)
+    assert [pieces.encode_texts(own, [t], [i])[0].tolist() for i, t in enumerate(texts)] == want
+    assert len(calls) > 2 * len(set(calls))
+
+
 def test_agenda_and_arrays_agree():
     p = pieces.load(pieces.MODEL)
     words = sorted({w for t in TEXTS + [prose(random.Random(3), 300)] for w in p.words.findall(" " + t)})

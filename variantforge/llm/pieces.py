@@ -15,6 +15,7 @@ import heapq
 import re
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -32,10 +33,40 @@ DROPOUT, SEED = 0.1, 17
 ARRAY_CHARS = 48
 #: Characters of text whose words are worked out together.
 SPAN = 1 << 20
+#: Words, and their characters, whose pieces and merges without dropout a worker remembers from span to span.
+REMEMBERED, REMEMBERED_CHARS = 300_000, 4 << 20
 _NO_RANK = np.int32(2**31 - 1)
 _K = [U64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5)]
 
 
+class Known:
+    """Words by number, with their pieces and merges without dropout (steps: start, middle and end, in order of words)."""
+
+    def __init__(self):
+        self.index: dict[str, int] = {}
+        self.lengths, self.count = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.values, self.offsets = np.zeros(0, np.int32), np.zeros(1, np.int64)
+        self.steps = np.zeros((3, 0), np.int16)
+
+    def full(self) -> bool:
+        return len(self.index) > REMEMBERED or int(self.lengths.sum()) > REMEMBERED_CHARS
+
+    def learn(self, pieces: Pieces) -> None:
+        """Works out the words that are in the index since the last call."""
+        new = list(islice(self.index, len(self.lengths), None))
+        if not new:
+            return
+        trace: list = []
+        values, offsets = _encode_words(pieces, new, np.zeros(len(new), np.uint64), 0, 0.0, trace)
+        self.lengths = np.concatenate([self.lengths, np.fromiter(map(len, new), np.int64, len(new))])
+        self.values, self.offsets = np.concatenate([self.values, values]), np.concatenate([self.offsets, self.offsets[-1] + offsets[1:]])
+        word = np.concatenate([t[0] for t in trace]) if trace else np.zeros(0, np.int64)
+        order = np.argsort(word, kind="stable")
+        steps = [np.concatenate([t[k] for t in trace])[order] if trace else np.zeros(0, np.int16) for k in (1, 2, 3)]
+        self.steps = np.concatenate([self.steps, np.stack(steps)], axis=1)
+        self.count = np.concatenate([self.count, np.bincount(word, minlength=len(new))])
+
+
 class Pieces:
     """The vocabulary of a model file, as tables."""
 
@@ -72,6 +103,7 @@ class Pieces:
         ]
         inner = [p for p in self.id if re.search("[^▁]▁", p)]
         newline = [p for p in self.id if "\n" in p]
+        self.known = Known()
         self.words = re.compile(r" *[^ \n]+|\n| +") if not inner and not newline else re.compile(r" *[^ ]+| +") if not inner else re.compile(r"(?s).+")
 
     def _table(self, pairs: dict[int, int]) -> None:
@@ -265,18 +297,13 @@ def _encode_words(pieces: Pieces, words: list[str], variant: np.ndarray, seed: i
     return out, offsets
 
 
-def _skips(names: list[str], which: np.ndarray, variant: np.ndarray, trace: list, seed: int, rate: float) -> np.ndarray:
+def _skips(known: Known, names: list[str], which: np.ndarray, variant: np.ndarray, seed: int, rate: float) -> np.ndarray:
     """Whether each occurrence skips one of its word's merges without dropout, or has a word too long for a trace."""
-    long = np.fromiter((len(w) > ARRAY_CHARS for w in names), bool, len(names))
-    out = long[which]
-    if not trace:
+    lengths, count = known.lengths, known.count
+    out = (lengths > ARRAY_CHARS)[which]
+    if not known.steps.size:
         return out
-    word, start, mid, end = (np.concatenate(x) for x in zip(*trace, strict=True))
-    order = np.argsort(word, kind="stable")
-    start, mid, end = (x[order].astype(np.uint64) for x in (start, mid, end))
-    count = np.bincount(word, minlength=len(names))
     before = np.cumsum(count) - count
-    lengths = np.fromiter(map(len, names), np.int64, len(names))
     by_length = np.argsort(lengths[which], kind="stable")
     for i in range(0, len(by_length), 65_536):
         some = by_length[i : i + 65_536]
@@ -289,7 +316,7 @@ def _skips(names: list[str], which: np.ndarray, variant: np.ndarray, trace: list
         key, n = word_keys(codes, wide, variant[some], seed), count[which[some]]
         row = np.repeat(np.arange(len(some)), n)
         at = np.repeat(before[which[some]] - (np.cumsum(n) - n), n) + np.arange(len(row))
-        out[some[row[_dropped(key[row], start[at], mid[at], end[at], _limit(rate))]]] = True
+        out[some[row[_dropped(key[row], *known.steps[:, at].astype(np.uint64), _limit(rate))]]] = True
     return out
 
 
@@ -297,7 +324,10 @@ def encode_texts(pieces: Pieces, texts: list[str | None], keys: list[int | None]
     """(pieces of all texts, offsets). keys give each text's first variant; null and empty texts have no pieces."""
     out, sizes, i = [], [], 0
     while i < len(texts):
-        index: dict[str, int] = {}
+        if pieces.known.full():
+            pieces.known = Known()
+        known = pieces.known
+        index = known.index
         uses, bounds, size = [], [0], 0
         variant_of = []
         while i < len(texts) and (size == 0 or size + len(texts[i] or "") <= SPAN):
@@ -311,12 +341,11 @@ def encode_texts(pieces: Pieces, texts: list[str | None], keys: list[int | None]
         if not uses:
             sizes += [0] * (len(bounds) - 1)
             continue
-        which, names = np.array(uses, np.int64), list(index)
-        trace = [] if rate else None
-        value, offsets = _encode_words(pieces, names, np.zeros(len(names), np.uint64), seed, 0.0, trace)
+        known.learn(pieces)
+        which, names, value, offsets = np.array(uses, np.int64), list(index), known.values, known.offsets
         if rate:
             variant = np.concatenate(variant_of)
-            own = np.flatnonzero(_skips(names, which, variant, trace, seed, rate))
+            own = np.flatnonzero(_skips(known, names, which, variant, seed, rate))
             more, ends = _encode_words(pieces, [names[k] for k in which[own]], variant[own], seed, rate)
             value, offsets = np.concatenate([value, more]), np.concatenate([offsets, offsets[-1] + ends[1:]])
             which[own] = len(names) + np.arange(len(own))
