@@ -127,6 +127,26 @@ def test_words_are_worked_out_once_for_many_spans(monkeypatch):
     assert len(calls) > 2 * len(set(calls))
 
 
+def test_a_merge_looks_up_its_two_neighbours_only(monkeypatch):
+    """What a merge makes is known from its rank; only the pairs to its left and right are looked up."""
+    p, seen, work = pieces.load(pieces.MODEL), [], pieces.Pieces.merged
+    words = sorted(set(p.words.findall(" " + prose(random.Random(4), 400))))
+    monkeypatch.setattr(pieces.Pieces, "merged", lambda self, left, right: (seen.append(len(left)), work(self, left, right))[1])
+    ids, _ = pieces._encode_words(p, words, np.zeros(len(words), np.uint64), 0, 0.0)
+    places = sum(map(len, words))
+    assert 0 < sum(seen) <= places - len(words) + 2 * (places - len(ids))
+
+
+def test_texts_of_a_batch_are_decoded_together():
+    p = pieces.load(pieces.MODEL)
+    texts = [*TEXTS, prose(random.Random(5), 50)]
+    ids, offsets = pieces.encode_texts(p, texts, list(range(len(texts))), rate=0.3)
+    assert [bytes(x).decode() for x in pieces.decode_lists(p, ids, offsets)] == texts
+    changed = np.where(np.arange(len(ids)) == offsets[-2] + 3, p.byte[0xFF], ids)  # no UTF-8 any more
+    assert [bytes(x) == t.encode() for x, t in zip(pieces.decode_lists(p, changed, offsets), texts, strict=True)] == [True] * (len(texts) - 1) + [False]
+    assert pieces.decode_lists(p, ids[:0], offsets[:1] * 0) == [] and [bytes(x) for x in pieces.decode_lists(p, ids[:0], offsets[:4] * 0)] == [b""] * 3
+
+
 def test_agenda_and_arrays_agree():
     p = pieces.load(pieces.MODEL)
     words = sorted({w for t in TEXTS + [prose(random.Random(3), 300)] for w in p.words.findall(" " + t)})

@@ -39,11 +39,19 @@ _NO_RANK = np.int32(2**31 - 1)
 _K = [U64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5)]
 
 
+class Numbers(dict):
+    """Numbers of words, in the order in which they are asked for."""
+
+    def __missing__(self, word: str) -> int:
+        number = self[word] = len(self)
+        return number
+
+
 class Known:
     """Words by number, with their pieces and merges without dropout (steps: start, middle and end, in order of words)."""
 
     def __init__(self):
-        self.index: dict[str, int] = {}
+        self.index = Numbers()
         self.lengths, self.count = np.zeros(0, np.int64), np.zeros(0, np.int64)
         self.values, self.offsets = np.zeros(0, np.int32), np.zeros(1, np.int64)
         self.steps = np.zeros((3, 0), np.int16)
@@ -86,6 +94,7 @@ class Pieces:
         self.rank = np.full(n, _NO_RANK, np.int32)
         self.rank[order] = np.arange(len(order), dtype=np.int32)
         self.rank_list = self.rank.tolist()
+        self.by_rank = np.array(order, np.int32)
         self.char = {(" " if p == "▁" else p): i for p, i in self.id.items() if len(p) == 1}
         self.lut = np.full(0x110000, -1, np.int32)
         for c, i in self.char.items():
@@ -101,6 +110,7 @@ class Pieces:
         self.bytes_of = [
             bytes([int(p[3:5], 16)]) if sp.is_byte(i) else p.replace("▁", " ").encode() if normal[i] else b"" for i, p in enumerate(self.names)
         ]
+        self.bytes_column = pa.array(self.bytes_of, pa.large_binary())
         inner = [p for p in self.id if re.search("[^▁]▁", p)]
         newline = [p for p in self.id if "\n" in p]
         self.known = Known()
@@ -110,31 +120,32 @@ class Pieces:
         """An open hash table of pairs: at most `probes` steps find any key."""
         bits = max(10, (len(pairs) * 8).bit_length())
         self._shift, mask = U64(64 - bits), (1 << bits) - 1
-        keys, values = np.full(1 << bits, -1, np.int64), np.full(1 << bits, -1, np.int32)
+        keys, values = np.full(1 << bits, -1, np.int64), np.full(1 << bits, _NO_RANK, np.int32)
         self._probes = 1
         for key, value in pairs.items():
             at = (key * int(_K[0]) & (2**64 - 1)) >> (64 - bits)
             step = 0
             while keys[at + step & mask] >= 0:
                 step += 1
-            keys[at + step & mask], values[at + step & mask] = key, value
+            keys[at + step & mask], values[at + step & mask] = key, self.rank[value]
             self._probes = max(self._probes, step + 1)
         self._keys, self._values, self._mask = keys, values, mask
 
     def merged(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
-        """The piece that each pair makes, -1 if none."""
+        """The rank of the piece that each pair makes, _NO_RANK if none (as with a negative symbol, whose key is in no slot but an empty one)."""
         key = left.astype(np.int64) << 32 | right
-        at = (key.astype(np.uint64) * _K[0] >> self._shift).astype(np.int64)
-        out = np.full(len(key), -1, np.int32)
-        todo = np.flatnonzero((left >= 0) & (right >= 0))
-        for step in range(self._probes):
-            slot = at[todo] + step & self._mask
-            there = self._keys[slot]
-            hit = there == key[todo]
-            out[todo[hit]] = self._values[slot[hit]]
-            todo = todo[~hit & (there >= 0)]
+        slot = (key.view(np.uint64) * _K[0] >> self._shift).view(np.int64)
+        there = self._keys[slot]
+        out = np.where(there == key, self._values[slot], _NO_RANK)
+        todo = np.flatnonzero((there != key) & (there >= 0))
+        for step in range(1, self._probes):
             if not len(todo):
                 break
+            at = slot[todo] + step & self._mask
+            there = self._keys[at]
+            hit = there == key[todo]
+            out[todo[hit]] = self._values[at[hit]]
+            todo = todo[~hit & (there >= 0)]
         return out
 
 
@@ -203,56 +214,56 @@ def encode_word(pieces: Pieces, word: str, variant: int, seed: int, rate: float)
     return out
 
 
-def _encode_rows(pieces: Pieces, codes: np.ndarray, lengths: np.ndarray, variant: np.ndarray, seed: int, rate: float, trace: list | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """(symbols, start of each) of many words at once, padded by -3; all rows advance by their best merge together. trace gathers (row, start, middle, end) of the merges."""
+def _encode_rows(pieces: Pieces, codes: np.ndarray, lengths: np.ndarray, variant: np.ndarray, seed: int, rate: float, trace: list | None = None) -> np.ndarray:
+    """The symbols of many words at once, each at the place of its first character (-3 elsewhere); all rows advance by their best merge together. trace gathers (row, start, middle, end) of the merges."""
     n, width = codes.shape
     key = word_keys(codes, lengths, variant, seed) if rate else np.zeros(n, np.uint64)
-    limit = _limit(rate)
-    sym = np.where(np.arange(width) < lengths[:, None], pieces.lut[codes], np.int32(-3)).astype(np.int32)
-    start = np.where(np.arange(width) < lengths[:, None], np.arange(width), lengths[:, None]).astype(np.int16)
-    start = np.concatenate([start, lengths[:, None].astype(np.int16)], axis=1)
-    rank = np.full((n, width), _NO_RANK, np.int32)
-
-    def ranks(rows, at):
-        made = pieces.merged(sym[rows, at], sym[rows, at + 1])
-        r = np.where(made >= 0, pieces.rank[made], _NO_RANK)
+    limit, bits = _limit(rate), width.bit_length()
+    # By place and row, flat; a word's end is a place too, with no symbol.
+    sym = np.full((width + 1, n), -3, np.int32)
+    sym[:width] = np.where(np.arange(width)[:, None] < lengths, pieces.lut[codes.T], np.int32(-3))
+    after, before = (np.repeat(np.arange(k, width + 1 + k, dtype=np.int16), n) for k in (1, -1))
+    flat = sym.reshape(-1)
+
+    def offered(row, start, mid, end, left, right):
+        """Ranks of candidates with their places below, so that the smallest is the best and leftmost."""
+        rank = pieces.merged(left, right)
+        out = np.full(len(rank), _NO_RANK, np.int32)
+        some = np.flatnonzero(rank < _NO_RANK)
         if rate:
-            some = np.flatnonzero(made >= 0)
-            rr, aa = rows[some], at[some]
-            gone = _dropped(key[rr], start[rr, aa].astype(np.uint64), start[rr, aa + 1].astype(np.uint64), start[rr, aa + 2].astype(np.uint64), limit)
-            r[some[gone]] = _NO_RANK
-        return r
-
-    if width > 1:
-        rows, at = np.nonzero(np.arange(width - 1) + 1 < lengths[:, None])
-        rank[rows, at] = ranks(rows, at)
-    live = np.arange(n)
-    at_all = np.arange(width)
-    while len(live) and width > 1:
-        part = rank[live]
-        best = part.argmin(axis=1)
-        some = part[np.arange(len(live)), best] < _NO_RANK
-        live, best = live[some], best[some]
-        if not len(live):
-            break
-        if trace is not None:
-            trace.append((live, start[live, best], start[live, best + 1], start[live, best + 2]))
-        made = pieces.merged(sym[live, best], sym[live, best + 1])
-        take = np.minimum(at_all + (at_all > best[:, None]), width - 1)
-        s = np.take_along_axis(sym[live], take, axis=1)
-        s[:, -1] = np.where(best == width - 1, s[:, -1], -3)
-        s[np.arange(len(live)), best] = made
-        sym[live] = s
-        wide = np.arange(width + 1)
-        start[live] = np.take_along_axis(start[live], np.minimum(wide + (wide > best[:, None]), width), axis=1)
-        r = np.take_along_axis(rank[live], take, axis=1)
-        r[:, -1] = _NO_RANK
-        rank[live] = r
-        for at in (best - 1, best):
-            ok = (at >= 0) & (at + 1 < width)
-            rows, a = live[ok], at[ok]
-            rank[rows, a] = ranks(rows, a)
-    return sym, start
+            some = some[~_dropped(key[row[some]], *(x[some].astype(np.uint64) for x in (start, mid, end)), limit)]
+        out[some] = rank[some] << bits | start[some]
+        return out
+
+    best_of = np.full((width, n), _NO_RANK, np.int32)
+    at, row = np.nonzero(np.arange(1, width + 1)[:, None] < lengths)
+    best_of[at, row] = offered(row, at, at + 1, at + 2, sym[at, row], sym[at + 1, row])
+    rows = np.arange(n)
+    while len(rows):
+        best = best_of.min(axis=0)
+        live = np.flatnonzero(best < _NO_RANK)
+        if 2 * len(live) < len(rows):
+            best_of, rows, best = best_of[:, live], rows[live], best[live]
+            live = np.arange(len(live))
+        best, row = best[live], rows[live]
+        a = (best & (1 << bits) - 1).astype(np.int64)
+        made = pieces.by_rank[best >> bits]
+        at = a * n + row
+        b = after[at].astype(np.int64)
+        e = after[b * n + row].astype(np.int64)
+        if trace is not None and len(live):
+            trace.append((row, *(x.astype(np.int16) for x in (a, b, e))))
+        flat[at], flat[b * n + row] = made, -3
+        stop = e * n + row
+        after[at], before[stop] = e, a
+        best_of[b, live] = _NO_RANK
+        p = before[at].astype(np.int64)
+        ok = np.flatnonzero(p >= 0)
+        p = p[ok]
+        start, mid, end = np.concatenate([p, a]), np.concatenate([a[ok], e]), np.concatenate([e[ok], after[stop]])
+        left, right = np.concatenate([flat[p * n + row[ok]], made]), np.concatenate([made[ok], flat[stop]])
+        best_of[start, np.concatenate([live[ok], live])] = offered(np.concatenate([row[ok], row]), start, mid, end, left, right)
+    return np.ascontiguousarray(sym[:width].T)
 
 
 def _encode_words(pieces: Pieces, words: list[str], variant: np.ndarray, seed: int, rate: float, trace: list | None = None) -> tuple[np.ndarray, np.ndarray]:
@@ -269,7 +280,7 @@ def _encode_words(pieces: Pieces, words: list[str], variant: np.ndarray, seed: i
             codes = np.zeros((len(some), high), np.uint32)
             codes[np.arange(high) < lengths[some][:, None]] = flat
             merges = None if trace is None else []
-            sym, start = _encode_rows(pieces, codes, lengths[some], variant[some], seed, rate, merges)
+            sym = _encode_rows(pieces, codes, lengths[some], variant[some], seed, rate, merges)
             if merges:
                 trace += [(some[m[0]], *m[1:]) for m in merges]
             r, c = np.nonzero(sym >= -1)
@@ -277,7 +288,7 @@ def _encode_words(pieces: Pieces, words: list[str], variant: np.ndarray, seed: i
             times = np.ones(len(value), np.int64)
             lost = np.flatnonzero(value == -1)
             if len(lost):  # characters outside the vocabulary become their bytes
-                raw = [chr(x).encode("utf-8", "surrogatepass") for x in codes[r[lost], start[r[lost], c[lost]]]]
+                raw = [chr(x).encode("utf-8", "surrogatepass") for x in codes[r[lost], c[lost]]]
                 times[lost] = [len(x) for x in raw]
                 value = np.repeat(value, times)
                 value[value == -1] = pieces.byte[np.frombuffer(b"".join(raw), np.uint8)]
@@ -333,7 +344,7 @@ def encode_texts(pieces: Pieces, texts: list[str | None], keys: list[int | None]
         while i < len(texts) and (size == 0 or size + len(texts[i] or "") <= SPAN):
             found = pieces.words.findall(" " + texts[i]) if texts[i] else []
             size += len(texts[i] or "") + 1
-            uses += [index.setdefault(w, len(index)) for w in found]
+            uses += map(index.__getitem__, found)
             first = mix1((keys[i] or 0) ^ mix1(seed + 1)) if rate else 0
             variant_of.append(np.arange(len(found), dtype=np.uint64) + U64(first))
             bounds.append(bounds[-1] + len(found))
@@ -363,6 +374,14 @@ def decode_ids(pieces: Pieces, ids: list[int]) -> str:
     return raw[1 if raw[:1] == b" " else 0 :].decode("utf-8", "surrogatepass")
 
 
+def decode_lists(pieces: Pieces, values: np.ndarray, offsets: np.ndarray) -> list[memoryview]:
+    """The UTF-8 bytes of many texts (those of ``decode_ids``), all pieces taken at once; one piece list begins at each offset."""
+    raw = pieces.bytes_column.take(pa.array(values, pa.int32()))
+    _, places, data = raw.buffers()
+    ends, data = np.frombuffer(places, np.int64)[offsets].tolist(), memoryview(data or b"")
+    return [data[a + (a < b and data[a] == 32) : b] for a, b in zip(ends, ends[1:], strict=False)]
+
+
 def _path(model: str) -> str:
     return model if model.startswith("/") else SparkFiles.get(model)
 
@@ -387,7 +406,8 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mode
                 if keep_text:
                     columns, names = [*columns, part.column(1)], [*names, "text"]
                 if check:
-                    same = [None if not t.is_valid else decode_ids(pieces, values[offsets[k] : offsets[k + 1]].tolist()) == t.as_py() for k, t in enumerate(part.column(1))]
+                    raw = part.column(1).cast(pa.binary())
+                    same = [None if not t.is_valid else t.as_buffer() == pa.py_buffer(found) for t, found in zip(raw, decode_lists(pieces, values, offsets), strict=True)]
                     columns, names = [*columns, pa.array(same, pa.bool_())], [*names, "lossless"]
                 yield pa.RecordBatch.from_arrays(columns, names=names)
 
